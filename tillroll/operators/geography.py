@@ -65,14 +65,16 @@ def country_browsing_metrics_v2(m: Model) -> DataFrame:
 
 def country_cart_metrics(m: Model) -> DataFrame:
     """A10: distinct users with a cart event, by country."""
-    carts = m.events.filter(F.col("event_type") == CART).select("user_id")
+    # Deduplicated before the semi join: AQE can split only the left side of a semi join,
+    # and the partial aggregate of distinct() collapses a hot user map-side.
+    carts = m.events.filter(F.col("event_type") == CART).select("user_id").distinct()
     return (m.dim_user.join(carts, "user_id", "left_semi")
             .groupBy("country").agg(F.count(F.lit(1)).alias("cart_users")))
 
 
 def country_purchase_users(m: Model) -> DataFrame:
     """Distinct users with a fact_order_items row, by country."""
-    buyers = m.fact_order_items.select("user_id")
+    buyers = m.fact_order_items.select("user_id").distinct()
     return (m.dim_user.join(buyers, "user_id", "left_semi")
             .groupBy("country").agg(F.count(F.lit(1)).alias("purchasing_users")))
 
