@@ -8,8 +8,8 @@ Numeric conventions (they make results independent of partitioning and shuffle o
 * ratios are ``try_divide`` on doubles: NULL when the divisor is 0 or NULL;
 * ratios rounded to n digits are divided in decimal and rounded HALF_UP (half away from
   zero for the non-negative values they take), never by rounding a double;
-* means of doubles are reported to ``MEAN_DIGITS`` decimals, because a double sum depends
-  on the order in which partitions are merged.
+* means of doubles are reported to ``MEAN_DIGITS`` decimals (``MONEY_MEAN_DIGITS`` for
+  money-sized values), because a double sum depends on the order partitions are merged in.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ PROCESSING, SHIPPED, COMPLETE, CANCELLED, RETURNED = (
 # Statuses counted as commercially valid revenue.
 VALID_STATUSES = (PROCESSING, SHIPPED, COMPLETE)
 
-MEAN_DIGITS = 10
+MEAN_DIGITS = 10        # means of ratios (magnitude about 1): ~10 significant digits
+MONEY_MEAN_DIGITS = 6   # means and spreads in money units (up to ~1e6): ~12 significant digits
 
 
 class StatusPolicy(str, Enum):
@@ -64,9 +65,10 @@ def round_ratio(num: Column, den: Column, digits: int, *, money: bool = False) -
     return F.round(q, digits).cast("double")
 
 
-def mean_fixed(x: Column) -> Column:
-    """AVG of a double column, reported to MEAN_DIGITS decimals (order-independent)."""
-    return F.round(F.avg(x), MEAN_DIGITS)
+def mean_fixed(x: Column, digits: int = MEAN_DIGITS) -> Column:
+    """AVG of a double column reported to ``digits`` decimals, so the value does not depend
+    on the order partial sums are merged in.  Keep digits + log10(magnitude) well under 16."""
+    return F.round(F.avg(x), digits)
 
 
 def pct_2dp_of_mean(mean: Column, scale: int = 100) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.metrics import (
     CANCELLED,
     MEAN_DIGITS,
+    MONEY_MEAN_DIGITS,
     StatusPolicy,
     safe_divide,
     status_in_policy,
@@ -55,7 +56,7 @@ def category_segments(m: Model) -> DataFrame:
     """Premium when AOV >= the mean category AOV, volume when orders >= mean orders."""
     f4 = final_category_performance(m)
     everything = Window.partitionBy()
-    f4 = (f4.withColumn("mean_aov", F.round(F.avg("AOV").over(everything), MEAN_DIGITS))
+    f4 = (f4.withColumn("mean_aov", F.round(F.avg("AOV").over(everything), MONEY_MEAN_DIGITS))
             .withColumn("mean_orders", F.avg("total_orders").over(everything)))
     premium = F.col("AOV") >= F.col("mean_aov")
     volume = F.col("total_orders") >= F.col("mean_orders")

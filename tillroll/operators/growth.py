@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.metrics import (
     CANCELLED,
     MEAN_DIGITS,
+    MONEY_MEAN_DIGITS,
     StatusPolicy,
     round_ratio,
     safe_divide,
@@ -231,7 +232,7 @@ def revenue_per_user_stability(m: Model) -> DataFrame:
         F.avg("revenue_per_user").alias("_mean"),
         F.stddev_pop("revenue_per_user").alias("_std"))
     return g.select("year", "months",
-                    F.round("_mean", MEAN_DIGITS).alias("mean_revenue_per_user"),
-                    F.round("_std", MEAN_DIGITS).alias("std_revenue_per_user"),
+                    F.round("_mean", MONEY_MEAN_DIGITS).alias("mean_revenue_per_user"),
+                    F.round("_std", MONEY_MEAN_DIGITS).alias("std_revenue_per_user"),
                     F.round(F.try_divide(F.col("_std"), F.col("_mean")), MEAN_DIGITS).alias(
                         "coefficient_of_variation"))
