@@ -52,3 +52,25 @@ def test_model_from_canonical_tables(spark, tmp_path):
     materialize(m, str(tmp_path / "wh3"))
     again = Model(load_canonical(spark, str(tmp_path / "wh3")))
     assert again.order_items.count() == m.order_items.count()
+
+
+SHARED_READERS = [
+    "final_category_performance", "category_segments", "portfolio_concentration",
+    "agg_monthly_kpis_enriched", "agg_yearly_kpis_enriched", "cagr", "growth_pattern",
+    "revenue_per_user_stability", "seasonality_by_month_number", "seasonality_sign_counts",
+    "mom_recompute_check", "funnel_dropoff", "conversion_trend", "agg_monthly_funnel",
+    "country_performance_summary", "revenue_share", "final_country_performance_v2",
+    "final_country_performance_merged", "dq_segment_totals",
+    "demographic_category_preferences", "seasonality_by_country",
+]
+
+
+def test_shared_tables_give_same_results(spark, tmp_path):
+    from tests.helpers import spark_rows
+    from tillroll.plans.warehouse import materialize, materialize_shared
+    lazy = Model.from_testdata(spark, "/root/testdata/sf0.001")
+    stored = materialize_shared(materialize(lazy, str(tmp_path / "wh")), str(tmp_path / "wh"))
+    for key in SHARED_READERS:
+        plan = plan_of(run_query(key, stored))
+        assert "_shared" in plan, key
+        assert spark_rows(run_query(key, stored)) == spark_rows(run_query(key, lazy)), key

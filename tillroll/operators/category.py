@@ -13,9 +13,10 @@ from tillroll.functions.metrics import (
     safe_divide,
     status_in_policy,
 )
-from tillroll.plans.model import Model
+from tillroll.plans.model import Model, shared
 
 
+@shared
 def category_base(m: Model) -> DataFrame:
     """Per category (NULL for items whose product is unknown): distinct orders of every
     status, distinct cancelled orders, valid revenue (decimal), distinct valid buyers.

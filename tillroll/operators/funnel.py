@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import month_start, safe_divide
-from tillroll.plans.model import CART, PRODUCT_VIEW, PURCHASE, Model
+from tillroll.plans.model import CART, PRODUCT_VIEW, PURCHASE, Model, shared
 
 
 def _count_stage(stage: str) -> Column:
@@ -36,6 +36,7 @@ def _rates(df: DataFrame) -> DataFrame:
     )
 
 
+@shared
 def agg_funnel_metrics(m: Model) -> DataFrame:
     """per month with at least one product view: distinct view sessions, distinct cart
     sessions, distinct valid buyers (from orders).  Views and carts come from one scan of
@@ -56,6 +57,7 @@ def agg_funnel_metrics(m: Model) -> DataFrame:
         "month", "product_view_sessions", "add_to_cart_sessions", "purchasing_users"))
 
 
+@shared
 def agg_daily_funnel(m: Model) -> DataFrame:
     """Per event date, all three stages from the events: view and cart sessions,
     purchasing users."""

@@ -22,7 +22,7 @@ from tillroll.functions.metrics import (
     standardize_country,
     status_in_policy,
 )
-from tillroll.plans.model import CART, PRODUCT_VIEW, Model
+from tillroll.plans.model import CART, PRODUCT_VIEW, Model, shared
 
 DEMOGRAPHICS = ["country", "age_group", "gender"]
 
@@ -33,6 +33,7 @@ def _items_per_user(items: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == CANCELLED).alias("n_cancelled"))
 
 
+@shared
 def country_cancellation_metrics(m: Model) -> DataFrame:
     """dim_user LEFT JOIN raw order items by country, age band, gender.  A user
     without items contributes one (empty) joined row, as COUNT(*) does in the statement."""
@@ -79,6 +80,7 @@ def country_purchase_users(m: Model) -> DataFrame:
             .groupBy("country").agg(F.count(F.lit(1)).alias("purchasing_users")))
 
 
+@shared
 def country_cart_purchase_funnel(m: Model) -> DataFrame:
     """A12."""
     c = country_cart_metrics(m)
@@ -100,6 +102,7 @@ def _not_cancelled_per_user(m: Model) -> DataFrame:
         F.sum("sale_price").alias("revenue"), F.count(F.lit(1)).alias("n_items"))
 
 
+@shared
 def _country_revenue_base(m: Model) -> DataFrame:
     """Per country: not-cancelled revenue, buyers (one per-user row each), item count."""
     j = m.dim_user.join(_not_cancelled_per_user(m), "user_id", "inner")
@@ -131,6 +134,7 @@ def revenue_per_user(m: Model) -> DataFrame:
                     .alias("revenue_per_user")).orderBy(F.col("revenue_per_user").desc())
 
 
+@shared
 def country_performance_summary(m: Model) -> DataFrame:
     """A15 LEFT JOIN A12 LEFT JOIN (mean of A6 rates by country)."""
     r = _country_revenue_base(m).select("country", "total_revenue", "purchasing_users")

@@ -19,7 +19,7 @@ from tillroll.functions.metrics import (
     safe_divide,
     status_in_policy,
 )
-from tillroll.plans.model import Model
+from tillroll.plans.model import Model, shared
 
 
 def _pct_change(col: str, order: Window) -> F.Column:
@@ -59,6 +59,7 @@ def monthly_kpis(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+@shared
 def agg_monthly_kpis(m: Model) -> DataFrame:
     """F6 (with cancelled_revenue, decision D3)."""
     return monthly_kpis(m.items_with_month(), [])
@@ -75,6 +76,7 @@ def enrich_monthly(f6: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+@shared
 def agg_monthly_kpis_enriched(m: Model) -> DataFrame:
     """F7."""
     return enrich_monthly(agg_monthly_kpis(m), [])

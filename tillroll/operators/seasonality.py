@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import mean_fixed, pct_2dp_of_mean
 from tillroll.operators.growth import agg_monthly_kpis_enriched, enrich_monthly, monthly_kpis
-from tillroll.plans.model import Model
+from tillroll.plans.model import Model, shared
 
 # The year window and the countries of the seasonality statements.
 SEASON_YEARS = (2020, 2025)
@@ -115,6 +115,7 @@ def mom_recompute_check(m: Model) -> DataFrame:
                      F.col("prev_ord").cast("double")).alias("ord_mom_calc")).orderBy("month")
 
 
+@shared
 def country_month_kpis(m: Model) -> DataFrame:
     """F6/F7 columns by (country, month); country from dim_user (NULL for items of an
     unknown user); MoM against the previous month of the same country."""

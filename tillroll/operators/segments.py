@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import attach_total, safe_divide
-from tillroll.plans.model import PRODUCT_VIEW, Model
+from tillroll.plans.model import PRODUCT_VIEW, Model, shared
 
 SEGMENT = ["country", "gender", "age_group"]
 
@@ -38,6 +38,7 @@ def _items_per_user_category(m: Model) -> DataFrame:
         F.sum("revenue").alias("revenue"))
 
 
+@shared
 def country_segment_metrics(m: Model) -> DataFrame:
     """A4: dim_user LEFT JOIN fact_events (v1) LEFT JOIN fact_order_items LEFT JOIN
     dim_product, by country, gender, age band, category - the multiplied counts."""

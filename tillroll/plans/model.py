@@ -8,7 +8,7 @@ reading two columns of a fact scans two columns.  To share the layer across many
 
 from __future__ import annotations
 
-from functools import cached_property
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,28 @@ from tillroll.sources.testdata import load_testdata
 # Canonical event types of the funnel.
 PRODUCT_VIEW, CART, PURCHASE = "product", "cart", "purchase"
 
+# Result tables that other result tables read, by name (filled by ``@shared``).
+SHARED: dict = {}
+
+
+def shared(fn):
+    """Mark an operator whose result several others read.
+
+    The Model keeps one plan per name, and a refresh run may replace it with the table it
+    has written (``plans.warehouse.materialize_shared``), so the readers start from a small
+    stored table instead of re-aggregating the facts - the layered CTAS model's boundary.
+    """
+    name = fn.__name__
+
+    @functools.wraps(fn)
+    def wrapper(m: "Model", *args, **kwargs):
+        if args or kwargs:
+            return fn(m, *args, **kwargs)
+        return m._get(f"shared:{name}", lambda: fn(m))
+
+    SHARED[name] = wrapper
+    return wrapper
+
 
 class Model:
     """Sources plus the derived layer.  ``fact_order_items`` follows ``status_policy``."""

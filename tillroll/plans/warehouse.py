@@ -59,9 +59,45 @@ def materialize(model: Model, root: str | None = None) -> Model:
     return Model(load_canonical(spark, root), status_policy=model.status_policy)
 
 
+# Shared result tables in dependency order: each is written after those it reads.
+SHARED_ORDER = [
+    "category_base",                  # F4, R7, R8
+    "agg_monthly_kpis",               # F6 -> F7, F8, F9, R1, R2, R6, R9
+    "agg_monthly_kpis_enriched",      # F7 -> A55-A61
+    "agg_funnel_metrics",             # F5 -> R3, R4
+    "agg_daily_funnel",               # A42 -> A43
+    "country_cancellation_metrics",   # A6 -> A21, A23, D6
+    "country_cart_purchase_funnel",   # A12 -> A21, D6
+    "_country_revenue_base",          # A15 -> A16, A17, A21, D6
+    "country_performance_summary",    # A21 -> A46, A48
+    "country_segment_metrics",        # A4 -> A5, A20
+    "country_month_kpis",             # D4 -> A62
+]
+
+
+def materialize_shared(model: Model, root: str | None = None) -> Model:
+    """Write the result tables other results read (SHARED_ORDER) below ``root/_shared`` and
+    point the model at the written copies, like the layered CTAS model does: F7, F8, F9
+    and the seasonality reports then read the stored monthly table, not the item facts.
+    The stored form keeps decimals, so the readers' arithmetic stays exact."""
+    import tillroll.registry  # noqa: F401  (imports the operators, registering SHARED)
+    from tillroll.plans.model import SHARED
+
+    spark = model.order_items.sparkSession
+    root = root or default_root(spark)
+    for name in SHARED_ORDER:
+        model._layer.pop(f"shared:{name}", None)
+    for name in SHARED_ORDER:
+        path = f"{root}/_shared/{name.lstrip('_')}"
+        write_table(SHARED[name](model), path)
+        model._layer[f"shared:{name}"] = spark.read.parquet(path)
+    return model
+
+
 def write_results(model: Model, root: str, keys: list[str] | None = None) -> dict[str, str]:
     """Write result tables (all registered keys by default) under ``root/<key>``."""
     from tillroll.registry import QUERIES, run_query
+    materialize_shared(model, root)
     out = {}
     for key in keys or list(QUERIES):
         path = f"{root}/{key}"
@@ -70,4 +106,5 @@ def write_results(model: Model, root: str, keys: list[str] | None = None) -> dic
     return out
 
 
-__all__ = ["default_root", "materialize", "write_results", "write_table"]
+__all__ = ["SHARED_ORDER", "default_root", "materialize", "materialize_shared", "write_results",
+           "write_table"]
