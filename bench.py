@@ -54,7 +54,7 @@ def main() -> None:
     from tillroll.session import build_session
 
     spark = build_session("tillroll-bench", master=f"local[{cpus}]",
-                          shuffle_partitions=int(cpus) * 2,
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
                           extra={"spark.driver.memory": "16g"})
     keys = HEADLINE if args.headline else list(QUERIES)
     raw = Model.from_testdata(spark, sf_dir)
