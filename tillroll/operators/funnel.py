@@ -46,10 +46,13 @@ def agg_funnel_metrics(m: Model) -> DataFrame:
           .withColumn("month", month_start(F.to_date("created_at"))))
     stages = _stage_distincts(ev, "month", F.col("session_id")).groupBy("month").agg(
         _count_stage(PRODUCT_VIEW).alias("product_view_sessions"),
-        _count_stage(CART).alias("add_to_cart_sessions"))
-    stages = stages.filter(F.col("product_view_sessions") > 0).select(
+        _count_stage(CART).alias("add_to_cart_sessions"),
+        # a month exists for a stage if it has any event of it, even with NULL sessions only
+        F.count_if(F.col("event_type") == PRODUCT_VIEW).alias("_has_views"),
+        F.count_if(F.col("event_type") == CART).alias("_has_carts"))
+    stages = stages.filter(F.col("_has_views") > 0).select(
         "month", "product_view_sessions",
-        F.when(F.col("month").isNotNull() & (F.col("add_to_cart_sessions") > 0),
+        F.when(F.col("month").isNotNull() & (F.col("_has_carts") > 0),
                F.col("add_to_cart_sessions")).alias("add_to_cart_sessions"))
     buyers = (m.items_with_month(m.fact_order_items_completed)
               .groupBy("month").agg(F.countDistinct("user_id").alias("purchasing_users")))
