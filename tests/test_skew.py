@@ -103,3 +103,25 @@ def test_many_to_many_is_not_materialised(skewed):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     per_user_aggs = plan.count("HashAggregate(keys=[user_id")
     assert per_user_aggs >= 2
+
+
+def test_layer_write_splits_a_hot_order(spark, skewed, tmp_path):
+    """materialize() clusters items by order_id with the rebalance hint: AQE splits the
+    partition of an order holding a large share of the rows over several tasks/files."""
+    from pyspark.sql import functions as F
+    from tillroll.plans.warehouse import materialize
+    model, _ = skewed
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        m = materialize(model, str(tmp_path / "wh"))
+        files = (m.order_items.filter(F.col("order_id") == HOT_ORDER)
+                 .select(F.input_file_name()).distinct().count())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert files > 1
+    assert m.order_items.count() == len(_items())
