@@ -2,11 +2,14 @@
 
 from tillroll.functions.metrics import (
     CANCELLED,
+    MEAN_DIGITS,
+    MONEY_MEAN_DIGITS,
     COMPLETE,
     RETURNED,
     VALID_STATUSES,
     StatusPolicy,
     age_group,
+    attach_total,
     mean_fixed,
     month_start,
     pct_2dp_of_mean,
@@ -23,8 +26,8 @@ from tillroll.functions.countries import (
 )
 
 __all__ = [
-    "CANCELLED", "COMPLETE", "RETURNED", "VALID_STATUSES", "StatusPolicy",
-    "age_group", "mean_fixed", "month_start", "pct_2dp_of_mean", "present",
+    "CANCELLED", "COMPLETE", "MEAN_DIGITS", "MONEY_MEAN_DIGITS", "RETURNED", "VALID_STATUSES",
+    "StatusPolicy", "age_group", "attach_total", "mean_fixed", "month_start", "pct_2dp_of_mean", "present",
     "round_ratio", "safe_divide", "standardize_country", "status_in_policy",
     "COUNTRY_MAP_DIM_USER", "COUNTRY_MAP_GERMANY_ONLY", "COUNTRY_MAP_SPAIN_GERMANY",
 ]

@@ -119,7 +119,7 @@ def attach_total(df: DataFrame, total: DataFrame, name: str) -> DataFrame:
     """Add the single value of a one-row aggregate ``total`` (column ``name``) to every row
     of ``df``, a small per-group table.  Done as a grand-total window over the union, so
     there is no cartesian join; the window partition holds len(df) + 1 rows."""
-    other = [c for c in df.columns]
+    other = list(df.columns)
     left = df.select(*[F.col(c) for c in other], F.lit(None).cast(total.schema[name].dataType)
                      .alias("_total"), F.lit(False).alias("_is_total"))
     right = total.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in other],

@@ -224,8 +224,10 @@ def final_country_performance_merged(m: Model) -> DataFrame:
     """One row per country after the Germany merge.  Additive counts are summed before
     the ratios: revenue and buyers (a user has one country), cart and buying users for the
     conversion, cancelled and total items for a pooled cancellation rate."""
-    merge = lambda df: df.withColumn(
-        "country", standardize_country(F.col("country"), COUNTRY_MAP_GERMANY_ONLY))
+    def merge(df: DataFrame) -> DataFrame:
+        return df.withColumn(
+            "country", standardize_country(F.col("country"), COUNTRY_MAP_GERMANY_ONLY))
+
     r = merge(_country_revenue_base(m)).groupBy("country").agg(
         F.sum("total_revenue").alias("total_revenue"),
         F.sum("purchasing_users").alias("purchasing_users"))

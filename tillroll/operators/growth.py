@@ -219,7 +219,9 @@ def revenue_decomposition(m: Model) -> DataFrame:
 
     out = y.select("*", dlog("total_revenue").alias("_dr"), dlog("buyers").alias("_db"),
                    dlog("orders_per_buyer").alias("_df"), dlog("avg_order_value").alias("_da"))
-    share = lambda c: F.round(F.try_divide(F.col(c), F.col("_dr")), MEAN_DIGITS)
+    def share(c: str) -> F.Column:
+        return F.round(F.try_divide(F.col(c), F.col("_dr")), MEAN_DIGITS)
+
     return out.select("year", "total_revenue", "buyers", "orders", "orders_per_buyer",
                       "avg_order_value", share("_db").alias("buyers_log_share"),
                       share("_df").alias("frequency_log_share"),

@@ -7,10 +7,10 @@ a table bounded by the calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import mean_fixed, pct_2dp_of_mean
+from tillroll.functions.metrics import mean_fixed, pct_2dp_of_mean, safe_divide
 from tillroll.operators.growth import agg_monthly_kpis_enriched, enrich_monthly, monthly_kpis
 from tillroll.plans.model import Model, shared
 
@@ -101,7 +101,6 @@ def inspect_year(m: Model, year: int = 2024) -> DataFrame:
 
 def mom_recompute_check(m: Model) -> DataFrame:
     """MoM recomputed from LAG columns of F7, first row dropped."""
-    from pyspark.sql import Window
     f7 = agg_monthly_kpis_enriched(m)
     order = Window.orderBy("month")
     x = f7.select("month", "total_revenue", "total_orders",
@@ -109,10 +108,10 @@ def mom_recompute_check(m: Model) -> DataFrame:
                   F.lag("total_orders").over(order).alias("prev_ord"))
     return x.filter(F.col("prev_rev").isNotNull()).select(
         "month",
-        F.try_divide((F.col("total_revenue") - F.col("prev_rev")).cast("double"),
-                     F.col("prev_rev").cast("double")).alias("rev_mom_calc"),
-        F.try_divide((F.col("total_orders") - F.col("prev_ord")).cast("double"),
-                     F.col("prev_ord").cast("double")).alias("ord_mom_calc")).orderBy("month")
+        safe_divide(F.col("total_revenue") - F.col("prev_rev"), F.col("prev_rev")).alias(
+            "rev_mom_calc"),
+        safe_divide(F.col("total_orders") - F.col("prev_ord"), F.col("prev_ord")).alias(
+            "ord_mom_calc")).orderBy("month")
 
 
 @shared
