@@ -12,9 +12,11 @@ checkpoint folder (``spark.checkpoint.dir``), never to a machine-local temporary
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.plans.model import Model
 from tillroll.session import checkpoint_dir
@@ -95,6 +97,52 @@ def materialize_shared(model: Model, root: str | None = None) -> Model:
     return model
 
 
+def _month_ranges(months: list[dt.date]) -> Column:
+    """created_at within any of the calendar months: plain range predicates on the stored
+    column, so they reach the parquet scan and skip row groups of the time-sorted files."""
+    cond = None
+    for m in months:
+        start = m.replace(day=1)
+        end = (start + dt.timedelta(days=32)).replace(day=1)
+        c = (F.col("created_at") >= F.lit(start)) & (F.col("created_at") < F.lit(end))
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def write_monthly_kpis(model: Model, path: str, months: list[dt.date] | None = None) -> None:
+    """Store F6 partitioned by month.  With ``months``, only those months are recomputed
+    and only their partitions are replaced (dynamic partition overwrite): a daily refresh
+    reads the items of the months that changed, not the whole history.  F7-F9 and the
+    seasonality tables derive from the stored F6, one row per month."""
+    from tillroll.operators.growth import monthly_kpis
+
+    items = model.fact_order_items_all
+    if months is not None:
+        if not months:
+            return
+        items = model.order_items.filter(_month_ranges(months))
+        items = Model(model.sources, model.status_policy,
+                      {"order_items": items}).fact_order_items_all
+    f6 = monthly_kpis(model.items_with_month(items), [])
+    (f6.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("month").parquet(path))
+    if months is not None:
+        # A refreshed month without any valid sale has no F6 row any more: drop its stale
+        # partition (a metadata operation on at most len(months) folders).
+        spark = f6.sparkSession
+        kept = {r[0] for r in spark.read.parquet(path).filter(F.col("month").isin(months))
+                .select("month").distinct().collect()}
+        written = {r[0] for r in f6.select("month").distinct().collect()}
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for m in kept - written:
+            part = jvm.org.apache.hadoop.fs.Path(f"{path}/month={m.isoformat()}")
+            part.getFileSystem(conf).delete(part, True)
+
+
+def read_monthly_kpis(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_results(model: Model, root: str, keys: list[str] | None = None) -> dict[str, str]:
     """Write result tables (all registered keys by default) under ``root/<key>``."""
     from tillroll.registry import QUERIES, run_query
@@ -107,5 +155,5 @@ def write_results(model: Model, root: str, keys: list[str] | None = None) -> dic
     return out
 
 
-__all__ = ["SHARED_ORDER", "default_root", "materialize", "materialize_shared", "write_results",
-           "write_table"]
+__all__ = ["SHARED_ORDER", "default_root", "materialize", "materialize_shared",
+           "read_monthly_kpis", "write_monthly_kpis", "write_results", "write_table"]
