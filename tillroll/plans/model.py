@@ -69,6 +69,16 @@ class Model:
             self._layer[name] = build()
         return self._layer[name]
 
+    def use(self, name: str, df: DataFrame | None) -> "Model":
+        """Serve table ``name`` (a layer property or a ``@shared`` operator's name) from
+        ``df``, typically a stored copy; None forgets it, so it is planned again."""
+        key = name if hasattr(type(self), name) else f"shared:{name}"
+        if df is None:
+            self._layer.pop(key, None)
+        else:
+            self._layer[key] = df
+        return self
+
     # raw sources -------------------------------------------------------------------
     @property
     def order_items(self) -> DataFrame:

@@ -89,11 +89,11 @@ def materialize_shared(model: Model, root: str | None = None) -> Model:
     spark = model.order_items.sparkSession
     root = root or default_root(spark)
     for name in SHARED_ORDER:
-        model._layer.pop(f"shared:{name}", None)
+        model.use(name, None)
     for name in SHARED_ORDER:
         path = f"{root}/_shared/{name.lstrip('_')}"
         write_table(SHARED[name](model), path)
-        model._layer[f"shared:{name}"] = spark.read.parquet(path)
+        model.use(name, spark.read.parquet(path))
     return model
 
 
@@ -120,9 +120,9 @@ def write_monthly_kpis(model: Model, path: str, months: list[dt.date] | None = N
     if months is not None:
         if not months:
             return
-        items = model.order_items.filter(_month_ranges(months))
-        items = Model(model.sources, model.status_policy,
-                      {"order_items": items}).fact_order_items_all
+        changed = model.order_items.filter(_month_ranges(months))
+        items = Model(model.sources, model.status_policy).use(
+            "order_items", changed).fact_order_items_all
     f6 = monthly_kpis(model.items_with_month(items), [])
     (f6.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("month").parquet(path))
