@@ -13,3 +13,11 @@ def test_refresh_writes_tables(spark, small_model, tmp_path):
     for key in keys:
         stored = spark.read.parquet(f"{out}/{key}")
         assert spark_rows(stored) == spark_rows(run_query(key, small_model))
+
+
+def test_refresh_registers_catalog_tables(spark, small_model, tmp_path):
+    out = str(tmp_path / "out")
+    assert main(["refresh", "--testdata", "/root/testdata/sf0.001", "--out", out,
+                 "--keys", "agg_yearly_kpis", "--database", "analytics_test"]) == 0
+    stored = spark.table("analytics_test.agg_yearly_kpis")
+    assert spark_rows(stored) == spark_rows(run_query("agg_yearly_kpis", small_model))

@@ -1,6 +1,7 @@
 """Command line: ``python -m tillroll`` (or ``spark-submit -m``-style launchers).
 
     refresh  --canonical PATH | --testdata DIR   --out ROOT [--keys k1,k2] [--policy valid]
+             [--database analytics]
              materialise the layer and the shared tables, then write every result table
              (or the listed ones) to ROOT/<key> - the full dashboard rebuild.
     show     KEY (--canonical PATH | --testdata DIR) [-n 20]
@@ -40,6 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "refresh":
             p.add_argument("--out", required=True, help="output root (shared storage)")
             p.add_argument("--keys", help="comma-separated keys (default: all)")
+            p.add_argument("--database", help="also register each table as <database>.<key>")
         else:
             p.add_argument("key")
             p.add_argument("-n", type=int, default=20)
@@ -63,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     if unknown:
         ap.error(f"unknown keys: {unknown}")
     model = materialize(model, f"{args.out.rstrip('/')}/_layer")
-    written = write_results(model, args.out.rstrip("/"), keys)
+    written = write_results(model, args.out.rstrip("/"), keys, database=args.database)
     print(f"wrote {len(written)} tables under {args.out}")
     return 0
 

@@ -143,17 +143,32 @@ def read_monthly_kpis(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_results(model: Model, root: str, keys: list[str] | None = None) -> dict[str, str]:
-    """Write result tables (all registered keys by default) under ``root/<key>``."""
+def write_catalog_table(df: DataFrame, database: str, name: str, path: str) -> None:
+    """CREATE OR REPLACE TABLE database.name AS ...: an external parquet table at ``path``
+    registered in the session catalog (a metastore on a cluster)."""
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    (df.write.mode("overwrite").format("parquet").option("path", path)
+       .saveAsTable(f"`{database}`.`{name}`"))
+
+
+def write_results(model: Model, root: str, keys: list[str] | None = None,
+                  database: str | None = None) -> dict[str, str]:
+    """Write result tables (all registered keys by default) under ``root/<key>``; with
+    ``database``, also register each as the catalog table ``database.<key>``."""
     from tillroll.registry import QUERIES, run_query
     materialize_shared(model, root)
     out = {}
     for key in keys or list(QUERIES):
         path = f"{root}/{key}"
-        write_table(run_query(key, model), path)
+        if database:
+            write_catalog_table(run_query(key, model), database, key, path)
+        else:
+            write_table(run_query(key, model), path)
         out[key] = path
     return out
 
 
 __all__ = ["SHARED_ORDER", "default_root", "materialize", "materialize_shared",
-           "read_monthly_kpis", "write_monthly_kpis", "write_results", "write_table"]
+           "read_monthly_kpis", "write_catalog_table", "write_monthly_kpis", "write_results",
+           "write_table"]
