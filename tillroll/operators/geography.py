@@ -242,8 +242,11 @@ def final_country_performance_merged(m: Model) -> DataFrame:
     return _final_country(perf, _user_base(m, COUNTRY_MAP_GERMANY_ONLY))
 
 
+@shared
 def _orders_items(m: Model) -> DataFrame:
-    """fact_orders JOIN fact_order_items on order_id, keeping the order's user."""
+    """fact_orders JOIN fact_order_items on order_id, keeping the order's user.  Six tables
+    (A49-A54) read it, so a refresh stores it once (two item scans and three shuffles
+    each time otherwise)."""
     fo = m.fact_orders.withColumnRenamed("user_id", "fo_user_id")
     return fo.join(m.fact_order_items.select("order_id", "product_id", "revenue"),
                    "order_id", "inner")
