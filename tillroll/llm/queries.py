@@ -5,26 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, quality, urls
+from tillroll.llm import bpe, mixing, quality, toxicity, urls
 from tillroll.llm.common import table
 
+#: The encoder's file among the installed public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                            ~toxicity.held_out(F.col("doc_id")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        toxicity.is_toxic().cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op7_url_filters, op10_mixing)}
+    f.__name__: f for f in (op1_quality_rules, op6_bpe, op7_url_filters, op8_toxicity, op10_mixing)}
 
 OP7_SQL = f"""
 WITH cut AS (
