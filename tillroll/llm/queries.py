@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, mixing, quality, toxicity, urls
+from tillroll.llm import bpe, mixing, pii, quality, toxicity, urls
 from tillroll.llm.common import table
 
 #: The encoder's file among the installed public tokenizers.
@@ -23,6 +23,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
@@ -44,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op6_bpe, op7_url_filters, op8_toxicity, op10_mixing)}
+    f.__name__: f for f in (op1_quality_rules, op4_pii, op6_bpe, op7_url_filters, op8_toxicity, op10_mixing)}
 
 OP7_SQL = f"""
 WITH cut AS (
