@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, mixing, pii, quality, toxicity, urls
+from tillroll.llm import bpe, mixing, ngram_join, pii, quality, toxicity, urls
 from tillroll.llm.common import table
 
 #: The encoder's file among the installed public tokenizers.
@@ -42,13 +42,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         toxicity.is_toxic().cast("int").alias("predicted"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_pii, op6_bpe, op7_url_filters, op8_toxicity, op10_mixing)}
+    f.__name__: f for f in (op1_quality_rules, op4_pii, op6_bpe, op7_url_filters, op8_toxicity, op9_ngram_join,
+                               op10_mixing)}
 
 OP7_SQL = f"""
 WITH cut AS (
