@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, mixing, ngram_join, pii, quality, toxicity, urls
+from tillroll.llm import bpe, lm, mixing, ngram_join, pii, quality, toxicity, urls
 from tillroll.llm.common import table
 
 #: The encoder's file among the installed public tokenizers.
@@ -23,6 +23,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm.held_out(F.col("doc_id"))
+    return lm.score(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_pii, op6_bpe, op7_url_filters, op8_toxicity, op9_ngram_join,
+    f.__name__: f for f in (op1_quality_rules, op3_lm_scoring, op4_pii, op6_bpe, op7_url_filters, op8_toxicity, op9_ngram_join,
                                op10_mixing)}
 
 OP7_SQL = f"""
