@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, lm, mixing, ngram_join, pii, quality, toxicity, urls
+from tillroll.llm import bpe, lm, mixing, neardup, ngram_join, pii, quality, toxicity, urls
 from tillroll.llm.common import table
 
 #: The encoder's file among the installed public tokenizers.
@@ -23,6 +23,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op2_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lm.held_out(F.col("doc_id"))
     return lm.score(table(spark, sf_dir, "documents"), ~held_out).select(
@@ -57,9 +61,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_lm_scoring, op4_pii, op6_bpe, op7_url_filters, op8_toxicity, op9_ngram_join,
-                               op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_quality_rules, op2_near_embeddings, op3_lm_scoring, op4_pii, op6_bpe, op7_url_filters,
+    op8_toxicity, op9_ngram_join, op10_mixing)}
 
 OP7_SQL = f"""
 WITH cut AS (
