@@ -29,6 +29,14 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def write_file(folder: str, name: str, data: bytes) -> str:
+    files, path = _filesystem(folder)
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/{name}") as out:
+        out.write(data)
+    return f"{folder}/{name}"
+
+
 def write(folder: str, name: str, shard: int, array: np.ndarray) -> None:
     files, path = _filesystem(folder)
     files.create_dir(path, recursive=True)

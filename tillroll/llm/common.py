@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.arrays import write_file
+
 #: A word, for Java's and RE2's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,17 +27,16 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that its functions can run
-    there wherever the driver was started from."""
+    there wherever the driver was started from. The archive stays in the shared folder."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as folder:  # on the driver; Spark keeps its own copy
-            path = Path(folder, f"{package.name}-{context.applicationId}.zip")
-            with zipfile.ZipFile(path, "w") as out:
-                for f in sorted(package.rglob("*.py")):
-                    out.write(f, f.relative_to(package.parent))
-            context.addPyFile(str(path))
-            _SHIPPED.add(context.applicationId)
+        package, held = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(held, "w") as out:
+            for f in sorted(package.rglob("*.py")):
+                out.write(f, f.relative_to(package.parent))
+        folder = scratch(spark, "code")
+        context.addPyFile(write_file(folder, f"{package.name}.zip", held.getvalue()))
+        _SHIPPED.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
