@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, lm, mixing, neardup, ngram_join, pii, quality, toxicity, urls
+from tillroll.llm import bpe, lm, mixing, neardup, ngram_join, paragraphs, pii, quality, toxicity, urls
 from tillroll.llm.common import table
 
 #: The encoder's file among the installed public tokenizers.
@@ -37,6 +37,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.find(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
@@ -62,8 +66,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_rules, op2_near_embeddings, op3_lm_scoring, op4_pii, op6_bpe, op7_url_filters,
-    op8_toxicity, op9_ngram_join, op10_mixing)}
+    op1_quality_rules, op2_near_embeddings, op3_lm_scoring, op4_pii, op5_repeated_passages, op6_bpe,
+    op7_url_filters, op8_toxicity, op9_ngram_join, op10_mixing)}
 
 OP7_SQL = f"""
 WITH cut AS (
