@@ -24,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -367,3 +368,22 @@ def _answer(read: DataFrame, rows: DataFrame, classes: DataFrame, found: DataFra
     own = F.when(F.col("n") > 0, F.coalesce("least", "row")).otherwise(F.col("row"))
     return joined.select(F.when(F.col("row") < last, F.col("row")).alias("doc_id"), F.col("n").alias("n_shingles"),
                          F.when(own < last, own).alias("component_id"))
+
+
+def _without(gone: tuple[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id")
+        known = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.int64)
+        drop = arrays.find(*gone, known.view(np.uint64))[0] & ids.is_valid().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(~drop))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the documents of a group other than the one with the least
+    id. Rows with a null id stay, as do rows that repeat the id of a document that stays. The ids
+    that go are a store in the shared folder, so no text is shuffled to drop them."""
+    groups = stored(join(docs), "join-groups")
+    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct(), "join-gone")
+    store = (scratch(docs.sparkSession, "join-gone-store"), arrays.shards_for(gone.count()))
+    arrays.store_sorted(gone, *store)
+    return docs.mapInArrow(partial(_without, store), docs.schema)

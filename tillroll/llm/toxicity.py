@@ -13,10 +13,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,28 +176,65 @@ def fit_curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0]), max(float(w[1]), 0.0)
 
 
-def detect(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, passages, excess, score.
+@dataclass(frozen=True)
+class Fitted:
+    """A lexicon, K, and the curve's two numbers."""
+    odds: dict[str, float]
+    k: float
+    a: float
+    b: float
 
-    ``labels`` (doc_id, toxic) teach only where ``train`` holds (a condition on doc_id; default:
-    all). The lexicon is fitted on at most ``max_train`` rows of each class; K and the curve are
-    fitted on all of them, from counts in bins of the sum. Null and empty texts have no tokens
-    and the score of a text without passages. Null labels and labels without a document teach
-    nothing; if either class is missing, the score is the share of toxic labels (0.5 without any).
-    Repeated rows each keep theirs; an empty table gives no rows; other columns are ignored."""
+    def score(self) -> Column:
+        """From the columns of ``scan``."""
+        return 1 / (1 + F.exp(-(F.lit(self.a) + F.lit(self.b) * F.least(excess(self.k), F.lit(100.0)))))
+
+    def score_of(self, n_tokens: int, scores: list[float]) -> float:
+        """The same for one text."""
+        floor = math.log(self.k * max(n_tokens, 1))
+        x = min(sum(max(s - floor, 0.0) for s in scores), 100.0)
+        return 1 / (1 + math.exp(-(self.a + self.b * x)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
+        max_train: int = MAX_TRAIN) -> tuple[Fitted, DataFrame]:
+    """The model, and the scan of all of ``docs`` that it was calibrated with."""
     train = F.lit(True) if train is None else train
     odds = lexicon(docs, stored(training_rows(labels, train, max_train), "toxic-rows"))
     scanned = stored(scan(docs, odds), "toxic-passages")
     known = labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     k = fit_k(scanned, known, min(odds.values(), default=1.0))
-    summed = scanned.withColumn("excess", excess(k))
-    bins = summed.join(known, "doc_id").groupBy(
+    bins = scanned.withColumn("excess", excess(k)).join(known, "doc_id").groupBy(
         F.least(F.round(F.col("excess") * 4) / 4, F.lit(100.0)).alias("x")).agg(
         F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).collect()  # 401 rows at most
-    a, b = fit_curve([tuple(r) for r in bins])
-    curve = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least("excess", F.lit(100.0)))))
-    return summed.withColumn("score", curve)
+    return Fitted(odds, k, *fit_curve([tuple(r) for r in bins])), scanned
+
+
+def detect(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, passages, excess, score.
+
+    ``labels`` (doc_id, toxic) teach only where ``train`` holds (a condition on doc_id; default:
+    all). The lexicon is fitted on at most ``max_train`` rows of each class; K and the curve are
+    fitted on all of them, from counts in bins of the sum. Null and empty texts have no tokens
+    and the score of a text without passages. Null labels and labels without a document teach
+    nothing; if either class is missing, the score is the share of toxic labels (0.5 without any).
+    Repeated rows each keep theirs; an empty table gives no rows; other columns are ignored."""
+    model, scanned = fit(docs, labels, train, max_train)
+    return scanned.withColumn("excess", excess(model.k)).withColumn("score", model.score())
+
+
+def _clean(model: Fitted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = _scan(model.odds, pd.DataFrame({"doc_id": 0, "text": batch.column("text").to_pylist()}))
+        scores = [model.score_of(n, [p["score"] for p in found]) for n, found in zip(rows["n_tokens"], rows["passages"])]
+        yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+
+
+def clean(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that are not found toxic, with all their columns. Rows are judged where
+    they are read: no text is shuffled, and rows that repeat an id are judged each by its text."""
+    model, _ = fit(docs, labels, train)
+    return docs.mapInArrow(partial(_clean, model), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
