@@ -75,7 +75,7 @@ def mapped(folder: str, name: str, shard: int, dtype) -> np.ndarray:
     return _OPEN[key]
 
 
-def shards_for(rows: int, each: int = 2_000_000) -> int:
+def shards_for(rows: int, each: int = 1_000_000) -> int:
     """How many shards keep ``rows`` evenly spread rows near ``each`` a shard."""
     return max(1, -(-rows // each))
 
@@ -138,3 +138,58 @@ def lookup(folder: str, shards: int, keys: np.ndarray, name: str, dtype, missing
         own = found & (shard == s)
         out[own] = mapped(folder, name, int(s), dtype)[place[own]]
     return out
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys as gaps, byte by byte of all of them: equal bytes come together, so
+    the shuffle's compression removes what the keys have in common."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
+    """(shard, its rows) of a partition sorted by shard."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if now is not None and row.shard != now:
+                yield now, rows
+                rows = []
+            now = row.shard
+            rows.append(row)
+    if now is not None:
+        yield now, rows
+
+
+LISTED = "shard int, kind int, keys binary, at binary, classes binary, more binary"
+
+
+def packed_lists(keys: np.ndarray, classes: np.ndarray, shards: int, more: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Entries (key, class) in order of the key, a row per shard: packed keys, the distinct classes
+    (with ``more``, a number of each class) and for each key the place of its class."""
+    shard = shard_of(keys, shards)
+    edges = np.searchsorted(shard, np.arange(shards + 1))
+    for s in range(shards):
+        a, b = edges[s], edges[s + 1]
+        if b > a:
+            own, first, at = np.unique(classes[a:b], return_index=True, return_inverse=True)
+            place = at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield pd.DataFrame({"shard": [s], "kind": [0], "keys": [pack(keys[a:b])], "at": [place], "classes": [own.tobytes()],
+                                "more": [b"" if more is None else more[a:b][first].tobytes()]})
+
+
+def packed_pairs(kind: int, shard: int, one: np.ndarray, other: np.ndarray, more: np.ndarray | None = None) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "kind": [kind], "keys": [one.tobytes()], "at": [b""], "classes": [other.tobytes()],
+                         "more": [b"" if more is None else more.tobytes()]})
+
+
+def unpacked_list(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, class of each, more of each or nothing) of a row of ``packed_lists``."""
+    at = np.ascontiguousarray(np.frombuffer(row.at, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    more = np.frombuffer(row.more, np.int64)
+    return unpack(row.keys), np.frombuffer(row.classes, np.int64)[at], more[at] if len(more) else more

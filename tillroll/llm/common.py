@@ -22,12 +22,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch, where the session has Spark's own 64 MB.
+BATCH = 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that its functions can run
-    there wherever the driver was started from. The archive stays in the shared folder."""
+    there wherever the driver was started from. The archive stays in the shared folder. Texts
+    are handed to Python in batches of ``BATCH`` bytes unless the session asks for less."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package, held = Path(__file__).resolve().parents[1], io.BytesIO()

@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import arrays
+from tillroll.llm.arrays import by_shard, pack, unpack
 from tillroll.llm.common import remainder, scratch, stored
 from tillroll.llm.hashing import blocks, mix, word_hashes
 
 #: Tokens that a task counts before it hands on what it has.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Words per shard of the word arrays, bigram entries before merging per shard of theirs.
-WORDS_EACH, PAIRS_EACH = 2_000_000, 8_000_000
+WORDS_EACH, PAIRS_EACH = 1_000_000, 2_500_000
 #: The end of a text, a token of its own.
 END = mix(np.array([0x0E2D], np.uint64))[0]
 _LOW = np.uint64(0xFFFFFFFF)
@@ -37,18 +38,6 @@ def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 10) == 0
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted unsigned keys as gaps, byte by byte of all of them: equal bytes come together, so
-    the shuffle's compression removes what the keys have in common."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64)
-
-
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with their sums."""
     if not keys:
@@ -167,25 +156,11 @@ def _unpacked(data: bytes, values: int) -> np.ndarray:
     return flat.reshape(values, -1).astype(np.int64)
 
 
-def _by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
-    """(shard, its rows) of a partition sorted by shard."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if now is not None and row.shard != now:
-                yield now, rows
-                rows = []
-            now = row.shard
-            rows.append(row)
-    if now is not None:
-        yield now, rows
-
-
 def _merge_pairs(words: Words, pairs: Pairs, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Writes a shard's bigrams. Hands on, packed for the shards of the words: kind 1: distinct
     words before each word; kind 2: of each first word its tokens and how many bigrams it has once,
     twice, more often. Kind 3: how many bigrams occur 1, 2, 3, 4 times, and all."""
-    for shard, rows in _by_shard(batches):
+    for shard, rows in by_shard(batches):
         key, n = merged([unpack(r.keys) for r in rows], [_unpacked(r.counts, 1)[0] for r in rows])
         rows.clear()
         arrays.write(pairs.folder, "key", shard, key)
@@ -206,7 +181,7 @@ def _tally(n: np.ndarray) -> bytes:
 
 def _merge_words(words: Words, folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Writes of a shard of words ``before`` (distinct words before each), ``c`` and ``n1`` to ``n3``."""
-    for shard, rows in _by_shard(batches):
+    for shard, rows in by_shard(batches):
         base = words.starts[shard]
         size = words.starts[shard + 1] - base if shard < words.shards else 1
         before, sums = np.zeros(size, np.int64), np.zeros((4, size), np.int64)
