@@ -41,7 +41,7 @@ COMMON = 16
 #: Light sets have at most so many shingles.
 MOST_LIGHT = 64
 #: Shingles (and classes) that a task holds before it hands on what it has.
-HELD = 4_000_000
+HELD = 1_500_000
 _ROWS = "kind int, a long, b long, c long"
 _LIGHT = np.uint64(0x51ED270B7F3A9C15)
 
@@ -119,33 +119,38 @@ def signatures(prefix: np.ndarray, n: int, light: int) -> list[np.ndarray]:
     return out
 
 
-def _list(common: tuple[str, int], light: int, only: tuple[str, int] | None,
+def hand_on(keys: np.ndarray, classes: np.ndarray, shards: int, more: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """What a task lists (key, class), for the shuffle. Without ``more``: kind 0: each key with its
+    least class of this task, kind 1: the other classes paired with that one. With ``more`` (the
+    component of each class): kind 0: all of it."""
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    if more is not None:
+        yield from arrays.packed_lists(keys, classes, shards, more[order])
+        return
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    yield from arrays.packed_lists(keys[first], classes[first], shards)
+    least = classes[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    other = classes != least
+    if other.any():
+        pairs = np.unique(np.stack([classes[other], least[other]]), axis=1)
+        yield arrays.packed_pairs(1, int(keys[0]) % shards, pairs[0], pairs[1])
+
+
+def _list(common: tuple[str, int], light: int, only: tuple[str, int] | None, shards: int,
           batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Without ``only``: kind 0: (signature, least class of this task under it), kind 1: (class,
-    that least class) for the others. With ``only`` (a store of classes with component and n):
-    kind 0: (signature, class, component) of those classes, all of them."""
+    """Signatures of the sets of a task, of all or of those in the store ``only``."""
     seen: set[int] = set()
     keys: list[np.ndarray] = []
     own: list[np.ndarray] = []
     size = 0
 
     def listed() -> Iterator[pd.DataFrame]:
-        if not keys:
-            return
-        key, cls = np.concatenate(keys).view(np.int64), np.concatenate(own)
-        keys.clear()
-        own.clear()
-        if only:
-            part = arrays.lookup(*only, cls.view(np.uint64), "component", np.int64, 0)
-            yield _columns(0, key, cls, part)
-            return
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        yield _columns(0, key[first], cls[first])
-        least = cls[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.unique(np.stack([cls[cls != least], least[cls != least]]), axis=1)
-        yield _columns(1, pairs[0], pairs[1])
+        if keys:
+            key, cls = np.concatenate(keys), np.concatenate(own)
+            keys.clear()
+            own.clear()
+            yield from hand_on(key, cls, shards, component_of(only, cls))
 
     for batch in batches:
         for _, sets in _sets(batch):
@@ -170,50 +175,65 @@ def _list(common: tuple[str, int], light: int, only: tuple[str, int] | None,
     yield from listed()
 
 
-def _runs(batches: Iterator[pd.DataFrame], crossing: bool) -> Iterator[pd.DataFrame]:
-    """Rows (a: signature, b: class, c: component) sorted by a, b -> pairs (a, b) of classes.
-    Each with its list's least class, or with ``crossing`` those between components."""
-    key, least = None, 0
-    held: list[pd.DataFrame] = []  # the list that may go on in the next batch, for crossing
-
-    def cross(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        start = np.flatnonzero(np.concatenate([[True], rows["a"].to_numpy()[1:] != rows["a"].to_numpy()[:-1]]))
-        cls, part = rows["b"].to_numpy(), rows["c"].to_numpy()
-        for s, e in zip(start, [*start[1:], len(rows)]):
-            if e - s < 2 or (part[s:e] == part[s]).all():
-                continue
-            own = pd.DataFrame({"b": cls[s:e], "c": part[s:e]}).drop_duplicates("b")
-            c, p = own["b"].to_numpy(), own["c"].to_numpy()
-            for i in range(len(c) - 1):
-                other = c[i + 1:][p[i + 1:] != p[i]]
-                if len(other):
-                    yield pd.DataFrame({"a": np.full(len(other), c[i]), "b": other})
+def component_of(only: tuple[str, int] | None, classes: np.ndarray) -> np.ndarray | None:
+    return arrays.lookup(*only, classes.view(np.uint64), "component", np.int64, 0) if only else None
+
+
+def _runs(crossing: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed lists by shard -> pairs (a > b) of classes: each with its list's least class, or with
+    ``crossing`` those between components."""
+    for _, rows in arrays.by_shard(batches):
+        done = [(np.frombuffer(r.keys, np.int64), np.frombuffer(r.classes, np.int64)) for r in rows if r.kind == 1]
+        lists = [arrays.unpacked_list(r) for r in rows if r.kind == 0]
+        rows.clear()
+        if lists:
+            keys, classes, parts = (np.concatenate(x) for x in zip(*lists))
+            lists.clear()
+            order = np.lexsort((classes, keys))
+            keys, classes = keys[order], classes[order]
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            if crossing:
+                yield from _crossing(start, classes, parts[order])
+            else:
+                least = np.repeat(classes[start], np.diff(np.append(start, len(keys))))
+                other = classes != least
+                done.append((classes[other], least[other]))
+        if done:
+            a, b = (np.concatenate(x) for x in zip(*done))
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+
+def _crossing(start: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+
+    def pairs() -> pd.DataFrame:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pd.DataFrame({"a": both[0], "b": both[1]})
 
-    for batch in batches:
-        if crossing:
-            held.append(batch)
-            if batch["a"].iloc[0] != batch["a"].iloc[-1]:
-                rows = pd.concat(held)
-                done = (rows["a"] != rows["a"].iloc[-1]).to_numpy()
-                held = [rows[~done]]
-                yield from cross(rows[done])
+    for s, e in zip(start, np.append(start[1:], len(classes))):
+        if e - s < 2 or (parts[s:e] == parts[s]).all():
             continue
-        a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
-        first = np.concatenate([[key is None or a[0] != key], a[1:] != a[:-1]])
-        pivots = np.concatenate([[least], b[first]])[np.cumsum(first)]
-        key, least = a[-1], pivots[-1]
-        yield pd.DataFrame({"a": b[b != pivots], "b": pivots[b != pivots]})
+        own, first = np.unique(classes[s:e], return_index=True)
+        part = parts[s:e][first]
+        for i in range(len(own) - 1):
+            other = own[i + 1:][part[i + 1:] != part[i]]
+            if len(other):
+                held.append((np.full(len(other), own[i]), other))
+                size += len(other)
+                if size > HELD:
+                    yield pairs()
+                    size = 0
     if held:
-        yield from cross(pd.concat(held))
+        yield pairs()
 
 
-def _pairs(listed: DataFrame, crossing: bool) -> DataFrame:
-    """Distinct pairs (a > b) from the lists, each list sorted within one partition."""
-    spread = listed.where("kind = 0").select("a", "b", "c").repartition("a").sortWithinPartitions("a", "b")
-    found = spread.mapInPandas(partial(_runs, crossing=crossing), "a long, b long")
-    if not crossing:
-        found = found.unionByName(listed.where("kind = 1").select("a", "b"))
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+def pairs_of(listed: DataFrame, shards: int, crossing: bool) -> DataFrame:
+    """Distinct pairs (a > b) from packed lists."""
+    spread = listed.repartition(shards, "shard").sortWithinPartitions("shard")
+    return spread.mapInPandas(partial(_runs, crossing), "a long, b long").distinct()
 
 
 def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +254,7 @@ def _store_sets(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         for shard, part in batch.groupby("shard"):
             held.setdefault(int(shard), []).append(part)
     for shard, parts in held.items():
-        part = pd.concat(parts)
+        part = pd.concat(parts).drop_duplicates("class")  # a row that stands for a class may be repeated
         part = part.iloc[np.argsort(part["class"].to_numpy(np.int64).view(np.uint64))]
         sizes = part["shingles"].map(len).to_numpy() // 8
         arrays.write(folder, "key", shard, part["class"].to_numpy(np.int64).view(np.uint64))
@@ -312,8 +332,9 @@ def join(docs: DataFrame) -> DataFrame:
     totals = described.agg(F.sum(F.when(F.col("kind") == 1, F.col("b"))), F.sum(F.when(F.col("kind") == 0, F.col("b")))).first()
     light = cost_boundary({r["n"]: r["count"] for r in few}, (totals[0] or 0) / max(totals[1] or 1, 1))
 
-    listed = stored(texts.mapInPandas(partial(_list, common, light, None), _ROWS), "join-lists")
-    pairs = stored(_pairs(listed, crossing=False), "join-pairs")
+    shards = arrays.shards_for((totals[1] or 0) // 3)  # a prefix is a quarter of a set and a little more
+    listed = texts.mapInPandas(partial(_list, common, light, None, shards), arrays.LISTED)
+    pairs = stored(pairs_of(listed, shards, crossing=False), "join-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class"), "join-members")
     size = members.agg(F.count("*"), F.sum("n")).first()
     if not size[0]:
@@ -324,8 +345,6 @@ def join(docs: DataFrame) -> DataFrame:
     top = F.shiftrightunsigned("class", 32)
     emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary").withColumn(
         "shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32))
-    # a null id or a repeated one may stand for a class in several rows
-    emitted = emitted.dropDuplicates(["class"])
     emitted.repartition(sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
 
     verify = partial(_verify, sets)
@@ -342,8 +361,8 @@ def join(docs: DataFrame) -> DataFrame:
         only = (scratch(spark, "join-open-store"), arrays.shards_for(n_open))
         arrays.store_sorted(again.select(F.col("class").alias("key"), "component", "n"), *only,
                             {"component": np.int64, "n": np.int64})
-        relisted = texts.mapInPandas(partial(_list, common, light, only), _ROWS)
-        crossing = _pairs(relisted, crossing=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        relisted = texts.mapInPandas(partial(_list, common, light, only, shards), arrays.LISTED)
+        crossing = pairs_of(relisted, shards, crossing=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = stored(crossing.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "join-rechecked")
         joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(
             more.where("ok").select("a", "b"))
