@@ -24,15 +24,14 @@ from tillroll.llm import arrays
 from tillroll.llm.common import scratch, stored
 from tillroll.llm.components import components
 from tillroll.llm.hashing import blocks, combine, mix, shingle_hashes, word_hashes
-from tillroll.llm.ngram_join import _columns, _pairs, _store_sets, _verify
+from tillroll.llm.ngram_join import _store_sets, _verify, component_of, hand_on, pairs_of
 
 WIDTH, SPAN, GAP = 5, 20, 28
 #: A text of fewer words than a span is one span if it has so many.
 LEAST_WORDS = 5
 THRESHOLD, RECALL = 0.75, 0.95
 #: Band keys that a task holds before it hands on what it has.
-HELD = 4_000_000
-_ROWS = "kind int, a long, b long, c long"
+HELD = 1_500_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -97,10 +96,10 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _list(bands: int, rows: int, only: tuple[str, int] | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Without ``only``: kind 0: (band key, least span of this task under it), kind 1: (span,
-    that least one) for the others, kind 2: (span, least document, greatest document). With
-    ``only`` (a store of spans with component): kind 0: (band key, span, component) of those."""
+def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
+          batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Band keys of the spans of a task, of all or of those in the store ``only``. Without it also
+    kind 2: each span with its least and greatest document."""
     keys, spans, docs = [], [], []
     size = 0
 
@@ -110,23 +109,19 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, batches: Iterator
         span, key, doc = np.concatenate(spans), np.concatenate(keys), np.concatenate(docs)
         for x in (spans, keys, docs):
             x.clear()
-        order = np.lexsort((doc, span))
+        order = np.lexsort((doc, span.view(np.uint64)))
         span, key, doc = span[order], key[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
-        last = np.concatenate([first[1:], [len(span)]]) - 1
+        last = np.append(first[1:], len(span)) - 1
         if not only:
-            yield _columns(2, span[first], doc[first], doc[last])
-        cls, key = np.repeat(span[first], key.shape[1]), key[first].ravel()
-        if only:
-            yield _columns(0, key, cls, arrays.lookup(*only, cls.view(np.uint64), "component", np.int64, 0))
-            return
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        yield _columns(0, key[first], cls[first])
-        least = cls[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.unique(np.stack([cls[cls != least], least[cls != least]]), axis=1)
-        yield _columns(1, pairs[0], pairs[1])
+            shard = arrays.shard_of(span[first].view(np.uint64), shards)
+            edges = np.searchsorted(shard, np.arange(shards + 1))
+            for s in range(shards):
+                own = slice(edges[s], edges[s + 1])
+                if edges[s + 1] > edges[s]:
+                    yield arrays.packed_pairs(2, s, span[first[own]], doc[first[own]], doc[last[own]])
+        cls, key = np.repeat(span[first], key.shape[1]), key[first].ravel().view(np.uint64)
+        yield from hand_on(key, cls, shards, component_of(only, cls))
 
     for batch in batches:
         ids = batch["row"].to_numpy()
@@ -145,6 +140,18 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, batches: Iterator
     yield from listed()
 
 
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kind 2 by shard -> (class, least, greatest)."""
+    for _, rows in arrays.by_shard(batches):
+        span, least, most = (np.concatenate([np.frombuffer(getattr(r, n), np.int64) for r in rows])
+                             for n in ("keys", "classes", "more"))
+        order = np.argsort(span)
+        span = span[order]
+        first = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
+        yield pd.DataFrame({"class": span[first], "least": np.minimum.reduceat(least[order], first),
+                            "greatest": np.maximum.reduceat(most[order], first)})
+
+
 def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(class, set) of wanted spans, from the least document that has them."""
     seen: set[int] = set()
@@ -217,9 +224,14 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     bands, rows = tune_bands(threshold, recall)
     last = 2 ** 63 - 1
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("row"), "text")
-    listed = stored(texts.mapInPandas(partial(_list, bands, rows, None), _ROWS), "para-lists")
-    spans = listed.where("kind = 2").groupBy(F.col("a").alias("class")).agg(F.min("b").alias("least"), F.max("c").alias("greatest"))
-    pairs = stored(_pairs(listed, crossing=False), "para-pairs")
+    # a span for about every 14 words of 6 characters, each under all its bands
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = arrays.shards_for(size // 90 * bands)
+    listed = texts.mapInPandas(partial(_list, bands, rows, None, shards), arrays.LISTED)
+    listed = stored(listed, "para-lists")  # read twice
+    spans = stored(listed.where("kind = 2").repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
+        _documents, "class long, least long, greatest long"), "para-spans")
+    pairs = stored(pairs_of(listed.where("kind < 2"), shards, crossing=False), "para-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(spans, "class"), "para-members")
     n = members.count()
     found = None
@@ -232,7 +244,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
         sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 200_000))
         top = F.shiftrightunsigned("class", 32)
-        emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary").dropDuplicates(["class"])
+        emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary")
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
             sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
         verify = partial(_verify, sets)
@@ -247,8 +259,8 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         if n_open:
             only = (scratch(spark, "para-open-store"), arrays.shards_for(n_open))
             arrays.store_sorted(again.select(F.col("class").alias("key"), "component"), *only, {"component": np.int64})
-            relisted = texts.mapInPandas(partial(_list, bands, rows, only), _ROWS)
-            crossing = _pairs(relisted, crossing=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            relisted = texts.mapInPandas(partial(_list, bands, rows, only, shards), arrays.LISTED)
+            crossing = pairs_of(relisted, shards, crossing=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
             wide = crossing.join(about.toDF("a", "la", "ga"), "a").join(about.toDF("b", "lb", "gb"), "b")
             apart = wide.where(F.least("la", "lb") != F.greatest("ga", "gb")).select("a", "b")
             more = apart.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean")
