@@ -1,8 +1,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
-
 from tests.llm import brute
 from tillroll.llm import pii
 
@@ -39,12 +37,13 @@ def test_candidates_add_what_base_rules_lose(taught):
 
 def test_native(taught):
     plan = pii.report(taught)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
+    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
 
 
 def test_redaction(edge, edge_rows, empty, taught):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(taught).collect()}
-    assert clean[201] == "nothing here" and clean[3] == "word 3 [phone] word [email] and"
+    assert clean[201] == "nothing here"
+    assert clean[3] == "word 3 [phone] word [email] and"
     got = pii.redact(edge)
     assert got.columns == edge.columns and got.count() == len(edge_rows)
     assert got.where("text is null").count() == 1 and got.where("pii_base = 'extra'").count() == len(edge_rows)
@@ -52,5 +51,5 @@ def test_redaction(edge, edge_rows, empty, taught):
 
 
 def test_cells_are_bounded(taught):
-    assert pii.cells(pii.located(taught)).count() <= pii.CELLS
-    assert pii.cells(pii.located(taught)).where(F.col("label") == 1).count() > 0
+    found = pii.cells(pii.located(taught)).collect()
+    assert 0 < len(found) <= pii.CELLS and any(r["label"] == 1 for r in found)

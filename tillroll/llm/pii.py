@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import stored
+
 KINDS = ("email", "ip", "card", "phone")
 # The base formats; possessive, and tried only where a match can start, so no text is slow.
 _MAIL = "[A-Za-z0-9._%+-]"
@@ -242,16 +244,9 @@ def fit(counted: list[tuple]) -> tuple[Trees | None, dict[int, float]]:
     return trees, limits
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_spans``: arrays of (start, kind rank, end), in order.
-
-    Places are code points, ends exclusive. Base spans all stay. A candidate is added if its kind
-    has a threshold which its score reaches, it passes its check, and it doesn't overlap a base
-    span of its kind; of added ones that overlap within a kind, the one that starts first stays,
-    the longest at a tie. Null texts have no spans. An empty table gives no rows. Nothing is
-    shuffled but the counts of candidates."""
-    found = located(docs, text)
-    trees, limits = fit(cells(found).collect())  # at most CELLS rows
+def _with_spans(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``located`` rows with ``pii_spans``; the trees are taught by all ``candidates``."""
+    trees, limits = fit(cells(candidates).collect())  # at most CELLS rows
     added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     if trees and limits:
         def passes(c: Column) -> Column:
@@ -284,8 +279,16 @@ def written(found: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): counts of base spans, their digest, all spans."""
-    found = spans(docs.select("doc_id", "text"))
+    """One row per row of ``docs`` (doc_id, text): counts of base spans, their digest, all spans.
+
+    Places are code points, ends exclusive. Base spans all stay. A candidate is added if its kind
+    has a threshold which its score reaches, it passes its check, and it doesn't overlap a base
+    span of its kind; of added ones that overlap within a kind, the one that starts first stays,
+    the longest at a tie. Null texts have no spans. Repeated rows each keep theirs; an empty
+    table gives no rows; other columns are ignored. Texts are read once: their spans and
+    candidates are written, and nothing is shuffled but the counts of candidates."""
+    located_ = stored(located(docs.select("doc_id", "text")).drop("text"), "pii-located")
+    found = _with_spans(located_, located_)
 
     def count(i: int) -> Column:
         return F.size(F.filter("pii_base", lambda s: s["kind"] == i)).cast("long")
@@ -297,10 +300,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other columns are as they were.
-    Spans that overlap are replaced as one, named after the first. Null texts stay null."""
+    Spans that overlap are replaced as one, named after the first. Null texts stay null; repeated
+    rows and empty tables give as many rows as there are. Texts are read twice and not shuffled."""
     names = F.array(*map(F.lit, KINDS))
     given, text = docs.columns, f"c{docs.columns.index(text)}"
-    found = spans(docs.toDF(*[f"c{i}" for i in range(len(given))]), text)  # no name can clash
+    found = located(docs.toDF(*[f"c{i}" for i in range(len(given))]), text)  # no name can clash
+    candidates = stored(found.where(F.size("pii_candidates") > 0).select("pii_candidates"), "pii-candidates")
+    found = _with_spans(found, candidates)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,k:int>>").alias("cuts"))
 
     def merge(acc: Column, s: Column) -> Column:
@@ -314,10 +320,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     merged = F.aggregate("pii_spans", zero, merge)["cuts"]
     found = found.withColumn("pii_cuts", F.when(F.size("pii_spans") > 0, merged))
-    cuts, on = F.col("pii_cuts"), F.col(text)
-    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["b"]))
-    pieces = F.zip_with(begins, cuts, lambda b, c: F.concat(
-        F.substr(on, b + 1, F.coalesce(c["a"], F.length(on)) - b),
-        F.coalesce(F.concat(F.lit("["), F.element_at(names, c["k"] + 1), F.lit("]")), F.lit(""))))
+    on = F.col(text)
+    end = F.struct(F.length(on).alias("a"), F.length(on).alias("b"), F.lit(-1).alias("k"))
+    cuts = F.concat(F.col("pii_cuts"), F.array(end))
+    begins = F.concat(F.array(F.lit(0)), F.transform("pii_cuts", lambda c: c["b"]))
+    pieces = F.zip_with(begins, cuts, lambda b, c: F.concat(F.substr(on, b + 1, c["a"] - b), F.when(
+        c["k"] >= 0, F.concat(F.lit("["), F.element_at(names, F.greatest(c["k"], F.lit(0)) + 1), F.lit("]"))).otherwise("")))
     clean = F.when(F.size("pii_spans") > 0, F.array_join(pieces, "")).otherwise(on)
     return found.withColumn(text, clean).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(given)])
