@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -33,6 +34,8 @@ PRIOR, MIN_Z, MIN_ODDS = 0.05, 2.5, 1.5
 #: Cost of a word that is not in the lexicon.
 DRIFT = 0.3
 STEMS = (5, 4)
+#: Documents whose words are counted at once.
+COUNTED = 400
 _TOKEN = re.compile(r"\w+")
 #: A stem is kept apart from a word of the same letters.
 _STEM = "^"
@@ -49,13 +52,17 @@ def _keys(words: set[str]) -> set[str]:
     return found
 
 
-def _counts(batch: pd.DataFrame) -> pd.DataFrame:
-    """Documents of each class that have each key, summed over the batch."""
-    seen: dict[str, list[int]] = {}
-    for text, toxic in zip(batch["text"], batch["toxic"]):
-        for k in _keys(set(tokens(text))):
-            seen.setdefault(k, [0, 0])[int(toxic)] += 1
-    return pd.DataFrame([(k, c[1], c[0]) for k, c in seen.items()], columns=["key", "pos", "neg"])
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of each class that have each key, summed over some hundred documents at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), COUNTED):
+            part = batch.iloc[at:at + COUNTED]
+            for toxic, own in part.groupby("toxic"):
+                seen = Counter()
+                for text in own["text"]:
+                    seen.update(_keys(set(tokens(text))))
+                n = np.fromiter(seen.values(), np.int64, len(seen))
+                yield pd.DataFrame({"key": list(seen), "pos": n * int(toxic), "neg": n * (1 - int(toxic))})
 
 
 def training_rows(labels: DataFrame, train: Column, bound: int = MAX_TRAIN) -> DataFrame:
@@ -72,7 +79,7 @@ def lexicon(docs: DataFrame, rows: DataFrame) -> dict[str, float]:
 
     ``rows`` has at most 2 * MAX_TRAIN ids, so it is broadcast and no text is shuffled."""
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    counted = map_batches(texts.select("text", "toxic"), _counts, "key string, pos long, neg long")
+    counted = texts.select("text", "toxic").mapInPandas(_counts, "key string, pos long, neg long")
     counts = stored(counted.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-counts")
     total = counts.agg(F.sum("pos"), F.sum("neg")).first()
     if not total[0] or not total[1]:
@@ -126,7 +133,7 @@ def _scan(odds: dict[str, float], batch: pd.DataFrame) -> pd.DataFrame:
         for w in set(words).difference(known):
             known[w] = score(w)
         hits = [(i, known[w]) for i, w in enumerate(words) if known[w] > 0]
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         sizes.append(len(words))
         passages.append([{"start": s, "end": e, "score": x} for s, e, x in segments(hits)])
