@@ -51,9 +51,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
 
     from tillroll.plans.model import Model
-    from tillroll.plans.warehouse import materialize, materialize_shared
+    from tillroll.plans.warehouse import default_root, materialize, materialize_shared
     from tillroll.registry import QUERIES, run_query
-    from tillroll.session import build_session
+    from tillroll.session import build_session, checkpoint_dir
 
     spark = build_session("tillroll-bench", master=f"local[{cpus}]",
                           shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
@@ -64,7 +64,9 @@ def main() -> None:
     if args.e2e:
         model = raw
     else:
-        root = os.environ.get("BENCH_OUT_DIR") or tempfile.mkdtemp(prefix="tillroll-bench-")
+        # this bench builds a local session, where a local folder is as good as a shared one
+        root = os.environ.get("BENCH_OUT_DIR") or (
+            default_root(spark) if checkpoint_dir(spark) else tempfile.mkdtemp(prefix="tillroll-bench-"))
         t0 = time.perf_counter()
         model = materialize(raw, root)
         times["layer"] = round(time.perf_counter() - t0, 3)

@@ -40,7 +40,7 @@ def test_month_filter_reaches_the_scan(small_model, tmp_path):
     full = materialize(small_model, str(tmp_path / "wh"))
     df = full.order_items.filter(_month_ranges(LATE[:1]))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(created_at,2019-03-01)" in plan
+    assert "GreaterThanOrEqual(created_at,2019-03-01T00:00)" in plan
 
 
 def test_month_without_valid_sales_is_removed(spark, small_model, tmp_path):

@@ -64,19 +64,24 @@ def country_browsing_metrics_v2(m: Model) -> DataFrame:
             .groupBy("country").agg(F.sum("n").alias("product_views")))
 
 
+def _user_countries(m: Model) -> DataFrame:
+    """Distinct (user_id, country): a user listed twice counts once per country."""
+    return m.dim_user.select("user_id", "country").distinct()
+
+
 def country_cart_metrics(m: Model) -> DataFrame:
     """A10: distinct users with a cart event, by country."""
     # Deduplicated before the semi join: AQE can split only the left side of a semi join,
     # and the partial aggregate of distinct() collapses a hot user map-side.
     carts = m.events.filter(F.col("event_type") == CART).select("user_id").distinct()
-    return (m.dim_user.join(carts, "user_id", "left_semi")
+    return (_user_countries(m).join(carts, "user_id", "left_semi")
             .groupBy("country").agg(F.count(F.lit(1)).alias("cart_users")))
 
 
 def country_purchase_users(m: Model) -> DataFrame:
     """Distinct users with a fact_order_items row, by country."""
     buyers = m.fact_order_items.select("user_id").distinct()
-    return (m.dim_user.join(buyers, "user_id", "left_semi")
+    return (_user_countries(m).join(buyers, "user_id", "left_semi")
             .groupBy("country").agg(F.count(F.lit(1)).alias("purchasing_users")))
 
 
@@ -104,11 +109,11 @@ def _not_cancelled_per_user(m: Model) -> DataFrame:
 
 @shared
 def _country_revenue_base(m: Model) -> DataFrame:
-    """Per country: not-cancelled revenue, buyers (one per-user row each), item count."""
+    """Per country: not-cancelled revenue, distinct buyers, item count."""
     j = m.dim_user.join(_not_cancelled_per_user(m), "user_id", "inner")
     return j.groupBy("country").agg(
         F.sum("revenue").alias("total_revenue"),
-        F.count(F.lit(1)).alias("purchasing_users"),
+        F.countDistinct("user_id").alias("purchasing_users"),
         F.sum("n_items").alias("total_order_items"))
 
 

@@ -92,7 +92,7 @@ def seasonality_sign_counts(m: Model) -> DataFrame:
         mean_fixed(ord_).alias("avg_ord_mom")).orderBy("mon")
 
 
-def inspect_year(m: Model, year: int = 2024) -> DataFrame:
+def inspect_year(m: Model, year: int) -> DataFrame:
     """The MoM rows of one year (the statement's 2026 is past the test data)."""
     f7 = agg_monthly_kpis_enriched(m).filter(_yr() == year)
     return f7.orderBy("month").select(_yr().alias("yr"), _mon().alias("mon"),

@@ -98,23 +98,27 @@ def materialize_shared(model: Model, root: str | None = None) -> Model:
     return model
 
 
-def _month_ranges(months: list[dt.date]) -> Column:
-    """created_at within any of the calendar months: plain range predicates on the stored
-    column, so they reach the parquet scan and skip row groups of the time-sorted files."""
-    cond = None
+def _month_ranges(months: list[dt.date | None]) -> Column:
+    """created_at within any of the calendar months (None: no created_at): plain predicates on
+    the stored column, so they reach the parquet scan."""
+    cond = F.lit(False)
     for m in months:
+        if m is None:
+            cond = cond | F.col("created_at").isNull()
+            continue
         start = m.replace(day=1)
         end = (start + dt.timedelta(days=32)).replace(day=1)
-        c = (F.col("created_at") >= F.lit(start)) & (F.col("created_at") < F.lit(end))
-        cond = c if cond is None else cond | c
+        from_, to = (F.lit(f"{d} 00:00:00").cast("timestamp_ntz") for d in (start, end))
+        cond = cond | (F.col("created_at") >= from_) & (F.col("created_at") < to)
     return cond
 
 
-def write_monthly_kpis(model: Model, path: str, months: list[dt.date] | None = None) -> None:
-    """Store F6 partitioned by month.  With ``months``, only those months are recomputed
-    and only their partitions are replaced (dynamic partition overwrite): a daily refresh
-    reads the items of the months that changed, not the whole history.  F7-F9 and the
-    seasonality tables derive from the stored F6, one row per month."""
+def write_monthly_kpis(model: Model, path: str, months: list[dt.date | None] | None = None) -> None:
+    """Store F6 partitioned by month.  Without ``months`` the whole table is replaced.  With
+    them only those months (None: items without a date) are recomputed and only their
+    partitions replaced (dynamic partition overwrite).  The recomputed table has at most one
+    row per listed month; it is held once, so F6 runs once, and a listed month that has no row
+    any more loses its partition.  F7-F9 and the seasonality tables derive from the stored F6."""
     from tillroll.operators.growth import monthly_kpis
 
     items = model.fact_order_items_all
@@ -125,19 +129,20 @@ def write_monthly_kpis(model: Model, path: str, months: list[dt.date] | None = N
         items = Model(model.sources, model.status_policy).use(
             "order_items", changed).fact_order_items_all
     f6 = monthly_kpis(model.items_with_month(items), [])
-    (f6.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("month").parquet(path))
-    if months is not None:
-        # A refreshed month without any valid sale has no F6 row any more: drop its stale
-        # partition (a metadata operation on at most len(months) folders).
-        spark = f6.sparkSession
-        kept = {r[0] for r in spark.read.parquet(path).filter(F.col("month").isin(months))
-                .select("month").distinct().collect()}
-        written = {r[0] for r in f6.select("month").distinct().collect()}
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for m in kept - written:
-            part = jvm.org.apache.hadoop.fs.Path(f"{path}/month={m.isoformat()}")
-            part.getFileSystem(conf).delete(part, True)
+    if months is None:
+        (f6.write.mode("overwrite").option("partitionOverwriteMode", "static")
+           .partitionBy("month").parquet(path))
+        return
+    spark = f6.sparkSession
+    rows = f6.collect()  # a row per listed month at most
+    (spark.createDataFrame(rows, f6.schema).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
+    gone = {m and m.replace(day=1) for m in months} - {r["month"] for r in rows}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for m in gone:  # a metadata operation on at most len(months) folders
+        name = m.isoformat() if m else "__HIVE_DEFAULT_PARTITION__"
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}/month={name}")
+        part.getFileSystem(conf).delete(part, True)
 
 
 def read_monthly_kpis(spark: SparkSession, path: str) -> DataFrame:

@@ -55,11 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the session's checkpoint folder; only when none is set (local tests) set one."""
-    d = checkpoint_dir(spark)
-    if not d:
-        d = fallback or os.environ.get("TILLROLL_CHECKPOINT_DIR") or "/tmp/tillroll-checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+    """Use the session's checkpoint folder, or the shared one that the caller or the environment
+    names. There is no machine-local default: without either, none is set."""
+    d = checkpoint_dir(spark) or fallback or os.environ.get("TILLROLL_CHECKPOINT_DIR")
+    if d and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

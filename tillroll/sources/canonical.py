@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ ORDER_ITEMS_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType(), True),
     T.StructField("product_id", T.LongType(), True),
     T.StructField("status", T.StringType(), True),
-    T.StructField("created_at", T.DateType(), True),
+    T.StructField("created_at", T.TimestampNTZType(), True),
     T.StructField("sale_price", T.DecimalType(12, 2), True),
 ])
 
@@ -61,9 +61,29 @@ class Sources:
     events: DataFrame
 
 
+def _lossless(name: str, given: T.DataType, wanted: T.DataType) -> Column:
+    """``name`` as the declared type; a value that the cast would change fails the job.
+
+    An instant (a timestamp with a zone) becomes the UTC wall clock whatever the session's zone.
+    Columns that have the declared type already stay plain, so filters on them reach the scan."""
+    col = F.col(name)
+    if given == wanted:
+        return col
+    if isinstance(given, T.TimestampType) and isinstance(wanted, T.TimestampNTZType):
+        seconds = (F.unix_micros(col).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+        zero = F.lit(0)
+        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+    cast = col.try_cast(wanted)
+    same = cast.try_cast(given).eqNullSafe(col)
+    return F.when(same, cast).otherwise(F.raise_error(F.concat(
+        F.lit(f"{name}: a value changes when read as {wanted.simpleString()}: "),
+        F.coalesce(col.cast("string"), F.lit("null")))))
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns in order, cast to the declared types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select the schema's columns in order, in the declared types; no value may change."""
+    return df.select(*[_lossless(f.name, df.schema[f.name].dataType, f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
 def load_canonical(spark: SparkSession, base: str, fmt: str = "parquet") -> Sources:

@@ -21,8 +21,6 @@ from tillroll.sources.canonical import (
 
 # Months added to order dates so that orders overlap the event period.
 ORDER_DATE_SHIFT_MONTHS = 270
-# Products whose key is a multiple of this are left out (orphan items).
-ORPHAN_PRODUCT_MODULUS = 97
 # Nation key -> country spelling (variants on purpose); others keep n_name.
 NATION_COUNTRY = {
     0: "Spain", 1: "España", 2: "Brasil", 3: "Brazil", 4: "Germany",
@@ -56,14 +54,15 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("product_id"),
         _status(F.col("l_returnflag"), F.col("l_linestatus")).alias("status"),
-        F.add_months(F.to_date("o_orderdate"), ORDER_DATE_SHIFT_MONTHS).alias("created_at"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_ym_interval(
+            F.lit(0), F.lit(ORDER_DATE_SHIFT_MONTHS))).alias("created_at"),
         F.col("l_extendedprice").alias("sale_price"),
     ), ORDER_ITEMS_SCHEMA)
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
-    return conform(part.filter(F.col("p_partkey") % ORPHAN_PRODUCT_MODULUS != 0).select(
+    return conform(part.select(
         F.col("p_partkey").alias("id"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
@@ -97,10 +96,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for src, dst in EVENT_TYPE.items():
         cond = F.col("event_type") == src
         etype = F.when(cond, dst) if etype is None else etype.when(cond, dst)
-    anonymous = (F.col("event_id") % 5 == 0) & F.col("event_type").isin("view", "click")
     return conform(ev.select(
         F.col("event_id").alias("id"),
-        F.when(anonymous, F.lit(None)).otherwise(F.col("user_id")).alias("user_id"),
+        "user_id",
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  F.to_date("created_at").cast("string")).alias("session_id"),
         etype.alias("event_type"),

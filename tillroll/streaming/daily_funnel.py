@@ -16,6 +16,8 @@ Events without a timestamp have no day to land in and are not counted here.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,8 +27,21 @@ from tillroll.plans.model import CART, PRODUCT_VIEW, PURCHASE
 from tillroll.sources.canonical import EVENTS_SCHEMA
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "month": 2_419_200}
+
+
+def _at_least_a_day(delay: str) -> str:
+    """Repeats are dropped within the delay but counted per day, so a shorter one would count
+    an id twice."""
+    parts = re.findall(r"(\d+)\s*([a-z]+?)s?\b", delay.lower())
+    if sum(int(n) * _SECONDS.get(unit, 0) for n, unit in parts) < _SECONDS["day"]:
+        raise ValueError(f"the watermark must be a day or more, not {delay!r}")
+    return delay
+
+
 def daily_funnel_stream(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     """The streaming plan: canonical events in, one row per finished day out."""
+    _at_least_a_day(watermark)
     ev = events.filter(F.col("event_type").isin(PRODUCT_VIEW, CART, PURCHASE)
                        & F.col("created_at").isNotNull())
     stage_id = F.when(F.col("event_type") == PURCHASE, F.col("user_id").cast("string")) \
