@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal as D
+from functools import partial
 
 import duckdb
 
@@ -17,7 +18,7 @@ from tillroll.sources.canonical import (
     Sources,
 )
 
-d = dt.date
+d = partial(dt.datetime, hour=9, minute=30)
 ts = dt.datetime
 
 PRODUCTS = [
@@ -113,7 +114,7 @@ TABLES = {
 
 DUCK_TYPES = {
     "order_items": "order_id BIGINT, user_id BIGINT, product_id BIGINT, status VARCHAR, "
-                   "created_at DATE, sale_price DECIMAL(12,2)",
+                   "created_at TIMESTAMP, sale_price DECIMAL(12,2)",
     "products": "id BIGINT, category VARCHAR, brand VARCHAR, name VARCHAR, "
                 "retail_price DECIMAL(12,2)",
     "users": "id BIGINT, country VARCHAR, gender VARCHAR, age INTEGER",

@@ -44,7 +44,7 @@ def dataset(seed):
     items = []
     for i in range(900):
         order = rng.randrange(1, 260)
-        day = dt.date(2019, 11, 1) + dt.timedelta(days=rng.randrange(0, 1100))
+        day = dt.datetime(2019, 11, 1) + dt.timedelta(minutes=rng.randrange(0, 1100 * 24 * 60))
         items.append((order, _maybe(rng, rng.randrange(1, 46), 0.05),   # users 41-45 unknown
                       _maybe(rng, rng.randrange(1, 34), 0.03),           # products 31-33 orphan
                       rng.choice(STATUSES), _maybe(rng, day, 0.03),
@@ -62,7 +62,7 @@ def dataset(seed):
 
 DUCK = {
     "order_items": "order_id BIGINT, user_id BIGINT, product_id BIGINT, status VARCHAR, "
-                   "created_at DATE, sale_price DECIMAL(12,2)",
+                   "created_at TIMESTAMP, sale_price DECIMAL(12,2)",
     "products": "id BIGINT, category VARCHAR, brand VARCHAR, name VARCHAR, "
                 "retail_price DECIMAL(12,2)",
     "users": "id BIGINT, country VARCHAR, gender VARCHAR, age INTEGER",

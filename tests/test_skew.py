@@ -39,7 +39,7 @@ def _items():
         user = HOT_USER if i % 5 < 2 else 2 + i % 97                # 40 % one user
         product = HOT_PRODUCT if i % 3 == 0 else 2 + i % 41          # 33 % one product
         order = HOT_ORDER if i % 10 == 0 else 1000 + i // 3           # 10 % one order
-        day = dt.date(2021, 1, 1) + dt.timedelta(days=i % 400)
+        day = dt.datetime(2021, 1, 1, 18) + dt.timedelta(days=i % 400)
         price = Decimal(i % 997) / 4 + Decimal("0.25")
         rows.append((order, user, product, statuses[i % 5], day,
                      price.quantize(Decimal("0.01"))))
@@ -73,7 +73,7 @@ def skewed(spark):
                   spark.createDataFrame(events, EVENTS_SCHEMA))
     con = duckdb.connect()
     con.execute("CREATE TABLE order_items (order_id BIGINT, user_id BIGINT, product_id BIGINT, "
-                "status VARCHAR, created_at DATE, sale_price DECIMAL(12,2))")
+                "status VARCHAR, created_at TIMESTAMP, sale_price DECIMAL(12,2))")
     con.executemany("INSERT INTO order_items VALUES (?, ?, ?, ?, ?, ?)", items)
     con.execute("CREATE TABLE products (id BIGINT, category VARCHAR, brand VARCHAR, "
                 "name VARCHAR, retail_price DECIMAL(12,2))")
