@@ -169,18 +169,18 @@ def by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
 LISTED = "shard int, kind int, keys binary, at binary, classes binary, more binary"
 
 
-def packed_lists(keys: np.ndarray, classes: np.ndarray, shards: int, more: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+def packed_lists(keys: np.ndarray, classes: np.ndarray, shards: int) -> Iterator[pd.DataFrame]:
     """Entries (key, class) in order of the key, a row per shard: packed keys, the distinct classes
-    (with ``more``, a number of each class) and for each key the place of its class."""
+    and for each key the place of its class."""
     shard = shard_of(keys, shards)
     edges = np.searchsorted(shard, np.arange(shards + 1))
     for s in range(shards):
         a, b = edges[s], edges[s + 1]
         if b > a:
-            own, first, at = np.unique(classes[a:b], return_index=True, return_inverse=True)
+            own, at = np.unique(classes[a:b], return_inverse=True)
             place = at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pd.DataFrame({"shard": [s], "kind": [0], "keys": [pack(keys[a:b])], "at": [place], "classes": [own.tobytes()],
-                                "more": [b"" if more is None else more[a:b][first].tobytes()]})
+                                "more": [b""]})
 
 
 def packed_pairs(kind: int, shard: int, one: np.ndarray, other: np.ndarray, more: np.ndarray | None = None) -> pd.DataFrame:
@@ -188,8 +188,7 @@ def packed_pairs(kind: int, shard: int, one: np.ndarray, other: np.ndarray, more
                          "more": [b"" if more is None else more.tobytes()]})
 
 
-def unpacked_list(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, class of each, more of each or nothing) of a row of ``packed_lists``."""
+def unpacked_list(row) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, class of each) of a row of ``packed_lists``."""
     at = np.ascontiguousarray(np.frombuffer(row.at, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    more = np.frombuffer(row.more, np.int64)
-    return unpack(row.keys), np.frombuffer(row.classes, np.int64)[at], more[at] if len(more) else more
+    return unpack(row.keys), np.frombuffer(row.classes, np.int64)[at]

@@ -19,7 +19,7 @@ different components are verified. Sets that are equal are one class throughout.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import arrays
 from tillroll.llm.common import scratch, stored
 from tillroll.llm.components import components
-from tillroll.llm.hashing import blocks, combine, shingle_sets
+from tillroll.llm.hashing import blocks, combine, mix, shingle_sets
 
 WIDTH = 5
 #: The threshold as a fraction.
@@ -40,6 +40,8 @@ NUM, DEN = 3, 4
 COMMON = 16
 #: Light sets have at most so many shingles.
 MOST_LIGHT = 64
+#: Rounds of pairs with one class per list before what differs is compared in full.
+ROUNDS = 4
 #: Shingles (and classes) that a task holds before it hands on what it has.
 HELD = 1_500_000
 _ROWS = "kind int, a long, b long, c long"
@@ -119,14 +121,13 @@ def signatures(prefix: np.ndarray, n: int, light: int) -> list[np.ndarray]:
     return out
 
 
-def hand_on(keys: np.ndarray, classes: np.ndarray, shards: int, more: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """What a task lists (key, class), for the shuffle. Without ``more``: kind 0: each key with its
-    least class of this task, kind 1: the other classes paired with that one. With ``more`` (the
-    component of each class): kind 0: all of it."""
+def hand_on(keys: np.ndarray, classes: np.ndarray, shards: int, whole: bool) -> Iterator[pd.DataFrame]:
+    """What a task lists (key, class), for the shuffle. Kind 0: each key with its least class of
+    this task, kind 1: the other classes paired with that one; if ``whole``, kind 0: all of it."""
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
-    if more is not None:
-        yield from arrays.packed_lists(keys, classes, shards, more[order])
+    if whole:
+        yield from arrays.packed_lists(keys, classes, shards)
         return
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     yield from arrays.packed_lists(keys[first], classes[first], shards)
@@ -150,7 +151,7 @@ def _list(common: tuple[str, int], light: int, only: tuple[str, int] | None, sha
             key, cls = np.concatenate(keys), np.concatenate(own)
             keys.clear()
             own.clear()
-            yield from hand_on(key, cls, shards, component_of(only, cls))
+            yield from hand_on(key, cls, shards, bool(only))
 
     for batch in batches:
         for _, sets in _sets(batch):
@@ -175,65 +176,101 @@ def _list(common: tuple[str, int], light: int, only: tuple[str, int] | None, sha
     yield from listed()
 
 
-def component_of(only: tuple[str, int] | None, classes: np.ndarray) -> np.ndarray | None:
-    return arrays.lookup(*only, classes.view(np.uint64), "component", np.int64, 0) if only else None
+def _lists(rows: list) -> tuple[np.ndarray, np.ndarray] | None:
+    """(where each list starts, classes list by list) of a shard's rows."""
+    lists = [arrays.unpacked_list(r) for r in rows if r.kind == 0]
+    if not lists:
+        return None
+    keys, classes = (np.concatenate(x) for x in zip(*lists))
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), classes
+
 
+def _distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate(x) for x in zip(*held))
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-def _runs(crossing: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed lists by shard -> pairs (a > b) of classes: each with its list's least class, or with
-    ``crossing`` those between components."""
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed lists by shard -> pairs (a > b): each class with its list's least one."""
     for _, rows in arrays.by_shard(batches):
         done = [(np.frombuffer(r.keys, np.int64), np.frombuffer(r.classes, np.int64)) for r in rows if r.kind == 1]
-        lists = [arrays.unpacked_list(r) for r in rows if r.kind == 0]
+        if found := _lists(rows):
+            start, classes = found
+            least = np.repeat(classes[start], np.diff(np.append(start, len(classes))))
+            other = classes != least
+            done.append((classes[other], least[other]))
         rows.clear()
-        if lists:
-            keys, classes, parts = (np.concatenate(x) for x in zip(*lists))
-            lists.clear()
-            order = np.lexsort((classes, keys))
-            keys, classes = keys[order], classes[order]
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            if crossing:
-                yield from _crossing(start, classes, parts[order])
-            else:
-                least = np.repeat(classes[start], np.diff(np.append(start, len(keys))))
-                other = classes != least
-                done.append((classes[other], least[other]))
         if done:
-            a, b = (np.concatenate(x) for x in zip(*done))
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+            yield _distinct(done)
 
 
-def _crossing(start: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
+def _cross(parts: tuple[str, int], seed: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed whole lists by shard -> pairs (a > b) whose components differ and whose sizes allow
+    a link: of each list's class that a hash with ``seed`` puts first with the others, or all."""
+    for _, rows in arrays.by_shard(batches):
+        found = _lists(rows)
+        rows.clear()
+        if not found:
+            continue
+        start, classes = found
+        part, n = (arrays.lookup(*parts, classes.view(np.uint64), name, np.int64, 0) for name in ("component", "n"))
+        rank = mix(classes.view(np.uint64) ^ np.uint64(seed + 1)) if seed is not None else None
+        held, size = [], 0
+        for s, e in zip(start, np.append(start[1:], len(classes))):
+            if e - s < 2 or (part[s:e] == part[s]).all():
+                continue
+            own, at = np.unique(classes[s:e], return_index=True)
+            at = at + s
+            firsts = range(len(own) - 1) if rank is None else [int(rank[at].argmin())]
+            for i in firsts:
+                to = at[i + 1:] if rank is None else at
+                fits = (part[to] != part[at[i]]) & (np.minimum(n[to], n[at[i]]) * DEN >= np.maximum(n[to], n[at[i]]) * NUM)
+                if fits.any():
+                    held.append((np.full(fits.sum(), own[i]), classes[to[fits]]))
+                    size += len(held[-1][1])
+                    if size > HELD:
+                        yield _distinct(held)
+                        held, size = [], 0
+        if held:
+            yield _distinct(held)
+
+
+def connect(relisted: DataFrame, shards: int, placed: DataFrame, found: DataFrame, verify: Callable,
+            keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(id, component) after all pairs between components of the listed classes are settled.
+
+    ``relisted`` has whole packed lists, ``placed`` their classes (class, component, n), ``found``
+    the components so far. Large groups whose members mostly link would give all their pairs, so
+    some rounds pair each list's class that a hash puts first with those of other components, and
+    components are joined by what holds. What then still differs is compared in full."""
+    spark = relisted.sparkSession
+    relisted, rounds = stored(relisted, "lists"), [*range(ROUNDS), None]
+    while rounds:
+        seed = rounds.pop(0)
+        parts = (scratch(spark, "list-parts"), arrays.shards_for(placed.count()))
+        arrays.store_sorted(placed.select(F.col("class").alias("key"), "component", "n"), *parts,
+                            {"component": np.int64, "n": np.int64})
+        spread = relisted.repartition(shards, "shard").sortWithinPartitions("shard")
+        pairs = keep(spread.mapInPandas(partial(_cross, parts, seed), "a long, b long").distinct())
+        checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "list-checked")
+        links = checked.where("ok").select("a", "b")
+        if links.isEmpty():
+            rounds = [None] if seed is not None else []
+            continue
+        joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)
+        found = stored(components(joined), "list-components")
+        placed = stored(placed.select("class", "n").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn(
+            "component", F.coalesce("component", "class")), "list-placed")
+    return found
 
-    def pairs() -> pd.DataFrame:
-        a, b = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
 
-    for s, e in zip(start, np.append(start[1:], len(classes))):
-        if e - s < 2 or (parts[s:e] == parts[s]).all():
-            continue
-        own, first = np.unique(classes[s:e], return_index=True)
-        part = parts[s:e][first]
-        for i in range(len(own) - 1):
-            other = own[i + 1:][part[i + 1:] != part[i]]
-            if len(other):
-                held.append((np.full(len(other), own[i]), other))
-                size += len(other)
-                if size > HELD:
-                    yield pairs()
-                    size = 0
-    if held:
-        yield pairs()
-
-
-def pairs_of(listed: DataFrame, shards: int, crossing: bool) -> DataFrame:
-    """Distinct pairs (a > b) from packed lists."""
+def pairs_of(listed: DataFrame, shards: int) -> DataFrame:
+    """Distinct pairs (a > b) from packed lists: each class with its list's least one."""
     spread = listed.repartition(shards, "shard").sortWithinPartitions("shard")
-    return spread.mapInPandas(partial(_runs, crossing), "a long, b long").distinct()
+    return spread.mapInPandas(_runs, "a long, b long").distinct()
 
 
 def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,7 +371,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     shards = arrays.shards_for((totals[1] or 0) // 3)  # a prefix is a quarter of a set and a little more
     listed = texts.mapInPandas(partial(_list, common, light, None, shards), arrays.LISTED)
-    pairs = stored(pairs_of(listed, shards, crossing=False), "join-pairs")
+    pairs = stored(pairs_of(listed, shards), "join-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class"), "join-members")
     size = members.agg(F.count("*"), F.sum("n")).first()
     if not size[0]:
@@ -359,14 +396,9 @@ def join(docs: DataFrame) -> DataFrame:
     n_open = again.count()
     if n_open:
         only = (scratch(spark, "join-open-store"), arrays.shards_for(n_open))
-        arrays.store_sorted(again.select(F.col("class").alias("key"), "component", "n"), *only,
-                            {"component": np.int64, "n": np.int64})
+        arrays.store_sorted(again.select(F.col("class").alias("key")), *only)
         relisted = texts.mapInPandas(partial(_list, common, light, only, shards), arrays.LISTED)
-        crossing = pairs_of(relisted, shards, crossing=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = stored(crossing.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "join-rechecked")
-        joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(
-            more.where("ok").select("a", "b"))
-        found = stored(components(joined), "join-components")
+        found = connect(relisted, shards, again.select("class", "component", "n"), found, verify)
     return _answer(read, rows, classes, found)
 
 

@@ -24,7 +24,7 @@ from tillroll.llm import arrays
 from tillroll.llm.common import scratch, stored
 from tillroll.llm.components import components
 from tillroll.llm.hashing import blocks, combine, mix, shingle_hashes, word_hashes
-from tillroll.llm.ngram_join import _store_sets, _verify, component_of, hand_on, pairs_of
+from tillroll.llm.ngram_join import _store_sets, _verify, connect, hand_on, pairs_of
 
 WIDTH, SPAN, GAP = 5, 20, 28
 #: A text of fewer words than a span is one span if it has so many.
@@ -121,7 +121,7 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
                 if edges[s + 1] > edges[s]:
                     yield arrays.packed_pairs(2, s, span[first[own]], doc[first[own]], doc[last[own]])
         cls, key = np.repeat(span[first], key.shape[1]), key[first].ravel().view(np.uint64)
-        yield from hand_on(key, cls, shards, component_of(only, cls))
+        yield from hand_on(key, cls, shards, bool(only))
 
     for batch in batches:
         ids = batch["row"].to_numpy()
@@ -231,15 +231,18 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     listed = stored(listed, "para-lists")  # read twice
     spans = stored(listed.where("kind = 2").repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
         _documents, "class long, least long, greatest long"), "para-spans")
-    pairs = stored(pairs_of(listed.where("kind < 2"), shards, crossing=False), "para-pairs")
+    pairs = stored(pairs_of(listed.where("kind < 2"), shards), "para-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(spans, "class"), "para-members")
     n = members.count()
     found = None
     if n:
-        # a pair within one document is a span and its own neighbour
         about = members.select("class", "least", "greatest")
-        wide = pairs.join(about.toDF("a", "la", "ga"), "a").join(about.toDF("b", "lb", "gb"), "b")
-        apart = wide.where(F.least("la", "lb") != F.greatest("ga", "gb")).select("a", "b")
+
+        def apart(pairs: DataFrame) -> DataFrame:
+            """Without pairs within one document: a span and its own neighbour."""
+            wide = pairs.join(about.toDF("a", "la", "ga"), "a").join(about.toDF("b", "lb", "gb"), "b")
+            return wide.where(F.least("la", "lb") != F.greatest("ga", "gb")).select("a", "b")
+
         wanted = (scratch(spark, "para-wanted"), arrays.shards_for(n))
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
         sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 200_000))
@@ -248,7 +251,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
             sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
         verify = partial(_verify, sets)
-        checked = stored(apart.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "para-checked")
+        checked = stored(apart(pairs).repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "para-checked")
         found = stored(components(checked.where("ok").select("a", "b")), "para-components")
         placed = stored(members.join(found.withColumnRenamed("id", "class"), "class", "left").withColumn(
             "component", F.coalesce("component", "class")), "para-placed")
@@ -258,14 +261,9 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         n_open = again.count()
         if n_open:
             only = (scratch(spark, "para-open-store"), arrays.shards_for(n_open))
-            arrays.store_sorted(again.select(F.col("class").alias("key"), "component"), *only, {"component": np.int64})
+            arrays.store_sorted(again.select(F.col("class").alias("key")), *only)
             relisted = texts.mapInPandas(partial(_list, bands, rows, only, shards), arrays.LISTED)
-            crossing = pairs_of(relisted, shards, crossing=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            wide = crossing.join(about.toDF("a", "la", "ga"), "a").join(about.toDF("b", "lb", "gb"), "b")
-            apart = wide.where(F.least("la", "lb") != F.greatest("ga", "gb")).select("a", "b")
-            more = apart.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean")
-            found = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(
-                more.where("ok").select("a", "b"))), "para-components")
+            found = connect(relisted, shards, again.withColumn("n", F.lit(1).cast("long")), found, verify, apart)
     if found is None:
         marked = spans.where("least != greatest").select(
             F.col("class").alias("key"), F.col("class").alias("component"), F.col("least").alias("keeper"))
