@@ -15,6 +15,7 @@ Numeric conventions (they make results independent of partitioning and shuffle o
 from __future__ import annotations
 
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,30 @@ def pct_2dp_of_mean(mean: Column, scale: int = 100) -> Column:
     return F.round(d, 2).cast("double")
 
 
+def count_flagged(rows: DataFrame, keys: list[str], entity: str, flags: dict[str, Column],
+                  sums: dict[str, Column] | None = None) -> DataFrame:
+    """Per ``keys``: for each flag the distinct non-NULL values of ``entity`` with a row for which
+    it holds, and ``sums`` over all rows.
+
+    Rows are reduced to one per (keys, entity) with the flags or-ed, then flags are counted: no
+    copy of a row per distinct count, and partial aggregates collapse a hot key or entity
+    before the shuffle."""
+    sums = sums or {}
+    one = rows.groupBy(*keys, entity).agg(
+        *[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()],
+        *[F.sum(c).alias(n) for n, c in sums.items()])
+    return one.groupBy(*keys).agg(
+        *[F.count_if(F.col(n) & F.col(entity).isNotNull()).alias(n) for n in flags],
+        *[F.sum(n).alias(n) for n in sums])
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two tables with one row per group; NULL is a group."""
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(other, reduce(lambda a, b: a & b, on)).drop(*[f"_{k}" for k in keys])
+
+
 def month_start(d: Column) -> Column:
     """DATE_TRUNC(date, MONTH) as a DATE."""
     return F.trunc(d, "MM")

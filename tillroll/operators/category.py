@@ -10,6 +10,8 @@ from tillroll.functions.metrics import (
     MEAN_DIGITS,
     MONEY_MEAN_DIGITS,
     StatusPolicy,
+    count_flagged,
+    join_groups,
     safe_divide,
     status_in_policy,
 )
@@ -26,13 +28,14 @@ def category_base(m: Model) -> DataFrame:
     """
     valid = status_in_policy(F.col("status"), StatusPolicy.VALID)
     items = m.fact_order_items_all.join(m.dim_product, "product_id", "left")
-    return items.groupBy("product_category").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct(F.when(F.col("status") == CANCELLED, F.col("order_id"))).alias(
-            "cancelled_orders"),
-        F.sum(F.when(valid, F.col("revenue")).otherwise(F.lit(0))).alias("total_revenue"),
-        F.countDistinct(F.when(valid, F.col("user_id"))).alias("purchasing_users"),
-    )
+    by = ["product_category"]
+    orders = count_flagged(items, by, "order_id", {
+        "total_orders": F.lit(True), "cancelled_orders": F.col("status") == CANCELLED}, {
+        "total_revenue": F.when(valid, F.col("revenue")).otherwise(F.lit(0))})
+    buyers = count_flagged(items, by, "user_id", {"purchasing_users": valid})
+    return join_groups(orders, buyers, by).select(
+        *by, "total_orders", "cancelled_orders", F.col("total_revenue").cast("decimal(22,2)").alias("total_revenue"),
+        "purchasing_users")
 
 
 def final_category_performance(m: Model) -> DataFrame:
@@ -98,13 +101,9 @@ def portfolio_headline(m: Model) -> DataFrame:
     """One row over all items: valid revenue, distinct orders (all and valid), AOV
     over valid orders, and the share of orders with a cancelled item."""
     valid = status_in_policy(F.col("status"), StatusPolicy.VALID)
-    agg = m.fact_order_items_all.agg(
-        F.sum(F.when(valid, F.col("revenue")).otherwise(F.lit(0))).alias("total_revenue"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct(F.when(valid, F.col("order_id"))).alias("valid_orders"),
-        F.countDistinct(F.when(F.col("status") == CANCELLED, F.col("order_id"))).alias(
-            "cancelled_orders"),
-    )
+    agg = count_flagged(m.fact_order_items_all, [], "order_id", {
+        "total_orders": F.lit(True), "valid_orders": valid, "cancelled_orders": F.col("status") == CANCELLED}, {
+        "total_revenue": F.when(valid, F.col("revenue")).otherwise(F.lit(0))})
     return agg.select(
         "total_revenue", "total_orders", "valid_orders", "cancelled_orders",
         safe_divide(F.col("total_revenue"), F.col("valid_orders")).alias("avg_order_value"),

@@ -16,6 +16,8 @@ from tillroll.functions.countries import COUNTRY_MAP_GERMANY_ONLY, COUNTRY_MAP_S
 from tillroll.functions.metrics import (
     CANCELLED,
     StatusPolicy,
+    count_flagged,
+    join_groups,
     mean_fixed,
     round_ratio,
     safe_divide,
@@ -159,15 +161,14 @@ def _country_kpis(base: DataFrame, key: str, user_filtered_revenue: bool) -> Dat
     cancelled = F.col("status") == CANCELLED
     known_user = F.col("user_id").isNotNull()
     zero = F.lit(0)
-    g = base.groupBy(key).agg(
-        F.sum(F.when(nc, F.col("sale_price")).otherwise(zero)).alias("total_revenue"),
-        F.countDistinct(F.when(nc, F.col("order_id"))).alias("total_orders"),
-        F.countDistinct(F.when(nc & known_user, F.col("user_id"))).alias("purchasing_users"),
-        F.sum(F.when(nc & known_user, F.col("sale_price")).otherwise(zero)).alias("_user_rev"),
-        F.count(F.when(cancelled, F.lit(1))).alias("_cancelled_items"),
-        F.count(F.lit(1)).alias("_items"),
-        F.sum(F.when(cancelled, F.col("sale_price")).otherwise(zero)).alias("cancelled_revenue"),
-    )
+    one, price = F.lit(1), F.col("sale_price")
+    orders = count_flagged(base, [key], "order_id", {"total_orders": nc}, {
+        "total_revenue": F.when(nc, price).otherwise(zero),
+        "_user_rev": F.when(nc & known_user, price).otherwise(zero),
+        "_cancelled_items": F.when(cancelled, one).otherwise(zero), "_items": one,
+        "cancelled_revenue": F.when(cancelled, price).otherwise(zero)})
+    g = join_groups(orders, count_flagged(base, [key], "user_id", {"purchasing_users": nc}), [key])
+    g = g.withColumns({c: F.col(c).cast("decimal(22,2)") for c in ("total_revenue", "_user_rev", "cancelled_revenue")})
     user_rev = F.col("_user_rev") if user_filtered_revenue else F.col("total_revenue")
     return g.select(
         key, "total_revenue", "total_orders", "purchasing_users",

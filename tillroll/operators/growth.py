@@ -15,6 +15,8 @@ from tillroll.functions.metrics import (
     MEAN_DIGITS,
     MONEY_MEAN_DIGITS,
     StatusPolicy,
+    count_flagged,
+    join_groups,
     round_ratio,
     safe_divide,
     status_in_policy,
@@ -30,22 +32,22 @@ def _pct_change(col: str, order: Window) -> F.Column:
 def monthly_kpis(df: DataFrame, keys: list[str]) -> DataFrame:
     """F6 over F1-shaped rows with a ``month`` column, grouped by ``keys`` + month.
 
-    One scan and one aggregate replace the statement's two monthly aggregates and their
-    join: rows of months without a valid item are dropped (the statement left-joins from
+    Items are reduced per order and per buyer (``count_flagged``), which gives the statement's
+    two monthly aggregates together: rows of months without a valid item are dropped (the statement left-joins from
     the valid-revenue months) and a NULL month keeps NULL all-order columns, since NULL
     never matches in that join.
     """
     valid = status_in_policy(F.col("status"), StatusPolicy.VALID)
     cancelled = F.col("status") == CANCELLED
-    g = df.groupBy(*keys, "month").agg(
-        F.count_if(valid).alias("_valid_items"),
-        F.sum(F.when(valid, F.col("revenue"))).alias("total_revenue"),
-        F.countDistinct(F.when(valid, F.col("order_id"))).alias("total_orders"),
-        F.countDistinct(F.when(valid, F.col("user_id"))).alias("purchasing_users"),
-        F.countDistinct("order_id").alias("_orders_all"),
-        F.countDistinct(F.when(cancelled, F.col("order_id"))).alias("_cancelled_orders"),
-        F.sum(F.when(cancelled, F.col("revenue")).otherwise(F.lit(0))).alias("_cancelled_rev"),
-    ).filter(F.col("_valid_items") > 0)
+    by = [*keys, "month"]
+    orders = count_flagged(df, by, "order_id", {
+        "total_orders": valid, "_orders_all": F.lit(True), "_cancelled_orders": cancelled}, {
+        "_valid_items": valid.cast("int"), "total_revenue": F.when(valid, F.col("revenue")),
+        "_cancelled_rev": F.when(cancelled, F.col("revenue")).otherwise(F.lit(0))})
+    buyers = count_flagged(df.filter(valid), by, "user_id", {"purchasing_users": F.lit(True)})
+    g = join_groups(orders.filter(F.col("_valid_items") > 0), buyers, by)
+    money = "decimal(22,2)"
+    g = g.withColumns({c: F.col(c).cast(money) for c in ("total_revenue", "_cancelled_rev")})
     known = F.col("month").isNotNull()
     return g.select(
         *keys, "month", "total_revenue", "total_orders", "purchasing_users",
@@ -205,10 +207,11 @@ def revenue_decomposition(m: Model) -> DataFrame:
     """Yearly revenue = buyers x orders per buyer x AOV, with the share of each
     factor in the log change of revenue against the previous year."""
     f2 = m.fact_order_items_completed
-    y = f2.groupBy(F.year("order_date").cast("bigint").alias("year")).agg(
-        F.sum("revenue").alias("total_revenue"),
-        F.countDistinct("user_id").alias("buyers"),
-        F.countDistinct("order_id").alias("orders"))
+    f2 = f2.withColumn("year", F.year("order_date").cast("bigint"))
+    y = join_groups(
+        count_flagged(f2, ["year"], "order_id", {"orders": F.lit(True)}, {"total_revenue": F.col("revenue")}),
+        count_flagged(f2, ["year"], "user_id", {"buyers": F.lit(True)}), ["year"])
+    y = y.withColumn("total_revenue", F.col("total_revenue").cast("decimal(22,2)"))
     y = y.select("year", "total_revenue", "buyers", "orders",
                  safe_divide(F.col("orders"), F.col("buyers")).alias("orders_per_buyer"),
                  safe_divide(F.col("total_revenue"), F.col("orders")).alias("avg_order_value"))

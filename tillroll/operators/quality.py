@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.metrics import count_flagged
 from tillroll.operators.geography import country_cancellation_metrics
 from tillroll.plans.model import CART, PRODUCT_VIEW, Model
 
@@ -19,13 +20,9 @@ def dq_product_event_identity(m: Model) -> DataFrame:
 
 def dq_funnel_users(m: Model) -> DataFrame:
     """Distinct product users, cart users and all users of fact_events (v2)."""
-    ev = m.fact_events_v2
-    return ev.agg(
-        F.countDistinct(F.when(F.col("event_type") == PRODUCT_VIEW, F.col("user_id"))).alias(
-            "product_users"),
-        F.countDistinct(F.when(F.col("event_type") == CART, F.col("user_id"))).alias(
-            "cart_users"),
-        F.countDistinct("user_id").alias("total_users"))
+    kind = F.col("event_type")
+    return count_flagged(m.fact_events_v2, [], "user_id", {
+        "product_users": kind == PRODUCT_VIEW, "cart_users": kind == CART, "total_users": F.lit(True)})
 
 
 def dq_country_cancellation(m: Model) -> DataFrame:
