@@ -248,23 +248,35 @@ def final_country_performance_merged(m: Model) -> DataFrame:
     return _final_country(perf, _user_base(m, COUNTRY_MAP_GERMANY_ONLY))
 
 
+def _of_order_users(m: Model, *grain: str) -> DataFrame:
+    """fact_orders JOIN fact_order_items on order_id, summed per order's user (and ``grain``).
+    Items are summed per order first, so the join carries a row per order, not per item."""
+    items = m.fact_order_items.groupBy("order_id", *grain).agg(
+        F.sum("revenue").alias("revenue"), F.count("revenue").alias("n_revenue"))
+    orders = m.fact_orders.withColumnRenamed("user_id", "fo_user_id")
+    return orders.join(items, "order_id", "inner").groupBy("fo_user_id", *grain).agg(
+        F.sum("revenue").alias("revenue"), F.sum("n_revenue").alias("n_revenue"))
+
+
+@shared
+def _user_revenue(m: Model) -> DataFrame:
+    """A row per user of fact_orders; read by A49-A52."""
+    return _of_order_users(m)
+
+
 @shared
-def _orders_items(m: Model) -> DataFrame:
-    """fact_orders JOIN fact_order_items on order_id, keeping the order's user.  Six tables
-    (A49-A54) read it, so a refresh stores it once (two item scans and three shuffles
-    each time otherwise)."""
-    fo = m.fact_orders.withColumnRenamed("user_id", "fo_user_id")
-    return fo.join(m.fact_order_items.select("order_id", "product_id", "revenue"),
-                   "order_id", "inner")
+def _user_product_revenue(m: Model) -> DataFrame:
+    """A row per user of fact_orders and product; read by A53 and A54."""
+    return _of_order_users(m, "product_id")
 
 
 def _revenue_variance(m: Model, keys: list[str]) -> DataFrame:
-    j = _orders_items(m).join(
+    j = _user_revenue(m).join(
         m.dim_user.withColumnRenamed("user_id", "fo_user_id"), "fo_user_id", "inner")
     g = j.groupBy(*keys).agg(
         F.countDistinct("fo_user_id").alias("users"),
         F.sum("revenue").alias("total_revenue"),
-        F.count("revenue").alias("_n"))
+        F.sum("n_revenue").alias("_n"))
     return g.select(*keys, "users", "total_revenue",
                     safe_divide(F.col("total_revenue"), F.col("_n")).alias("avg_order_value")
                     ).orderBy(F.col("total_revenue").desc())

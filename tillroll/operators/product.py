@@ -20,7 +20,7 @@ from tillroll.functions.metrics import (
     safe_divide,
     status_in_policy,
 )
-from tillroll.operators.geography import _country_kpis, _orders_items
+from tillroll.operators.geography import _country_kpis, _user_product_revenue
 from tillroll.plans.model import Model
 
 
@@ -163,11 +163,11 @@ def aggregate_category_kpis(m: Model) -> DataFrame:
 
 def revenue_by_category(m: Model) -> DataFrame:
     """fact_orders JOIN items JOIN dim_product."""
-    j = _orders_items(m).join(m.dim_product, "product_id", "inner")
+    j = _user_product_revenue(m).join(m.dim_product, "product_id", "inner")
     g = j.groupBy("product_category").agg(
         F.countDistinct("fo_user_id").alias("users"),
         F.sum("revenue").alias("total_revenue"),
-        F.count("revenue").alias("_n"))
+        F.sum("n_revenue").alias("_n"))
     return g.select("product_category", "users", "total_revenue",
                     safe_divide(F.col("total_revenue"), F.col("_n")).alias("avg_order_value")
                     ).orderBy(F.col("total_revenue").desc())

@@ -75,7 +75,8 @@ SHARED_ORDER = [
     "country_performance_summary",    # A21 -> A46, A48
     "country_segment_metrics",        # A4 -> A5, A20
     "country_month_kpis",             # D4 -> A62
-    "_orders_items",                  # fact_orders JOIN items -> A49-A54
+    "_user_revenue",                  # per user of fact_orders -> A49-A52
+    "_user_product_revenue",          # per user and product -> A53, A54
 ]
 
 
