@@ -63,12 +63,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/llm/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: For rows that hold large blocks: the writer looks at its buffers after every few rows.
+BLOCKS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "2",
+          "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8",
+          "parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
+
+
+def stored(df: DataFrame, what: str, blocks: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: work is done once, a
     lost executor costs no recomputation, and later plans start from files."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.options(**BLOCKS if blocks else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

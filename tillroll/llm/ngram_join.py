@@ -193,18 +193,22 @@ def _distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
 
+def list_pairs(rows: list) -> pd.DataFrame | None:
+    """Of a shard's rows the pairs (a > b): each class with its list's least one."""
+    done = [(np.frombuffer(r.keys, np.int64), np.frombuffer(r.classes, np.int64)) for r in rows if r.kind == 1]
+    if found := _lists(rows):
+        start, classes = found
+        least = np.repeat(classes[start], np.diff(np.append(start, len(classes))))
+        other = classes != least
+        done.append((classes[other], least[other]))
+    return _distinct(done) if done else None
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed lists by shard -> pairs (a > b): each class with its list's least one."""
+    """Packed lists by shard -> pairs (a > b)."""
     for _, rows in arrays.by_shard(batches):
-        done = [(np.frombuffer(r.keys, np.int64), np.frombuffer(r.classes, np.int64)) for r in rows if r.kind == 1]
-        if found := _lists(rows):
-            start, classes = found
-            least = np.repeat(classes[start], np.diff(np.append(start, len(classes))))
-            other = classes != least
-            done.append((classes[other], least[other]))
-        rows.clear()
-        if done:
-            yield _distinct(done)
+        if (found := list_pairs(rows)) is not None:
+            yield found
 
 
 def _cross(parts: tuple[str, int], seed: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +251,7 @@ def connect(relisted: DataFrame, shards: int, placed: DataFrame, found: DataFram
     some rounds pair each list's class that a hash puts first with those of other components, and
     components are joined by what holds. What then still differs is compared in full."""
     spark = relisted.sparkSession
-    relisted, rounds = stored(relisted, "lists"), [*range(ROUNDS), None]
+    relisted, rounds = stored(relisted, "lists", blocks=True), [*range(ROUNDS), None]
     while rounds:
         seed = rounds.pop(0)
         parts = (scratch(spark, "list-parts"), arrays.shards_for(placed.count()))

@@ -24,7 +24,7 @@ from tillroll.llm import arrays
 from tillroll.llm.common import scratch, stored
 from tillroll.llm.components import components
 from tillroll.llm.hashing import blocks, combine, mix, shingle_hashes, word_hashes
-from tillroll.llm.ngram_join import _store_sets, _verify, connect, hand_on, pairs_of
+from tillroll.llm.ngram_join import _store_sets, _verify, connect, hand_on, list_pairs
 
 WIDTH, SPAN, GAP = 5, 20, 28
 #: A text of fewer words than a span is one span if it has so many.
@@ -140,16 +140,27 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
     yield from listed()
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Kind 2 by shard -> (class, least, greatest)."""
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What tasks list, by shard -> kind 0: pairs (a > b) of spans; kind 2: each span with its least
+    and greatest document."""
     for _, rows in arrays.by_shard(batches):
-        span, least, most = (np.concatenate([np.frombuffer(getattr(r, n), np.int64) for r in rows])
+        about = [r for r in rows if r.kind == 2]
+        if (found := list_pairs(rows)) is not None:
+            yield _rows(0, found["a"], found["b"], 0)
+        rows.clear()
+        if not about:
+            continue
+        span, least, most = (np.concatenate([np.frombuffer(getattr(r, n), np.int64) for r in about])
                              for n in ("keys", "classes", "more"))
+        about.clear()
         order = np.argsort(span)
         span = span[order]
         first = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
-        yield pd.DataFrame({"class": span[first], "least": np.minimum.reduceat(least[order], first),
-                            "greatest": np.maximum.reduceat(most[order], first)})
+        yield _rows(2, span[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first))
+
+
+def _rows(kind: int, a, b, c) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.int32(kind), "a": a, "b": b, "c": np.int64(c) if np.isscalar(c) else c})
 
 
 def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,10 +239,10 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = arrays.shards_for(size // 90 * bands)
     listed = texts.mapInPandas(partial(_list, bands, rows, None, shards), arrays.LISTED)
-    listed = stored(listed, "para-lists")  # read twice
-    spans = stored(listed.where("kind = 2").repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
-        _documents, "class long, least long, greatest long"), "para-spans")
-    pairs = stored(pairs_of(listed.where("kind < 2"), shards), "para-pairs")
+    settled = stored(listed.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
+        _settle, "kind int, a long, b long, c long"), "para-lists")
+    spans = settled.where("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("least"), F.col("c").alias("greatest"))
+    pairs = stored(settled.where("kind = 0").select("a", "b").distinct(), "para-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(spans, "class"), "para-members")
     n = members.count()
     found = None
