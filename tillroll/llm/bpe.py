@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of the rolling window; a cut at one position of this many; bytes of a chunk at most.
 WINDOW, MEAN, MOST = 8, 256, 4096
-#: Chunks and words kept per worker (two generations of half of it each).
-CHUNKS, WORDS = 40_000, 400_000
+#: Chunks, words and parts of words kept per worker (two generations of half of it each).
+CHUNKS, WORDS, PARTS = 15_000, 250_000, 150_000
 
 # Words of these characters only are split as the tokenizer's rules say; others go to it whole.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]+")
@@ -107,7 +107,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.words, self.chunks, self.parts = Kept(WORDS), Kept(CHUNKS), Kept(WORDS)
+        self.words, self.chunks, self.parts = Kept(WORDS), Kept(CHUNKS), Kept(PARTS)
 
     def _part(self, part: str) -> list[tuple[int, str]]:
         found = self.parts.get(part)
