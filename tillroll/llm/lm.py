@@ -28,6 +28,8 @@ from tillroll.llm.hashing import blocks, mix, word_hashes
 HELD = 1_500_000
 #: Words per shard of the word arrays, bigram entries before merging per shard of theirs.
 WORDS_EACH, PAIRS_EACH = 1_000_000, 2_500_000
+#: Tokens per shard of the word arrays at most.
+TOKENS_EACH = 8_000_000
 #: The end of a text, a token of its own.
 END = mix(np.array([0x0E2D], np.uint64))[0]
 _LOW = np.uint64(0xFFFFFFFF)
@@ -265,7 +267,8 @@ def train(texts: DataFrame) -> Model:
     table = stored(counted.groupBy("key").agg(F.sum("n").alias("count")), "lm-words")
     size, tokens = table.agg(F.count("*"), F.sum("count")).first()
     tokens = tokens or 0
-    shards = arrays.shards_for(size, WORDS_EACH)
+    # what the shards of pairs hand to a shard of words grows with the tokens, so its number does
+    shards = max(arrays.shards_for(size, WORDS_EACH), arrays.shards_for(tokens, TOKENS_EACH))
     folder = scratch(spark, "lm-word-arrays")
     rows = arrays.store_sorted(table, folder, shards, {"count": np.int64})
     words = Words(folder, shards, tuple(int(x) for x in np.concatenate([[0], np.cumsum(rows)])), tokens)
