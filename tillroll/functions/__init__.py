@@ -1,33 +1 @@
-"""Shared column expressions."""
-
-from tillroll.functions.metrics import (
-    CANCELLED,
-    MEAN_DIGITS,
-    MONEY_MEAN_DIGITS,
-    COMPLETE,
-    RETURNED,
-    VALID_STATUSES,
-    StatusPolicy,
-    age_group,
-    attach_total,
-    mean_fixed,
-    month_start,
-    pct_2dp_of_mean,
-    present,
-    round_ratio,
-    safe_divide,
-    standardize_country,
-    status_in_policy,
-)
-from tillroll.functions.countries import (
-    COUNTRY_MAP_DIM_USER,
-    COUNTRY_MAP_GERMANY_ONLY,
-    COUNTRY_MAP_SPAIN_GERMANY,
-)
-
-__all__ = [
-    "CANCELLED", "COMPLETE", "MEAN_DIGITS", "MONEY_MEAN_DIGITS", "RETURNED", "VALID_STATUSES",
-    "StatusPolicy", "age_group", "attach_total", "mean_fixed", "month_start", "pct_2dp_of_mean", "present",
-    "round_ratio", "safe_divide", "standardize_country", "status_in_policy",
-    "COUNTRY_MAP_DIM_USER", "COUNTRY_MAP_GERMANY_ONLY", "COUNTRY_MAP_SPAIN_GERMANY",
-]
+"""Shared column expressions: ``metrics`` and ``countries``."""

@@ -41,12 +41,6 @@ def build_session(app: str = "tillroll", master: str | None = None,
     return spark
 
 
-def apply_job_conf(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to a session built elsewhere."""
-    for k, v in JOB_CONF.items():
-        spark.conf.set(k, v)
-
-
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints and intermediate tables."""
     d = spark.sparkContext.getCheckpointDir()

@@ -50,13 +50,15 @@ def main() -> None:
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     ap.add_argument("--out", default=os.path.join(os.path.dirname(os.path.dirname(
         os.path.abspath(__file__))), "PLANS.md"))
+    ap.add_argument("--root", help="folder for the layer; a temporary one by default")
     a = ap.parse_args()
     from tillroll.plans.model import Model
     from tillroll.plans.warehouse import materialize, materialize_shared
     from tillroll.registry import QUERIES, run_query
     from tillroll.session import build_session
     spark = build_session(master="local[8]", shuffle_partitions=16)
-    root = tempfile.mkdtemp(prefix="tillroll-plans-")
+    # a local session, where a local folder is as good as a shared one
+    root = a.root or tempfile.mkdtemp(prefix="tillroll-plans-")
     model = materialize_shared(materialize(Model.from_testdata(spark, a.sf), root), root)
     rows = []
     for key in QUERIES:
