@@ -41,7 +41,7 @@ COMMON = 16
 #: Light sets have at most so many shingles.
 MOST_LIGHT = 64
 #: Rounds of pairs with one class per list before what differs is compared in full.
-ROUNDS = 4
+ROUNDS = 2
 #: Shingles (and classes) that a task holds before it hands on what it has.
 HELD = 1_500_000
 _ROWS = "kind int, a long, b long, c long"
@@ -221,27 +221,41 @@ def _cross(parts: tuple[str, int], seed: int | None, batches: Iterator[pd.DataFr
             continue
         start, classes = found
         part, n = (arrays.lookup(*parts, classes.view(np.uint64), name, np.int64, 0) for name in ("component", "n"))
-        rank = mix(classes.view(np.uint64) ^ np.uint64(seed + 1)) if seed is not None else None
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(classes))))
+        differ = np.logical_or.reduceat(part != part[start][run], start)
+        keep = differ[run]  # most lists lie in one component
+        run, classes, part, n = run[keep], classes[keep], part[keep], n[keep]
+        if not len(run):
+            continue
+        if seed is not None:
+            order = np.lexsort((mix(classes.view(np.uint64) ^ np.uint64(seed + 1)), run))
+            run, classes, part, n = run[order], classes[order], part[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            first = np.repeat(first, np.diff(np.append(first, len(run))))
+            fits = _fits(part, part[first], n, n[first])
+            if fits.any():
+                yield _distinct([(classes[fits], classes[first[fits]])])
+            continue
         held, size = [], 0
-        for s, e in zip(start, np.append(start[1:], len(classes))):
-            if e - s < 2 or (part[s:e] == part[s]).all():
-                continue
-            own, at = np.unique(classes[s:e], return_index=True)
-            at = at + s
-            firsts = range(len(own) - 1) if rank is None else [int(rank[at].argmin())]
-            for i in firsts:
-                to = at[i + 1:] if rank is None else at
-                fits = (part[to] != part[at[i]]) & (np.minimum(n[to], n[at[i]]) * DEN >= np.maximum(n[to], n[at[i]]) * NUM)
-                if fits.any():
-                    held.append((np.full(fits.sum(), own[i]), classes[to[fits]]))
-                    size += len(held[-1][1])
-                    if size > HELD:
-                        yield _distinct(held)
-                        held, size = [], 0
+        edges = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
+        for s, e in zip(edges[:-1], edges[1:]):
+            for i in range(s, e - 1):
+                fits = np.flatnonzero(_fits(part[i + 1:e], part[i], n[i + 1:e], n[i]))
+                if len(fits):
+                    held.append((np.full(len(fits), classes[i]), classes[i + 1 + fits]))
+                    size += len(fits)
+            if size > HELD:
+                yield _distinct(held)
+                held, size = [], 0
         if held:
             yield _distinct(held)
 
 
+def _fits(part, other_part, n, other_n) -> np.ndarray:
+    """Components differ and sizes allow a link."""
+    return (part != other_part) & (np.minimum(n, other_n) * DEN >= np.maximum(n, other_n) * NUM)
+
+
 def connect(relisted: DataFrame, shards: int, placed: DataFrame, found: DataFrame, verify: Callable,
             keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(id, component) after all pairs between components of the listed classes are settled.
