@@ -42,3 +42,29 @@ def test_edge_rows(edge, empty):
     assert {r["kept"] for r in got if r["doc_id"] in (104, None)} == {False}
     assert not {100, 101, 102} & {r["doc_id"] for r in got}
     assert paragraphs.find(empty).count() == 0
+
+
+def _covered(got, texts):
+    """{(doc_id, kept): the words of each row, by index}."""
+    out = {}
+    for r in got:
+        first = len(texts[r["doc_id"]][:r["start"]].split())
+        out.setdefault((r["doc_id"], r["kept"]), []).append(set(range(first, first + r["n_words"])))
+    return out
+
+
+def test_passages_are_covered_from_end_to_end(spark):
+    rng = random.Random(8)
+    docs, planted = [_words(rng, rng.randrange(60, 200)) for _ in range(60)], []
+    for p in range(20):
+        passage = _words(rng, rng.randrange(51, 160))
+        for d in (p, p + 20, p + 40):
+            at = rng.randrange(len(docs[d]))
+            docs[d][at:at] = passage
+            planted.append((d, at, len(passage)))
+    texts = {i: " ".join(w) for i, w in enumerate(docs)}
+    got = paragraphs.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    for d, at, n in planted:
+        # a span that is nearly common may reach a few words beyond
+        assert any(set(range(at, at + n)) <= own <= set(range(at - 4, at + n + 4))
+                   for own in _covered(got, texts).get((d, d < 20), []))

@@ -5,7 +5,9 @@ words that starts at a content-defined word: one whose trigram hash is the least
 neighbouring ones. Any two texts that share ``SPAN + GAP + 1`` words in a row or more have a
 span in common. MinHash bands bring similar spans together, the Jaccard similarity of their
 five-word shingles is verified exactly, and links form components. What lies in a component with
-spans of several documents is repeated; the document with the least id keeps it.
+spans of several documents is repeated; the document with the least id keeps it. A repeated span
+is then extended word by word to both sides, as far as five-word shingles are common with the
+keeper's text, so a passage is one row from its first common word to its last.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,8 @@ from tillroll.llm.ngram_join import _store_sets, _verify, connect, hand_on, list
 WIDTH, SPAN, GAP = 5, 20, 28
 #: A text of fewer words than a span is one span if it has so many.
 LEAST_WORDS = 5
+#: No exact common run goes on for more words beside a unit without holding a common span itself.
+REACH = SPAN + GAP + 1
 THRESHOLD, RECALL = 0.75, 0.95
 #: Band keys that a task holds before it hands on what it has.
 HELD = 1_500_000
@@ -61,37 +66,53 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return at if len(at) else np.zeros(1, np.int64)
 
 
-def _spans(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a block's spans: (row of the batch, first word, digest, shingles: SPAN - WIDTH + 1 of
-    each, repeated where a short text has fewer)."""
-    k = SPAN - WIDTH + 1
+class Units(NamedTuple):
+    """What a block's texts are compared by. ``edges``: where each unit's shingles start, and the end."""
+    row: np.ndarray  # of the batch
+    start: np.ndarray  # first word
+    size: np.ndarray  # words
+    digest: np.ndarray
+    shingles: np.ndarray
+    edges: np.ndarray
+
+    def only(self, keep: np.ndarray) -> Units:
+        count = np.diff(self.edges)
+        return Units(*(x[keep] for x in self[:4]), self.shingles[np.repeat(keep, count)],
+                     np.concatenate([[0], np.cumsum(count[keep])]))
+
+
+def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]:
+    """The spans of a block, and the shingles of each row that has any, in order."""
     for first, held in blocks(batch["text"]):
         words, bounds = word_hashes(held)
         runs, at = shingle_hashes(words, bounds, WIDTH)
-        rows, starts, sets = [], [], []
+        rows, found = [], []
         for i in range(len(held)):
-            own = anchors(words[bounds[i]:bounds[i + 1]])
-            if len(own):
-                rows.append(np.full(len(own), first + i))
-                starts.append(own)
-                have = at[i + 1] - at[i]
-                sets.append(runs[at[i] + np.minimum(own[:, None] + np.arange(k), have - 1)])
+            n = bounds[i + 1] - bounds[i]
+            if n >= LEAST_WORDS:
+                own = anchors(words[bounds[i]:bounds[i + 1]])
+                found.append(np.unique(own << 32 | np.minimum(SPAN, n - own)))
+                rows.append(np.full(len(found[-1]), i))
         if rows:
-            shingles = np.concatenate(sets)
-            digest = np.zeros(len(shingles), np.uint64)
-            for j in range(k):
-                digest = combine(digest, shingles[:, j])
-            yield np.concatenate(rows), np.concatenate(starts), digest.view(np.int64), shingles
-
-
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(spans, bands)."""
+            row, unit = np.concatenate(rows), np.concatenate(found)
+            start, size = unit >> 32, unit & 0xFFFFFFFF
+            count = size - WIDTH + 1
+            edges = np.concatenate([[0], np.cumsum(count)])
+            place = np.arange(edges[-1]) - np.repeat(edges[:-1], count)
+            shingles = runs[np.repeat(at[row] + start, count) + place]
+            digest = mix(np.add.reduceat(mix(shingles ^ mix(place.astype(np.uint64))), edges[:-1]) + count.astype(np.uint64))
+            yield (Units(first + row, start, size, digest.view(np.int64), shingles, edges),
+                   {first + i: runs[at[i]:at[i + 1]] for i in np.unique(row).tolist()})
+
+
+def band_keys(shingles: np.ndarray, edges: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(units, bands)."""
     out = []
     for b in range(bands):
-        key = np.full(len(shingles), b, np.uint64)
+        key = np.full(len(edges) - 1, b, np.uint64)
         for r in range(rows):
             seed = mix(np.array([b * rows + r + 1], np.uint64))
-            key = combine(key, mix(shingles ^ seed).min(axis=1))
+            key = combine(key, np.minimum.reduceat(mix(shingles ^ seed), edges[:-1]))
         out.append(key)
     return np.stack(out, axis=1).view(np.int64)
 
@@ -125,14 +146,13 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
 
     for batch in batches:
         ids = batch["row"].to_numpy()
-        for row, _, digest, shingles in _spans(batch):
+        for units, _ in _units(batch):
             if only:
-                known = arrays.find(*only, digest.view(np.uint64))[0]
-                row, digest, shingles = row[known], digest[known], shingles[known]
-            if len(row):
-                keys.append(band_keys(shingles, bands, rows))
-                spans.append(digest)
-                docs.append(ids[row])
+                units = units.only(arrays.find(*only, units.digest.view(np.uint64))[0])
+            if len(units.row):
+                keys.append(band_keys(units.shingles, units.edges, bands, rows))
+                spans.append(units.digest)
+                docs.append(ids[units.row])
                 size += keys[-1].size
             if size > HELD:
                 yield from listed()
@@ -168,9 +188,10 @@ def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iter
     seen: set[int] = set()
     for batch in batches:
         ids = batch["row"].to_numpy()
-        for row, _, digest, shingles in _spans(batch):
+        for units, _ in _units(batch):
+            digest, edges = units.digest, units.edges
             have = arrays.find(*wanted, digest.view(np.uint64))[0]
-            have[have] = arrays.lookup(*wanted, digest[have].view(np.uint64), "row", np.int64, 0) == ids[row[have]]
+            have[have] = arrays.lookup(*wanted, digest[have].view(np.uint64), "row", np.int64, 0) == ids[units.row[have]]
             take = []
             for i in np.flatnonzero(have):
                 if digest[i] not in seen:
@@ -179,39 +200,160 @@ def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iter
             if len(seen) > HELD:
                 seen.clear()
             if take:
-                yield pd.DataFrame({"class": digest[take], "shingles": [np.unique(shingles[i]).tobytes() for i in take]})
+                yield pd.DataFrame({"class": digest[take], "shingles": [
+                    np.unique(units.shingles[edges[i]:edges[i + 1]]).tobytes() for i in take]})
+
+
+def _marked(marked: tuple[str, int], batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, dict[int, list]]]:
+    """(row of the batch, its shingles, by keeper (first word, end, component) of its repeated units)."""
+    for units, shingles in _units(batch):
+        units = units.only(arrays.find(*marked, units.digest.view(np.uint64))[0])
+        known = units.digest.view(np.uint64)
+        part, keeper = (arrays.lookup(*marked, known, name, np.int64, 0) for name in ("component", "keeper"))
+        found: dict[int, dict[int, list]] = {}
+        for r, s, n, c, k in zip(*(x.tolist() for x in (units.row, units.start, units.size, part, keeper))):
+            found.setdefault(r, {}).setdefault(k, []).append((s, s + n, c))
+        for r, by_keeper in found.items():
+            yield r, shingles[r], by_keeper
+
+
+def doc_key(ids: np.ndarray) -> np.ndarray:
+    """Spread over all shards."""
+    return mix(ids.astype(np.int64).view(np.uint64))
+
+
+def _emit_near(marked: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(class: the document's key, shingles) of keepers: what lies within ``REACH`` words of what they keep."""
+    for batch in batches:
+        ids, keys, sets = batch["row"].to_numpy(), [], []
+        for r, shingles, by_keeper in _marked(marked, batch):
+            near = np.zeros(len(shingles), bool)
+            for s, e, _ in by_keeper.get(int(ids[r]), []):
+                near[max(0, s - REACH):e + REACH] = True
+            if near.any():
+                keys.append(ids[r])
+                sets.append(np.unique(shingles[near]).tobytes())
+        if keys:
+            yield pd.DataFrame({"class": doc_key(np.array(keys)).view(np.int64), "shingles": sets})
+
+
+def _store_near(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that repeat an id have their shingles together."""
+    held: dict[int, dict[int, bytes]] = {}
+    for batch in batches:
+        for shard, key, data in zip(batch["shard"].tolist(), batch["class"].tolist(), batch["shingles"]):
+            own = held.setdefault(shard, {})
+            own[key] = np.unique(np.frombuffer(own[key] + data, np.uint64)).tobytes() if key in own else data
+    for shard, own in held.items():
+        keys = np.sort(np.fromiter(own, np.int64, len(own)).view(np.uint64))
+        sets = [own[k] for k in keys.view(np.int64).tolist()]
+        arrays.write(folder, "key", shard, keys)
+        arrays.write(folder, "end", shard, np.cumsum([len(x) // 8 for x in sets]))
+        arrays.write(folder, "data", shard, np.frombuffer(b"".join(sets), np.uint64))
+        yield pd.DataFrame({"rows": [len(own)]})
+
+
+def _near(store: tuple[str, int], keeper: int) -> np.ndarray:
+    found, shard, place = arrays.find(*store, doc_key(np.array([keeper])))
+    if not found[0]:
+        return np.empty(0, np.uint64)
+    end = arrays.mapped(store[0], "end", int(shard[0]), np.int64)
+    data = arrays.mapped(store[0], "data", int(shard[0]), np.uint64)
+    return data[end[place[0] - 1] if place[0] else 0:end[place[0]]]
+
+
+def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of true."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return edge[::2], edge[1::2]
+
+
+def _extend(words: int, first: np.ndarray, end: np.ndarray, units: list) -> list[tuple[int, int, int, int]]:
+    """(first word, end, component, units) of what the common runs of words from ``first`` to
+    ``end`` and the units cover together, where a unit is in it."""
+    change = np.zeros(words + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, end, -1)
+    covered = np.cumsum(change[:-1]) > 0
+    for s, e, _ in units:
+        covered[s:e] = True
+    starts, ends = _runs_of(covered)
+    out: dict[int, list[int]] = {}
+    for s, _, c in units:
+        own = out.setdefault(int(np.searchsorted(starts, s, "right")) - 1, [c, 0])
+        own[0], own[1] = min(own[0], c), own[1] + 1
+    return [(int(starts[i]), int(ends[i]), c, n) for i, (c, n) in out.items()]
+
+
+_FOUND = ["kind", "row", "start", "end", "n_words", "n_spans", "component_id", "keeper", "kept", "key", "last"]
+
+
+def _passages(row: int, text: str, found: list[tuple], kept: bool) -> list[tuple]:
+    """Of (first word, end, component, units, keeper) those that overlap or meet as one."""
+    data = text.encode("utf-8")
+    at = [m.span() for m in _WORD.finditer(data)]
+    merged: list[list[int]] = []
+    for s, e, c, n, k in sorted(found):
+        if merged and s <= merged[-1][1]:
+            last = merged[-1]
+            last[1], last[2], last[3] = max(e, last[1]), min(c, last[2]), last[3] + n
+        else:
+            merged.append([s, e, c, n, k])
+    out = []
+    for s, e, c, n, k in merged:
+        a = len(data[:at[s][0]].decode("utf-8"))
+        b = a + len(data[at[s][0]:at[e - 1][1]].decode("utf-8"))
+        out.append((0, row, a, b, e - s, n, c, k, kept, 0, 0))
+    return out
+
+
+def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kind 0: passages that others keep, word by word as far as they agree with the keeper; kind 1:
+    the runs of shingles (n_words of them) that they share with it: a key of keeper and first
+    one, the last one."""
+    for batch in batches:
+        ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
+        shared: dict[int, tuple[int, int]] = {}
+        for r, shingles, by_keeper in _marked(marked, batch):
+            found = []
+            for k, units in by_keeper.items():
+                if k == ids[r]:
+                    continue
+                own = _near(near, k)
+                place = np.searchsorted(own, shingles)
+                first, end = _runs_of(own[np.minimum(place, len(own) - 1)] == shingles if len(own) else np.zeros(len(shingles), bool))
+                extended = _extend(len(shingles) + WIDTH - 1, first, end + WIDTH - 1, units)
+                found += [(*x, k) for x in extended]
+                starts = np.sort([x[0] for x in extended])
+                ends = np.sort([x[1] for x in extended])
+                inside = np.searchsorted(starts, first, "right") - 1
+                take = (inside >= 0) & (first < ends[inside])
+                first, end = first[take], end[take]
+                keys = combine(np.full(len(first), doc_key(np.array([k]))[0]), shingles[first]).view(np.int64)
+                for key, n, last in zip(keys.tolist(), (end - first).tolist(), shingles[end - 1].view(np.int64).tolist()):
+                    shared[key] = max(shared.get(key, (0, 0)), (n, last))
+            if found:
+                out += _passages(ids[r], texts[r], found, False)
+        out += [(1, 0, 0, 0, n, 0, 0, 0, False, key, last) for key, (n, last) in shared.items()]
+        if out:
+            yield pd.DataFrame(out, columns=_FOUND)
 
 
-def _locate(marked: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of repeated spans, those that overlap or meet (same part of the verdict) as one."""
+def _keep(marked: tuple[str, int], shared: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages that a document keeps, as far as any other document shares them."""
     for batch in batches:
-        ids, texts = batch["row"].to_numpy(), batch["text"].to_numpy()
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for row, start, digest, _ in _spans(batch):
-            have = arrays.find(*marked, digest.view(np.uint64))[0]
-            known = digest[have].view(np.uint64)
-            part, keeper = (arrays.lookup(*marked, known, name, np.int64, 0) for name in ("component", "keeper"))
-            for r, s, c, k in zip(row[have].tolist(), start[have].tolist(), part.tolist(), keeper.tolist()):
-                found.setdefault(r, []).append((s, c, k))
-        out = []
-        for r, spans in found.items():
-            data = texts[r].encode("utf-8")
-            at = [m.span() for m in _WORD.finditer(data)]
-            merged: list[list[int]] = []
-            for s, c, k in sorted(spans):
-                end, kept = min(s + SPAN, len(at)), k == ids[r]
-                if merged and merged[-1][3] == kept and s <= merged[-1][1]:
-                    merged[-1][1] = max(end, merged[-1][1])
-                    merged[-1][2] = min(c, merged[-1][2])
-                    merged[-1][5] += 1
-                else:
-                    merged.append([s, end, c, kept, k, 1])
-            for s, e, c, kept, k, n in merged:
-                a = len(data[:at[s][0]].decode("utf-8"))
-                b = a + len(data[at[s][0]:at[e - 1][1]].decode("utf-8"))
-                out.append((ids[r], a, b, e - s, n, c, k, kept))
+        ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
+        for r, shingles, by_keeper in _marked(marked, batch):
+            if units := by_keeper.get(int(ids[r])):
+                keys = combine(np.full(len(shingles), doc_key(ids[r:r + 1])[0]), shingles)
+                n = arrays.lookup(*shared, keys, "n", np.int64, 0)
+                last = arrays.lookup(*shared, keys, "last", np.int64, 0)
+                first = np.flatnonzero((n > 0) & (np.arange(len(n)) + n <= len(n)))
+                first = first[shingles.view(np.int64)[first + n[first] - 1] == last[first]]
+                found = _extend(len(shingles) + WIDTH - 1, first, first + n[first] + WIDTH - 1, units)
+                out += _passages(ids[r], texts[r], [(*x, ids[r]) for x in found], True)
         if out:
-            yield pd.DataFrame(out, columns=["row", "start", "end", "n_words", "n_spans", "component_id", "keeper", "kept"])
+            yield pd.DataFrame(out, columns=_FOUND)
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -219,21 +361,22 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     (code points, end exclusive), n_words, n_spans, component_id, keeper, kept.
 
     A passage is kept in the document with the least id of its component and removed (kept
-    false) in all others; overlapping spans with one verdict are one passage. Documents without
+    false) in all others, from the first to the last word that it has in common with the keeper's
+    (in the keeper: with any other's); overlapping passages with one verdict are one. Documents without
     repeated passages have no row, nor have null, empty and shorter texts than ``LEAST_WORDS``.
     Repeats within one document don't count. Rows with a null id are read as a document of
     their own whose doc_id is null, and keep nothing that others have. Repeated rows with one id
     are one document. An empty table gives no rows; other columns are ignored.
 
     Lists of band keys are paired with their least span first; only where such a pair fails are
-    they listed again in full, and pairs between components verified. Texts are read three
-    times, or four; what is shuffled are hashes. A passage in a third of all documents is counted
+    they listed again in full, and pairs between components verified. Texts are read five
+    times, or six; what is shuffled are hashes. A passage in a third of all documents is counted
     once per task before it is shuffled."""
     if threshold != THRESHOLD:
         raise ValueError("the exact check is fixed at 3/4")
     spark = docs.sparkSession
     bands, rows = tune_bands(threshold, recall)
-    last = 2 ** 63 - 1
+    last, top = 2 ** 63 - 1, F.shiftrightunsigned("class", 32)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("row"), "text")
     # a span for about every 14 words of 6 characters, each under all its bands
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -257,7 +400,6 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         wanted = (scratch(spark, "para-wanted"), arrays.shards_for(n))
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
         sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 200_000))
-        top = F.shiftrightunsigned("class", 32)
         emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary")
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
             sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
@@ -289,9 +431,19 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     marked = stored(marked, "para-marked")
     store = (scratch(spark, "para-marked-store"), arrays.shards_for(marked.count()))
     arrays.store_sorted(marked, *store, {"component": np.int64, "keeper": np.int64})
-    located = texts.mapInPandas(partial(_locate, store), (
-        "row long, start int, end int, n_words int, n_spans int, component_id long, keeper long, kept boolean"))
-    return located.withColumn("row", F.when(F.col("row") < last, F.col("row"))).withColumnRenamed("row", "doc_id")
+    near = (scratch(spark, "para-near"), arrays.shards_for(size // 6))  # a shingle a word, of all documents at most
+    emitted = texts.mapInPandas(partial(_emit_near, store), "class long, shingles binary")
+    emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(near[1]).cast("long"), 32)).repartition(
+        near[1], "shard").mapInPandas(partial(_store_near, near[0]), "rows long").agg(F.sum("rows")).first()
+    schema = ("kind int, row long, start int, end int, n_words int, n_spans int, component_id long, keeper long, "
+              "kept boolean, key long, last long")
+    removed = stored(texts.mapInPandas(partial(_remove, store, near), schema), "para-removed")
+    runs = stored(removed.where("kind = 1").groupBy("key").agg(F.max(F.struct("n_words", "last")).alias("most")).select(
+        "key", F.col("most.n_words").cast("long").alias("n"), "most.last"), "para-runs")
+    shared = (scratch(spark, "para-shared"), arrays.shards_for(runs.count()))
+    arrays.store_sorted(runs, *shared, {"n": np.int64, "last": np.int64})
+    located = removed.where("kind = 0").unionByName(texts.mapInPandas(partial(_keep, store, shared), schema))
+    return located.drop("kind", "key", "last").withColumn("row", F.when(F.col("row") < last, F.col("row"))).withColumnRenamed("row", "doc_id")
 
 
 def expected_recall(bands: int, rows: int, similarity: float) -> float:
