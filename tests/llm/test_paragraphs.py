@@ -1,5 +1,6 @@
 import random
 
+from tests.llm import brute
 from tillroll.llm import paragraphs
 
 
@@ -68,3 +69,36 @@ def test_passages_are_covered_from_end_to_end(spark):
         # a span that is nearly common may reach a few words beyond
         assert any(set(range(at, at + n)) <= own <= set(range(at - 4, at + n + 4))
                    for own in _covered(got, texts).get((d, d < 20), []))
+
+
+def test_edited_paragraphs_link_as_in_brute_force(spark):
+    """Lines in longer documents, and copies with one or more words changed."""
+    rng = random.Random(9)
+    lines, docs = [], [[] for _ in range(80)]
+    for p in range(120):
+        base = _words(rng, rng.choice([12, 25, 40, 60, 90]))
+        other = list(base)
+        for w in rng.sample(range(len(other)), rng.choice([0, 1, 1, 2])):
+            other[w] = f"edit{p}"
+        if p == 0:  # both ends far from the edit, and no span of 20 words in common
+            base = _words(rng, 40)
+            other = [*base[:21], "edited", *base[22:]]
+        one, two = rng.sample(range(80), 2)
+        for d, words in ((one, base), (two, other)):
+            docs[d].append(" ".join(words))
+            lines.append((d, len(docs[d]) - 1))
+    texts = {i: "\n".join(x) for i, x in enumerate(docs)}
+    got = _covered(paragraphs.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect(), texts)
+    links = brute.jaccard_links([(n, docs[d][k]) for n, (d, k) in enumerate(lines)])
+    assert len(links) > 70 and (0, 1) in links
+    found = 0
+    for pair in links:
+        whole = []
+        for n in pair:
+            d, k = lines[n]
+            first = len(" ".join(docs[d][:k]).split())
+            own = set(range(first, first + len(docs[d][k].split())))
+            whole.append(any(own <= x for kept in (True, False) for x in got.get((d, kept), [])))
+        found += all(whole)
+    print(f"{found} of {len(links)} links found")
+    assert found >= 0.95 * len(links)

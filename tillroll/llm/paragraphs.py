@@ -1,12 +1,12 @@
 """Repeated passages: MinHash banding of paragraphs.
 
-Passages repeat inside lines as well as in whole ones, so a paragraph is a span of ``SPAN``
-words that starts at a content-defined word: one whose trigram hash is the least of ``GAP``
-neighbouring ones. Any two texts that share ``SPAN + GAP + 1`` words in a row or more have a
-span in common. MinHash bands bring similar spans together, the Jaccard similarity of their
-five-word shingles is verified exactly, and links form components. What lies in a component with
-spans of several documents is repeated; the document with the least id keeps it. A repeated span
-is then extended word by word to both sides, as far as five-word shingles are common with the
+Paragraphs are lines, and blocks of lines between blank ones. Passages repeat inside lines as well,
+so spans of ``SPAN`` words are compared like paragraphs. A span starts at a content-defined word:
+one whose trigram hash is the least of ``GAP`` neighbouring ones. Any two texts that share
+``SPAN + GAP + 1`` words in a row or more have a span in common. MinHash bands bring similar units
+together, the Jaccard similarity of their five-word shingles is verified exactly, and links form
+components. What lies in a component with units of several documents is repeated; the document
+with the least id keeps it. A repeated unit is then extended word by word to both sides, as far as five-word shingles are common with the
 keeper's text, so a passage is one row from its first common word to its last.
 """
 
@@ -66,6 +66,20 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return at if len(at) else np.zeros(1, np.int64)
 
 
+def paragraphs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of the lines and of the blocks of lines of a text, given where its lines'
+    words start and the last one's end. A text without inner blank lines has no blocks."""
+    start, end = edges[:-1], edges[1:]
+    used = start < end
+    block, start, end = np.cumsum(~used)[used], start[used], end[used]
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    if len(first) > 1:
+        last = np.append(first[1:], len(start)) - 1
+        start, end = np.concatenate([start, start[first]]), np.concatenate([end, end[last]])
+    long = end - start >= LEAST_WORDS
+    return start[long], end[long]
+
+
 class Units(NamedTuple):
     """What a block's texts are compared by. ``edges``: where each unit's shingles start, and the end."""
     row: np.ndarray  # of the batch
@@ -82,16 +96,20 @@ class Units(NamedTuple):
 
 
 def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]:
-    """The spans of a block, and the shingles of each row that has any, in order."""
+    """The spans and paragraphs of a block, equal ones once, and the shingles of each row that has any, in order."""
     for first, held in blocks(batch["text"]):
-        words, bounds = word_hashes(held)
+        split = [text.split(b"\n") for text in held]
+        words, lines = word_hashes([line for text in split for line in text])
+        of = np.concatenate([[0], np.cumsum([len(text) for text in split])])
+        bounds = lines[of]
         runs, at = shingle_hashes(words, bounds, WIDTH)
         rows, found = [], []
         for i in range(len(held)):
             n = bounds[i + 1] - bounds[i]
             if n >= LEAST_WORDS:
                 own = anchors(words[bounds[i]:bounds[i + 1]])
-                found.append(np.unique(own << 32 | np.minimum(SPAN, n - own)))
+                start, end = paragraphs(lines[of[i]:of[i + 1] + 1] - bounds[i])
+                found.append(np.unique(np.concatenate([own << 32 | np.minimum(SPAN, n - own), start << 32 | end - start])))
                 rows.append(np.full(len(found[-1]), i))
         if rows:
             row, unit = np.concatenate(rows), np.concatenate(found)
@@ -378,9 +396,9 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     bands, rows = tune_bands(threshold, recall)
     last, top = 2 ** 63 - 1, F.shiftrightunsigned("class", 32)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("row"), "text")
-    # a span for about every 14 words of 6 characters, each under all its bands
+    # a span for about every 14 words of 6 characters and some paragraphs, each under all its bands
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = arrays.shards_for(size // 90 * bands)
+    shards = arrays.shards_for(size // 70 * bands)
     listed = texts.mapInPandas(partial(_list, bands, rows, None, shards), arrays.LISTED)
     settled = stored(listed.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
         _settle, "kind int, a long, b long, c long"), "para-lists")
@@ -399,7 +417,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
         wanted = (scratch(spark, "para-wanted"), arrays.shards_for(n))
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
-        sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 200_000))
+        sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 100_000))
         emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary")
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
             sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
