@@ -102,3 +102,16 @@ def test_edited_paragraphs_link_as_in_brute_force(spark):
         found += all(whole)
     print(f"{found} of {len(links)} links found")
     assert found >= 0.95 * len(links)
+
+
+def test_links_beside_a_list_s_least_unit_are_not_lost(spark, monkeypatch):
+    """All units are in one list, so those in the document of its least one are paired within it."""
+    monkeypatch.setattr(paragraphs, "tune_bands", lambda *_: (1, 0))
+    rng, texts = random.Random(10), {}
+    for i in range(6):
+        lines = [_words(rng, 25) for _ in range(4)]
+        texts[i] = "\n".join(" ".join(x) for x in lines)
+        texts[i + 6] = "\n".join(" ".join([*x[:24], f"edit{i}"]) for x in lines)
+    got = _covered(paragraphs.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect(), texts)
+    for d in texts:
+        assert set().union(*got.get((d, d < 6), [])) == set(range(100))

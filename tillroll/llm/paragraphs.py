@@ -387,7 +387,8 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     are one document. An empty table gives no rows; other columns are ignored.
 
     Lists of band keys are paired with their least span first; only where such a pair fails are
-    they listed again in full, and pairs between components verified. Texts are read five
+    they listed again in full, and pairs between components verified. Pairs within one document are
+    links as well: a list's least unit may be in the document of another. Texts are read five
     times, or six; what is shuffled are hashes. A passage in a third of all documents is counted
     once per task before it is shuffled."""
     if threshold != THRESHOLD:
@@ -408,13 +409,6 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     n = members.count()
     found = None
     if n:
-        about = members.select("class", "least", "greatest")
-
-        def apart(pairs: DataFrame) -> DataFrame:
-            """Without pairs within one document: a span and its own neighbour."""
-            wide = pairs.join(about.toDF("a", "la", "ga"), "a").join(about.toDF("b", "lb", "gb"), "b")
-            return wide.where(F.least("la", "lb") != F.greatest("ga", "gb")).select("a", "b")
-
         wanted = (scratch(spark, "para-wanted"), arrays.shards_for(n))
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
         sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 100_000))
@@ -422,7 +416,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
             sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
         verify = partial(_verify, sets)
-        checked = stored(apart(pairs).repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "para-checked")
+        checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "para-checked")
         found = stored(components(checked.where("ok").select("a", "b")), "para-components")
         placed = stored(members.join(found.withColumnRenamed("id", "class"), "class", "left").withColumn(
             "component", F.coalesce("component", "class")), "para-placed")
@@ -434,7 +428,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
             only = (scratch(spark, "para-open-store"), arrays.shards_for(n_open))
             arrays.store_sorted(again.select(F.col("class").alias("key")), *only)
             relisted = texts.mapInPandas(partial(_list, bands, rows, only, shards), arrays.LISTED)
-            found = connect(relisted, shards, again.withColumn("n", F.lit(1).cast("long")), found, verify, apart)
+            found = connect(relisted, shards, again.withColumn("n", F.lit(1).cast("long")), found, verify)
     if found is None:
         marked = spans.where("least != greatest").select(
             F.col("class").alias("key"), F.col("class").alias("component"), F.col("least").alias("keeper"))
