@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2, operator 9: one document of each group stays, the one with the least id. Rows
-    with a null id stay, as do rows that repeat the id of a document that stays."""
+    """Stage 2, operator 9: one row of each group stays, the one with the least id, a null
+    one last. Rows that repeat an id are told apart by their text."""
     ship(spark)
     return ngram_join.keep_one(docs)
 

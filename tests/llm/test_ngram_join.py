@@ -63,3 +63,14 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(7, 7), (None, 3)], "a long, b long").repartition(6)
     assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(301)}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    """Ids that occur twice with other texts, null ids, repeated rows and null or empty texts."""
+    words = [f"w{i}" for i in range(200)]
+    one, near, other, third = (" ".join(w) for w in (words[:40], [*words[:39], "x"], words[50:90], words[100:140]))
+    rows = [(1, one, "a"), (1, one, "a"), (1, one, "b"), (2, near, "a"), (2, other, "a"), (None, one, "a"),
+            (None, third, "a"), (None, third, "a"), (2, None, "a"), (3, "", "a"), (3, "", "a"), (4, near.upper(), "a")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(4)).collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in kept], key=str) == sorted(
+        [(1, one), (2, other), (None, third), (2, None), (3, ""), (3, "")], key=str)

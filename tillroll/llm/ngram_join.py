@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm import arrays
 from tillroll.llm.common import scratch, stored
@@ -369,6 +370,15 @@ def join(docs: DataFrame) -> DataFrame:
     (copies, repeated rows) are one class, in components with its least id. An empty table gives
     no rows; other columns are ignored. Texts are read three times, or four if a group has to be
     listed again; what is shuffled are signatures, not texts."""
+    last = F.lit(2 ** 63 - 1)
+    own = F.when(F.col("n") > 0, F.coalesce("least", "row")).otherwise(F.col("row"))
+    return _joined(docs).select(F.when(F.col("row") < last, F.col("row")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                                F.when(own < last, own).alias("component_id"))
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: row (its id, a null one last), n, class, part (a class that stands
+    for the component) and least (row of it); the last two null where there are no shingles."""
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # rows stand for their documents; a null id stands last
@@ -393,7 +403,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class"), "join-members")
     size = members.agg(F.count("*"), F.sum("n")).first()
     if not size[0]:
-        return _answer(read, rows, classes, None)
+        return _answer(rows, classes, None)
     wanted = (scratch(spark, "join-wanted"), arrays.shards_for(size[0]))
     arrays.store_sorted(members.select(F.col("class").alias("key"), "row"), *wanted, {"row": np.int64})
     sets = (scratch(spark, "join-set-store"), arrays.shards_for(size[1]))
@@ -417,42 +427,84 @@ def join(docs: DataFrame) -> DataFrame:
         arrays.store_sorted(again.select(F.col("class").alias("key")), *only)
         relisted = texts.mapInPandas(partial(_list, common, light, only, shards), arrays.LISTED)
         found = connect(relisted, shards, again.select("class", "component", "n"), found, verify)
-    return _answer(read, rows, classes, found)
+    return _answer(rows, classes, found)
 
 
-def _answer(read: DataFrame, rows: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
+def _answer(rows: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
     """Rows with the least id of their component. Only classes that differ from their own row
     are joined, so most rows need no partner."""
-    last = F.lit(2 ** 63 - 1)
     if found is not None:
         placed = classes.join(found.withColumnRenamed("id", "class"), "class", "left").withColumn(
             "part", F.coalesce("component", "class"))
         least = placed.groupBy("part").agg(F.min("row").alias("least"))
-        target = placed.where("component is not null").join(least, "part").select("class", "least")
-        alone = placed.where("component is null").select("class", F.col("row").alias("least"))
+        target = placed.where("component is not null").join(least, "part").select("class", "part", "least")
+        alone = placed.where("component is null").select("class", "part", F.col("row").alias("least"))
         target = target.unionByName(alone)
     else:
-        target = classes.select("class", F.col("row").alias("least"))
-    joined = rows.join(target, "class", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("least", "row")).otherwise(F.col("row"))
-    return joined.select(F.when(F.col("row") < last, F.col("row")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                         F.when(own < last, own).alias("component_id"))
+        target = classes.select("class", F.col("class").alias("part"), F.col("row").alias("least"))
+    known = rows.where("n > 0").join(target, "class", "left").select("row", "n", "class", "part", "least")
+    nothing = F.lit(None).cast("long")
+    return known.unionByName(rows.where("n = 0").select(
+        "row", "n", "class", nothing.alias("part"), nothing.alias("least")))
+
 
+def _row_key(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return combine(mix(rows.astype(np.int64).view(np.uint64)), classes.astype(np.int64).view(np.uint64))
 
-def _without(gone: tuple[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _add_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        key = _row_key(batch["row"].to_numpy(), batch["class"].to_numpy()).view(np.int64)
+        yield pd.DataFrame({"id": batch["row"], "key": key, "again": batch["again"]})
+
+
+def _rows_that(again: bool, ids: tuple[str, int], told: tuple[str, int],
+               batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that neither go nor are repeated; if ``again``, those that stay and are repeated."""
+    for batch in batches:
+        own = batch.column("doc_id").cast(pa.int64()).fill_null(2 ** 63 - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        value = np.full(len(own), -1, np.int64)
+        some = np.flatnonzero(arrays.find(*ids, own.view(np.uint64))[0])
+        if len(some):  # only their texts are looked at
+            texts = batch.column("text").take(pa.array(some)).to_pylist()
+            for at, sets in _sets({"text": texts}):
+                n = np.array([len(s) for s in sets])
+                key = _row_key(own[some[at]], np.array([class_of(s) for s in sets], np.int64))
+                value[some[at]] = np.where(n > 0, arrays.lookup(*told, key, "again", np.int64, -1), -1)
+        yield batch.filter(pa.array(value == (1 if again else -1)))
+
+
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
-        known = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.int64)
-        drop = arrays.find(*gone, known.view(np.uint64))[0] & ids.is_valid().to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array(~drop))
+        own = batch.column("doc_id").cast(pa.int64()).fill_null(2 ** 63 - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        classes = [class_of(x) for _, sets in _sets({"text": batch.column("text").to_pylist()}) for x in sets]
+        key = _row_key(own, np.array(classes, np.int64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["told", *batch.schema.names])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents of a group other than the one with the least
-    id. Rows with a null id stay, as do rows that repeat the id of a document that stays. The ids
-    that go are a store in the shared folder, so no text is shuffled to drop them."""
-    groups = stored(join(docs), "join-groups")
-    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct(), "join-gone")
-    store = (scratch(docs.sparkSession, "join-gone-store"), arrays.shards_for(gone.count()))
-    arrays.store_sorted(gone, *store)
-    return docs.mapInArrow(partial(_without, store), docs.schema)
+    """``docs``, all columns, with one row of each group: that with the least id (a null one last),
+    of several such texts the one whose set has the least digest, of its copies the one with the
+    least hash of all columns. Texts without shingles stay, all rows of them. What goes is looked
+    up by id and set in stores in the shared folder; only rows of a staying document that repeat
+    its id and set are shuffled."""
+    spark = docs.sparkSession
+    groups = stored(_joined(docs), "join-groups").where("part is not null")
+    each = groups.groupBy("part", "row", "class").agg(F.count("*").alias("n"))
+    stays = groups.groupBy("part").agg(F.min(F.struct("row", "class")).alias("stays"))
+    again = F.when(F.struct("row", "class") != F.col("stays"), 0).when(F.col("n") > 1, 1)
+    told = stored(each.join(stays, "part").select("row", "class", again.cast("long").alias("again")).where(
+        "again is not null").mapInPandas(_add_key, "id long, key long, again long"), "join-told")
+    names = told.select(F.col("id").alias("key")).distinct()
+    ids = (scratch(spark, "join-told-ids"), arrays.shards_for(n := told.count()))
+    arrays.store_sorted(names, *ids)
+    store = (scratch(spark, "join-told-store"), arrays.shards_for(n))
+    arrays.store_sorted(told.select("key", "again"), *store, {"again": np.int64})
+    kept = docs.mapInArrow(partial(_rows_that, False, ids, store), docs.schema)
+    if told.where("again = 1").isEmpty():
+        return kept
+    text = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = docs.mapInArrow(partial(_rows_that, True, ids, store), docs.schema)
+    keyed = repeated.mapInArrow(_with_key, T.StructType([T.StructField("told", T.LongType()), *docs.schema.fields]))
+    one = keyed.groupBy("told").agg(F.min_by(text, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return kept.unionByName(one)
