@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import arrays
-from tillroll.llm.common import scratch, stored
+from tillroll.llm.common import release, scratch, stored
 from tillroll.llm.components import components
 from tillroll.llm.hashing import blocks, combine, mix, shingle_hashes, word_hashes
 from tillroll.llm.ngram_join import _store_sets, _verify, connect, hand_on, list_pairs
@@ -403,6 +403,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     listed = texts.mapInPandas(partial(_list, bands, rows, None, shards), arrays.LISTED)
     settled = stored(listed.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
         _settle, "kind int, a long, b long, c long"), "para-lists")
+    release(spark)
     spans = settled.where("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("least"), F.col("c").alias("greatest"))
     pairs = stored(settled.where("kind = 0").select("a", "b").distinct(), "para-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(spans, "class"), "para-members")
@@ -415,6 +416,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary")
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
             sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
+        release(spark)
         verify = partial(_verify, sets)
         checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "para-checked")
         found = stored(components(checked.where("ok").select("a", "b")), "para-components")
@@ -441,12 +443,14 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         marked = alone.unionByName(grouped.join(keepers.drop("g"), "component").select(
             F.col("class").alias("key"), "component", "keeper"))
     marked = stored(marked, "para-marked")
+    release(spark)
     store = (scratch(spark, "para-marked-store"), arrays.shards_for(marked.count()))
     arrays.store_sorted(marked, *store, {"component": np.int64, "keeper": np.int64})
     near = (scratch(spark, "para-near"), arrays.shards_for(size // 6))  # a shingle a word, of all documents at most
     emitted = texts.mapInPandas(partial(_emit_near, store), "class long, shingles binary")
     emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(near[1]).cast("long"), 32)).repartition(
         near[1], "shard").mapInPandas(partial(_store_near, near[0]), "rows long").agg(F.sum("rows")).first()
+    release(spark)
     schema = ("kind int, row long, start int, end int, n_words int, n_spans int, component_id long, keeper long, "
               "kept boolean, key long, last long")
     removed = stored(texts.mapInPandas(partial(_remove, store, near), schema), "para-removed")
