@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import io
 import re
 import tempfile
@@ -79,13 +78,6 @@ def stored(df: DataFrame, what: str, blocks: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of steps that are done stay until the driver collects its garbage; this asks
-    for it, so that large steps in a row don't have theirs on disk at the same time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _LOWER)
 
