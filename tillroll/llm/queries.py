@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, lm, mixing, neardup, ngram_join, paragraphs, pii, quality, toxicity, urls
+from tillroll.llm import (
+    bpe, byte_bpe, lexical, lm, mixing, neardup, ngram_join, paragraphs, periodic, pii, quality, toxicity, urls)
 from tillroll.llm.common import table
 
-#: The encoder's file among the installed public tokenizers.
-TOKENIZER = "word_bpe_49k.json"
+#: The encoders' files among the installed public tokenizers.
+TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+#: Documents that lexical search gives for an item.
+BEST = 50
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +68,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.find(periodic.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), BEST)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path(BYTE_RANKS)),
+                           public_tokenizers.PATTERN, digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_near_embeddings, op3_lm_scoring, op4_pii, op5_repeated_passages, op6_bpe,
-    op7_url_filters, op8_toxicity, op9_ngram_join, op10_mixing)}
+    op7_url_filters, op8_toxicity, op9_ngram_join, op10_mixing, op11_periodic_runs, op12_lexical_search, op13_byte_bpe)}
 
 OP7_SQL = f"""
 WITH cut AS (
@@ -122,4 +139,38 @@ SELECT doc_id, size, source_size, target,
 FROM drawn
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL}
+OP12_SQL = f"""
+WITH cut AS (
+  SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+), sized AS (
+  SELECT d, doc_id, count(*)::BIGINT AS n FROM cut GROUP BY d, doc_id
+), total AS (
+  SELECT count(*)::BIGINT AS number, sum(n)::BIGINT AS words FROM sized
+), posting AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM cut GROUP BY d, term
+), item AS (
+  SELECT row_number() OVER () AS i, item_id, text FROM benchmark
+), wanted AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM item
+), weighted AS (
+  SELECT term, floor(1000.0 * ln((2 * any_value(number) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM posting, total GROUP BY term
+), scored AS (
+  SELECT i, item_id, doc_id, d,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * number) // words)))))::BIGINT AS score
+  FROM wanted JOIN weighted USING (term) JOIN posting USING (term) JOIN sized USING (d), total
+  GROUP BY i, item_id, doc_id, d
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= {BEST}
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL}
