@@ -6,8 +6,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 from tests.helpers import assert_same, duck_on_generated, duck_rows, spark_rows
+from tillroll.registry import QUERIES
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    """Training-data operators have their own tests; only some of them are expressible in SQL."""
+    assert set(KEYS) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)
