@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if d and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for state and intermediate tables. Only a session whose tasks run in the driver's own
+    process gets a folder of its own where none is named: elsewhere executors would not see it."""
+    folder = checkpoint_dir(spark)
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = tempfile.mkdtemp(prefix="tillroll-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
