@@ -2,6 +2,7 @@
 
 from tests.helpers import spark_rows
 from tillroll.__main__ import main
+from tillroll.plans.versions import read_table
 from tillroll.registry import run_query
 
 
@@ -11,7 +12,7 @@ def test_refresh_writes_tables(spark, small_model, tmp_path):
     assert main(["refresh", "--testdata", "/root/testdata/sf0.001", "--out", out,
                  "--keys", ",".join(keys)]) == 0
     for key in keys:
-        stored = spark.read.parquet(f"{out}/{key}")
+        stored = read_table(spark, f"{out}/{key}")
         assert spark_rows(stored) == spark_rows(run_query(key, small_model))
 
 

@@ -1,0 +1,144 @@
+"""A refresh: checked layer, metrics instead of scans, a graph of jobs."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.helpers import spark_rows
+from tillroll.operators import growth
+from tillroll.plans import refresh
+from tillroll.plans.model import SHARED, Model
+from tillroll.plans.refresh import BrokenExpectation, Expectation, current_layer, reads, refresh_layer, refresh_results, share
+from tillroll.plans.versions import VersionLog, read_table
+from tillroll.plans.warehouse import ITEM_MONTH, SHARED_ORDER, items_of_months
+from tillroll.registry import QUERIES, run_query
+from tillroll.sources.canonical import Sources
+
+
+def files_opened(df):
+    """Files of the only scan of ``df`` that were opened."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numFiles").value()
+
+
+@pytest.fixture(scope="module")
+def layer(spark, small_model, tmp_path_factory):
+    return refresh_layer(small_model, str(tmp_path_factory.mktemp("layer")))
+
+
+def test_the_layer_holds_the_inputs(layer, small_model):
+    for name in ("order_items", "products", "users", "events"):
+        assert spark_rows(getattr(layer.model, name).drop(ITEM_MONTH)) == spark_rows(getattr(small_model, name))
+        assert layer.observed[name]["rows"] == getattr(small_model, name).count()
+
+
+def test_a_month_opens_only_its_files(layer):
+    items = layer.model.order_items
+    of_all = files_opened(items.select("order_id"))
+    months = [dt.date(2021, 11, 1), dt.date(2023, 6, 17)]
+    rows = items_of_months(items, months).select("order_id", "created_at", F.input_file_name().alias("file"))
+    got = rows.collect()
+    assert {r["file"].split(f"{ITEM_MONTH}=")[1][:7] for r in got} == {"2021-11", "2023-06"}
+    assert len(got) == items.filter("date_trunc('month', created_at) in ('2021-11-01', '2023-06-01')").count()
+    opened = files_opened(items_of_months(items, months).select("order_id"))
+    assert opened == len({r["file"] for r in got}) < of_all
+
+
+def test_orders_lie_together_within_a_month(layer):
+    per = layer.model.order_items.select("order_id", ITEM_MONTH, F.input_file_name().alias("file")).groupBy("order_id", ITEM_MONTH).agg(
+        F.count_distinct("file").alias("n"))
+    assert per.filter("n > 1").count() == 0
+
+
+def test_a_hot_order_is_split(spark, small_model, tmp_path):
+    """A third of a month's items are one order: no file holds them all."""
+    hot = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("order_id"), F.lit(1).cast("long").alias("user_id"),
+        F.lit(1).cast("long").alias("product_id"), F.lit("Complete").alias("status"),
+        F.lit("2022-05-05 10:00:00").cast("timestamp_ntz").alias("created_at"),
+        (F.col("id") * 7919 % 10007 / 100).cast("decimal(12,2)").alias("sale_price"))
+    m = Model(Sources(hot, small_model.products, small_model.users, small_model.events))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        got = refresh_layer(m, str(tmp_path / "layer")).model.order_items
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    sizes = [r["count"] for r in got.filter("order_id = -1").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_statements_come_from_metrics(layer, small_model):
+    """The same numbers, and no file is read for them."""
+    for key in ("dq_product_event_identity", "dq_null_event_users"):
+        df = run_query(key, layer.model)
+        assert not df._jdf.inputFiles() and spark_rows(df) == spark_rows(run_query(key, small_model))
+
+
+def test_a_broken_expectation_keeps_the_old_layer(spark, small_model, tmp_path):
+    root = str(tmp_path / "layer")
+    first = refresh_layer(small_model, root)
+    negative = small_model.order_items.withColumn("sale_price", F.when(F.col("order_id") % 50 == 0, -F.col("sale_price"))
+                                                  .otherwise(F.col("sale_price")).cast("decimal(12,2)"))
+    bad = Model(Sources(negative, small_model.products, small_model.users, small_model.events))
+    with pytest.raises(BrokenExpectation, match="negative price"):
+        refresh_layer(bad, root)
+    kept = current_layer(spark, root)
+    assert kept.folder == first.folder and spark_rows(kept.model.order_items) == spark_rows(first.model.order_items)
+    own = [Expectation("events", "many events", F.count(F.lit(1)), at_least=10**9)]
+    with pytest.raises(BrokenExpectation, match="many events"):
+        refresh_layer(small_model, root, own)
+    assert VersionLog(spark, root).latest().number == 0
+    assert refresh_layer(bad, root, [Expectation("users", "no key", share(F.col("id").isNull()), at_most=0)]).folder != first.folder
+
+
+def test_empty_inputs_pass(spark, small_model, tmp_path):
+    src = small_model.sources
+    empty = Model(Sources(*[df.limit(0) for df in (src.order_items, src.products, src.users, src.events)]))
+    got = refresh_layer(empty, str(tmp_path / "layer"))
+    assert got.observed["order_items"]["rows"] == 0 and got.model.order_items.count() == 0
+    assert tuple(run_query("dq_null_event_users", got.model).first()) == (0, 0)
+
+
+def test_the_graph_follows_the_lineage(small_model):
+    assert reads(small_model, QUERIES["agg_monthly_kpis_enriched"]) == {"agg_monthly_kpis_enriched"}
+    assert reads(small_model, SHARED["agg_monthly_kpis_enriched"], "agg_monthly_kpis_enriched") == {"agg_monthly_kpis"}
+    assert reads(small_model, SHARED["country_performance_summary"], "country_performance_summary") == {
+        "_country_revenue_base", "country_cart_purchase_funnel", "country_cancellation_metrics"}
+    assert reads(small_model, QUERIES["hero_products"]) == set()
+    assert set(SHARED_ORDER) | refresh.OBSERVED == set(SHARED)
+
+
+KEYS = ["agg_yearly_kpis_enriched", "seasonality_by_month_name", "cagr", "hero_products", "country_revenue",
+        "dq_null_event_users", "funnel_dropoff", "agg_monthly_kpis"]
+
+
+def test_all_tables_equal_their_queries(spark, layer, small_model, tmp_path):
+    done = refresh_results(layer.model, str(tmp_path), KEYS)
+    assert not done.failed and not done.skipped and set(done.written) == set(KEYS)
+    for key, path in done.written.items():
+        assert spark_rows(read_table(spark, path)) == spark_rows(run_query(key, small_model))
+
+
+def test_a_failed_table_stops_only_its_readers(spark, small_model, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    assert not refresh_results(Model(small_model.sources), root, KEYS).failed
+    before = {k: spark_rows(read_table(spark, f"{root}/{k}")) for k in KEYS}
+
+    real = growth.monthly_kpis
+
+    def broken(df, keys):
+        return real(df, keys).withColumn("total_orders", F.when(
+            F.col("total_orders") > 0, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("total_orders")))
+
+    monkeypatch.setattr(growth, "monthly_kpis", broken)
+    done = refresh_results(Model(small_model.sources), root, KEYS)
+    assert set(done.failed) == {"shared:agg_monthly_kpis"}
+    assert set(done.skipped) == {"shared:agg_monthly_kpis_enriched", "key:agg_yearly_kpis_enriched", "key:seasonality_by_month_name",
+                                 "key:cagr", "key:agg_monthly_kpis"}
+    assert set(done.written) == {"hero_products", "country_revenue", "dq_null_event_users", "funnel_dropoff"}
+    assert {k: spark_rows(read_table(spark, f"{root}/{k}")) for k in KEYS} == before
+    with pytest.raises(RuntimeError, match="agg_monthly_kpis"):
+        done.paths()

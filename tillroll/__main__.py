@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--out", required=True, help="output root (shared storage)")
             p.add_argument("--keys", help="comma-separated keys (default: all)")
             p.add_argument("--database", help="also register each table as <database>.<key>")
+            p.add_argument("--workers", type=int, default=8, help="tables written at a time")
         else:
             p.add_argument("key")
             p.add_argument("-n", type=int, default=20)
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(QUERIES))
         return 0
 
-    from tillroll.plans.warehouse import materialize, write_results
+    from tillroll.plans.refresh import refresh_layer, refresh_results
     from tillroll.session import build_session
     spark = build_session("tillroll-" + args.cmd, master=args.master)
     model = _model(spark, args)
@@ -64,10 +65,15 @@ def main(argv: list[str] | None = None) -> int:
     unknown = [k for k in keys or [] if k not in QUERIES]
     if unknown:
         ap.error(f"unknown keys: {unknown}")
-    model = materialize(model, f"{args.out.rstrip('/')}/_layer")
-    written = write_results(model, args.out.rstrip("/"), keys, database=args.database)
-    print(f"wrote {len(written)} tables under {args.out}")
-    return 0
+    out = args.out.rstrip("/")
+    model = refresh_layer(model, f"{out}/_layer").model
+    done = refresh_results(model, out, keys, database=args.database, workers=args.workers)
+    print(f"wrote {len(done.written)} tables under {args.out}")
+    for node, why in done.failed.items():
+        print(f"failed: {node}: {why}", file=sys.stderr)
+    for node, lost in done.skipped.items():
+        print(f"not run: {node}, which reads {lost}", file=sys.stderr)
+    return 1 if done.failed else 0
 
 
 if __name__ == "__main__":

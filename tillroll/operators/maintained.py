@@ -35,7 +35,7 @@ def replayed_months(m: Model, path: str) -> MonthlyState:
     kind = F.pmod(F.xxhash64("order_id"), F.lit(7))
     open_, late, twice = kind == 0, kind == 1, kind == 2
     begun = items.filter(open_).withColumn("status", F.lit(PROCESSING))
-    state = MonthlyState(items.sparkSession, path)
+    state = MonthlyState(items.sparkSession, path, span="year")
     state.build(items.filter(~open_ & ~late).unionByName(items.filter(twice)).unionByName(begun), "opening")
     state.apply(changes(begun, items.filter(open_)), "status changes")
     state.apply(signed(items.filter(late), 1).unionByName(signed(items.filter(twice), -1)), "late and double bookings")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import count_flagged
 from tillroll.operators.geography import country_cancellation_metrics
-from tillroll.plans.model import CART, PRODUCT_VIEW, Model
+from tillroll.plans.model import CART, PRODUCT_VIEW, Model, shared
 
 
+@shared
 def dq_product_event_identity(m: Model) -> DataFrame:
     """Product events and how many carry a user ('total_users' counts events)."""
     return m.events.filter(F.col("event_type") == PRODUCT_VIEW).agg(
@@ -30,6 +31,7 @@ def dq_country_cancellation(m: Model) -> DataFrame:
     return country_cancellation_metrics(m)
 
 
+@shared
 def dq_null_event_users(m: Model) -> DataFrame:
     """A40."""
     return m.fact_events_all.agg(

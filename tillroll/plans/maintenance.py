@@ -102,17 +102,18 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class MonthlyState:
-    """The maintained state below ``path``. ``buckets``: into how many slots a month's counters are
-    dealt; about the counter bytes of a month over 256 MB. It is fixed when the state is built."""
+    """The maintained state below ``path``. Counters are dealt into slots by time span (``month``, or
+    ``year`` where a year's counters are less than a file) and a hash of the key into ``buckets``: about
+    the counter bytes of a span over 256 MB. Both are fixed when the state is built."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 1) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1, span: str = "month") -> None:
         self.spark, self.path, self.log = spark, path.rstrip("/"), VersionLog(spark, path)
-        self._buckets = buckets
+        self._slots = {"buckets": buckets, "span": span}
 
     # what is stored -------------------------------------------------------------------
     def _entry(self) -> dict:
         latest = self.log.latest()
-        return latest.entry if latest else {"parts": [], "applied": [], "buckets": self._buckets, "folders": []}
+        return latest.entry if latest else {"parts": [], "applied": [], "slots": self._slots, "folders": []}
 
     @property
     def applied(self) -> list[str]:
@@ -150,12 +151,12 @@ class MonthlyState:
     def apply(self, rows: DataFrame, batch: str) -> bool:
         """Adds signed rows. ``batch`` names them: a batch that counts already changes nothing, so a
         failed job is simply run again. False then. Fails, with nothing changed, where more rows of a
-        kind would go than there are, or if another writer committed meanwhile."""
+        class would go from a month, order or buyer than there are, or if another writer committed
+        meanwhile."""
         latest, entry = self.log.latest(), self._entry()
         if batch in entry["applied"]:
             return False
         part = uuid.uuid4().hex
-        buckets = entry["buckets"]
         sign = F.col("sign")
         rows = rows.withColumn("month", month_start(F.to_date("created_at")))
         for table, (key, classes) in COUNTERS.items():
@@ -163,7 +164,7 @@ class MonthlyState:
             names = [f"n_{c}" for c in classes]
             delta = rows.filter(F.col(key).isNotNull()).groupBy("month", key).agg(
                 *[F.sum(F.when(own[c], sign).otherwise(F.lit(0))).cast("bigint").alias(f"n_{c}") for c in classes])
-            delta = delta.filter(" OR ".join(f"{n} <> 0" for n in names)).withColumn("slot", _slot(key, buckets))
+            delta = delta.filter(" OR ".join(f"{n} <> 0" for n in names)).withColumn("slot", _slot(key, **entry["slots"]))
             (delta.hint("rebalance", "slot").sortWithinPartitions("slot", key)
              .write.partitionBy("slot").parquet(self._folders([part], table)[0]))
         totals = rows.groupBy("month").agg(*[F.sum(c * sign).cast(EXACT if n in _MONEY_SUMS else "bigint").alias(n)
@@ -174,21 +175,21 @@ class MonthlyState:
         totals = totals.select("month", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in (*_COUNT_SUMS, *_DISTINCTS, *_MONEY_SUMS)])
         totals.coalesce(1).write.parquet(self._folders([part], "totals")[0])
         self._check(entry, part)
-        self._commit({"parts": [*entry["parts"], part], "applied": [*entry["applied"], batch], "buckets": buckets},
+        self._commit({"parts": [*entry["parts"], part], "applied": [*entry["applied"], batch], "slots": entry["slots"]},
                      latest.number if latest else -1)
         if len(entry["parts"]) >= MAX_PARTS:
             self.compact()
         return True
 
-    def touched(self, part: str, table: str) -> list[str] | None:
+    def _touched(self, part: str, table: str) -> list[str] | None:
         """The slots of a batch's keys; None if they are too many to be named."""
         own = self._read({"parts": [part]}, table).select("slot").distinct().limit(MAX_NAMED + 1).collect()
         return [r["slot"] for r in own] if len(own) <= MAX_NAMED else None
 
-    def before(self, entry: dict, part: str, table: str) -> DataFrame:
+    def _before(self, entry: dict, part: str, table: str) -> DataFrame:
         """The counters before a batch, of the slots it touches only."""
         rows = self._read(entry, table)
-        slots = self.touched(part, table)
+        slots = self._touched(part, table)
         return rows if slots is None else rows.filter(F.col("slot").isin(slots))
 
     def _came_and_went(self, entry: dict, part: str, table: str) -> DataFrame:
@@ -196,7 +197,7 @@ class MonthlyState:
         key, classes = COUNTERS[table]
         own = self._read({"parts": [part]}, table)
         keys = own.select("slot", F.col(key)).distinct()
-        old = self.before(entry, part, table).join(keys, ["slot", key], "left_semi")
+        old = self._before(entry, part, table).join(keys, ["slot", key], "left_semi")
         both = old.withColumn("_new", F.lit(0)).unionByName(own.withColumn("_new", F.lit(1)))
         one = both.groupBy("month", key).agg(
             *[F.sum(F.when(F.col("_new") == 0, F.col(f"n_{c}")).otherwise(F.lit(0))).alias(f"_old_{c}") for c in classes],
@@ -286,10 +287,10 @@ class MonthlyState:
             F.col("total_revenue"), F.col("purchasing_users"), 2, money=True).alias("revenue_per_user"))
 
 
-def _slot(key: str, buckets: int) -> Column:
-    """Where a key's counters lie: its month and a bucket of keys."""
-    month = F.coalesce(F.date_format("month", "yyyy-MM"), F.lit("none"))
-    return F.concat(month, F.lit("-"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"))
+def _slot(key: str, buckets: int, span: str) -> Column:
+    """Where a key's counters lie: its month or year and a bucket of keys."""
+    time = F.coalesce(F.date_format("month", {"month": "yyyy-MM", "year": "yyyy"}[span]), F.lit("none"))
+    return F.concat(time, F.lit("-"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"))
 
 
 def _month_totals(rows: DataFrame) -> DataFrame:

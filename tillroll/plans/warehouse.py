@@ -3,8 +3,9 @@
 ``materialize`` writes the four canonical inputs once (this is where the expensive
 joins of the source mapping run) and returns a Model reading the written tables, so the
 dashboard jobs that follow each start from a pruned parquet scan instead of re-running
-the mapping.  ``write_table`` is the sink for any result table (overwrite, like
-CREATE OR REPLACE TABLE).
+the mapping.  ``write_table`` and ``write_catalog_table`` are the sinks for result tables:
+like CREATE OR REPLACE TABLE, and the old rows stay until the new ones are whole
+(``versions``).  ``plans.refresh`` runs a whole refresh.
 
 Output goes to a folder the caller names, by default below the session's shared
 checkpoint folder (``spark.checkpoint.dir``), never to a machine-local temporary path.
@@ -18,9 +19,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions.metrics import month_start
 from tillroll.plans.model import Model
+from tillroll.plans.versions import VersionLog, read_table, replace_table, switch_catalog_table
 from tillroll.session import checkpoint_dir
-from tillroll.sources.canonical import load_canonical
+from tillroll.sources.canonical import load_layer
+
+#: The column by which stored order items are partitioned.
+ITEM_MONTH = "order_month"
 
 
 def default_root(spark: SparkSession) -> str:
@@ -31,35 +37,44 @@ def default_root(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """CREATE OR REPLACE TABLE ... AS: overwrite the folder with the table's rows."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """CREATE OR REPLACE TABLE ... AS: ``df`` becomes the newest version of the table at ``path``
+    (``read_table`` reads it). A job that dies leaves the old rows."""
+    replace_table(df, path, partition_by)
+
+
+def layer_frames(model: Model, slots: int | None = None) -> dict[str, DataFrame]:
+    """The four canonical inputs as they are stored.
+
+    Order items are dealt by month, the partition column, and within it by slots of orders; each
+    file is sorted by order, so the items of an order land in one file and map-side partial
+    aggregates collapse per-order distinct counts before any shuffle. Events are clustered by
+    ``user_id`` and sorted by time. Clustering uses the ``rebalance`` hint, not a plain
+    repartition: AQE splits the part of a hot order or user into several tasks and files instead
+    of leaving one task to write a third of the table, and coalesces small parts. ``slots`` per
+    month default to a 64th of the shuffle partitions, which a session sets by the input's size."""
+    src = model.sources
+    if slots is None:
+        slots = max(1, int(src.order_items.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
+    items = src.order_items.withColumn(ITEM_MONTH, month_start(F.to_date("created_at")))
+    dealt = items.withColumn("_slot", F.pmod(F.xxhash64("order_id"), F.lit(slots))).hint("rebalance", ITEM_MONTH, "_slot")
+    return {
+        "order_items": dealt.sortWithinPartitions(ITEM_MONTH, "_slot", "order_id").drop("_slot"),
+        "products": src.products,
+        "users": src.users,
+        "events": src.events.hint("rebalance", "user_id").sortWithinPartitions("created_at")}
+
+
+PARTITIONED = {"order_items": [ITEM_MONTH]}
 
 
 def materialize(model: Model, root: str | None = None) -> Model:
-    """Write the model's four canonical inputs under ``root`` and return a Model on them.
-
-    Layout: order items are clustered by ``order_id`` (the items of an order land in one
-    file, so map-side partial aggregates collapse per-order distinct counts before any
-    shuffle) and events by ``user_id`` (per-user aggregates collapse map-side); both are
-    sorted by creation time inside each file, so parquet row-group statistics let month
-    and year filters skip row groups.  Clustering uses the ``rebalance`` hint, not a plain
-    repartition: AQE splits the partition of a hot order or user into several tasks and
-    files instead of leaving one task to write a third of the table, and coalesces small
-    partitions.
-    """
+    """Write the model's four canonical inputs (``layer_frames``) into the folder ``root`` and return
+    a Model on them. ``plans.refresh.refresh_layer`` does it with checks and old versions kept."""
     spark = model.order_items.sparkSession
     root = root or default_root(spark)
-    src = model.sources
-    write_table(src.order_items.hint("rebalance", "order_id").sortWithinPartitions("created_at"),
-                f"{root}/order_items")
-    write_table(src.products, f"{root}/products")
-    write_table(src.users, f"{root}/users")
-    write_table(src.events.hint("rebalance", "user_id").sortWithinPartitions("created_at"),
-                f"{root}/events")
-    return Model(load_canonical(spark, root), status_policy=model.status_policy)
+    for name, df in layer_frames(model).items():
+        df.write.mode("overwrite").partitionBy(*PARTITIONED.get(name, [])).parquet(f"{root}/{name}")
+    return Model(load_layer(spark, root), status_policy=model.status_policy)
 
 
 # Shared result tables in dependency order: each is written after those it reads.
@@ -83,19 +98,12 @@ SHARED_ORDER = [
 def materialize_shared(model: Model, root: str | None = None) -> Model:
     """Write the result tables other results read (SHARED_ORDER) below ``root/_shared`` and
     point the model at the written copies, like the layered CTAS model does: F7, F8, F9
-    and the seasonality reports then read the stored monthly table, not the item facts.
+    and the seasonality reports then read the stored monthly table, not the item facts. Tables that
+    don't wait for each other are written at the same time.
     The stored form keeps decimals, so the readers' arithmetic stays exact."""
-    import tillroll.registry  # noqa: F401  (imports the operators, registering SHARED)
-    from tillroll.plans.model import SHARED
+    from tillroll.plans.refresh import refresh_results
 
-    spark = model.order_items.sparkSession
-    root = root or default_root(spark)
-    for name in SHARED_ORDER:
-        model.use(name, None)
-    for name in SHARED_ORDER:
-        path = f"{root}/_shared/{name.lstrip('_')}"
-        write_table(SHARED[name](model), path)
-        model.use(name, spark.read.parquet(path))
+    refresh_results(model, root or default_root(model.order_items.sparkSession), keys=[], shared=SHARED_ORDER).paths()
     return model
 
 
@@ -114,68 +122,61 @@ def _month_ranges(months: list[dt.date | None]) -> Column:
     return cond
 
 
+def _one_of(col: Column, months: list[dt.date | None]) -> Column:
+    known = col.isin([m.replace(day=1) for m in months if m is not None])
+    return F.coalesce(known, F.lit(False)) | (col.isNull() if None in months else F.lit(False))
+
+
+def items_of_months(items: DataFrame, months: list[dt.date | None]) -> DataFrame:
+    """The order items of some calendar months (None: those without a time). A layer that is
+    partitioned by month is read in those partitions only."""
+    rows = items.filter(_month_ranges(months))
+    if ITEM_MONTH in items.columns:
+        months = [m and m.replace(day=1) for m in months]
+        known = F.col(ITEM_MONTH).isin([m for m in months if m is not None])
+        rows = rows.filter(known | F.col(ITEM_MONTH).isNull() if None in months else known)
+    return rows
+
+
 def write_monthly_kpis(model: Model, path: str, months: list[dt.date | None] | None = None) -> None:
-    """Store F6 partitioned by month.  Without ``months`` the whole table is replaced.  With
-    them only those months (None: items without a date) are recomputed and only their
-    partitions replaced (dynamic partition overwrite).  The recomputed table has at most one
-    row per listed month; it is held once, so F6 runs once, and a listed month that has no row
-    any more loses its partition.  F7-F9 and the seasonality tables derive from the stored F6."""
+    """Store F6.  Without ``months`` the whole table is replaced.  With them only those months (None:
+    items without a date) are computed again, from their partitions of the items; the other rows, one per
+    month, are taken over from the stored table, and both become its next version at once.  A listed month
+    that has no row any more loses it.  F7-F9 and the seasonality tables derive from the stored F6."""
     from tillroll.operators.growth import monthly_kpis
 
-    items = model.fact_order_items_all
-    if months is not None:
-        if not months:
-            return
-        changed = model.order_items.filter(_month_ranges(months))
-        items = Model(model.sources, model.status_policy).use(
-            "order_items", changed).fact_order_items_all
-    f6 = monthly_kpis(model.items_with_month(items), [])
     if months is None:
-        (f6.write.mode("overwrite").option("partitionOverwriteMode", "static")
-           .partitionBy("month").parquet(path))
+        write_table(monthly_kpis(model.items_with_month(), []), path)
         return
-    spark = f6.sparkSession
-    rows = f6.collect()  # a row per listed month at most
-    (spark.createDataFrame(rows, f6.schema).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
-    gone = {m and m.replace(day=1) for m in months} - {r["month"] for r in rows}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for m in gone:  # a metadata operation on at most len(months) folders
-        name = m.isoformat() if m else "__HIVE_DEFAULT_PARTITION__"
-        part = jvm.org.apache.hadoop.fs.Path(f"{path}/month={name}")
-        part.getFileSystem(conf).delete(part, True)
+    if not months:
+        return
+    spark = model.order_items.sparkSession
+    changed = Model(model.sources, model.status_policy).use("order_items", items_of_months(model.order_items, months))
+    new = monthly_kpis(changed.items_with_month(changed.fact_order_items_all), [])
+    kept = read_monthly_kpis(spark, path).filter(~_one_of(F.col("month"), months))
+    write_table(kept.unionByName(new), path)
 
 
 def read_monthly_kpis(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 def write_catalog_table(df: DataFrame, database: str, name: str, path: str) -> None:
-    """CREATE OR REPLACE TABLE database.name AS ...: an external parquet table at ``path``
-    registered in the session catalog (a metastore on a cluster)."""
-    spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    (df.write.mode("overwrite").format("parquet").option("path", path)
-       .saveAsTable(f"`{database}`.`{name}`"))
+    """CREATE OR REPLACE TABLE database.name AS ...: the next version of the table at ``path``, to which the
+    entry of the session catalog (a metastore on a cluster) is switched at the end."""
+    folder = replace_table(df, path)
+    switch_catalog_table(df.sparkSession, database, name, folder)
 
 
 def write_results(model: Model, root: str, keys: list[str] | None = None,
                   database: str | None = None) -> dict[str, str]:
     """Write result tables (all registered keys by default) under ``root/<key>``; with
-    ``database``, also register each as the catalog table ``database.<key>``."""
-    from tillroll.registry import QUERIES, run_query
-    materialize_shared(model, root)
-    out = {}
-    for key in keys or list(QUERIES):
-        path = f"{root}/{key}"
-        if database:
-            write_catalog_table(run_query(key, model), database, key, path)
-        else:
-            write_table(run_query(key, model), path)
-        out[key] = path
-    return out
-
-
-__all__ = ["SHARED_ORDER", "default_root", "materialize", "materialize_shared",
-           "read_monthly_kpis", "write_catalog_table", "write_monthly_kpis", "write_results",
-           "write_table"]
+    ``database``, also register each as the catalog table ``database.<key>``. A table that fails
+    stops only those that read it; the error that is then raised names them all."""
+    from tillroll.plans.refresh import refresh_results
+    return refresh_results(model, root, keys, database).paths()
+
+
+__all__ = ["ITEM_MONTH", "SHARED_ORDER", "VersionLog", "default_root", "items_of_months", "layer_frames", "materialize",
+           "materialize_shared", "read_monthly_kpis", "read_table", "write_catalog_table", "write_monthly_kpis",
+           "write_results", "write_table"]

@@ -15,6 +15,8 @@ JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a refresh runs several tables' jobs at a time, which then share the executors evenly
+    "spark.scheduler.mode": "FAIR",
 }
 
 

@@ -87,12 +87,22 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def load_canonical(spark: SparkSession, base: str, fmt: str = "parquet") -> Sources:
-    """Read the four canonical tables stored under ``base/<name>``."""
+    """Read the four canonical tables stored under ``base/<name>``; no value may change."""
     frames = {name: conform(spark.read.format(fmt).load(f"{base}/{name}"), schema)
               for name, schema in SCHEMAS.items()}
     return Sources(**frames)
 
 
+#: Partition columns of the layer's tables; they are kept, so that filters on them prune files.
+LAYER_PARTITIONS = {"order_items": [T.StructField("order_month", T.DateType(), True)]}
+
+
+def load_layer(spark: SparkSession, folder: str) -> Sources:
+    """Read the four tables as the layer stores them: in the canonical types, order items by month."""
+    return Sources(**{name: spark.read.schema(T.StructType(schema.fields + LAYER_PARTITIONS.get(name, [])))
+                      .parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()})
+
+
 def from_frames(order_items: DataFrame, products: DataFrame, users: DataFrame,
                 events: DataFrame) -> Sources:
     """Wrap in-memory frames (hand fixtures) with the schema enforced."""
