@@ -8,12 +8,15 @@ Numeric conventions (they make results independent of partitioning and shuffle o
 * ratios are ``try_divide`` on doubles: NULL when the divisor is 0 or NULL;
 * ratios rounded to n digits are divided in decimal and rounded HALF_UP (half away from
   zero for the non-negative values they take), never by rounding a double;
-* means of doubles are reported to ``MEAN_DIGITS`` decimals (``MONEY_MEAN_DIGITS`` for
-  money-sized values), because a double sum depends on the order partitions are merged in.
+* means of ratios are sums of decimal quotients, which are exact in any order, divided and cast
+  to DOUBLE once (``exact_mean``);
+* logarithms, powers and spreads are reported to ``MEAN_DIGITS`` decimals (``MONEY_MEAN_DIGITS``
+  for money-sized values), because sums of doubles depend on the order partitions are merged in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
 from functools import reduce
 
@@ -27,8 +30,8 @@ PROCESSING, SHIPPED, COMPLETE, CANCELLED, RETURNED = (
 # Statuses counted as commercially valid revenue.
 VALID_STATUSES = (PROCESSING, SHIPPED, COMPLETE)
 
-MEAN_DIGITS = 10        # means of ratios (magnitude about 1): ~10 significant digits
-MONEY_MEAN_DIGITS = 6   # means and spreads in money units (up to ~1e6): ~12 significant digits
+MEAN_DIGITS = 10        # logarithms and powers (magnitude about 1): ~10 significant digits
+MONEY_MEAN_DIGITS = 6   # spreads in money units (up to ~1e6): ~12 significant digits
 
 
 class StatusPolicy(str, Enum):
@@ -66,16 +69,27 @@ def round_ratio(num: Column, den: Column, digits: int, *, money: bool = False) -
     return F.round(q, digits).cast("double")
 
 
-def mean_fixed(x: Column, digits: int = MEAN_DIGITS) -> Column:
-    """AVG of a double column reported to ``digits`` decimals, so the value does not depend
-    on the order partial sums are merged in.  Keep digits + log10(magnitude) well under 16."""
-    return F.round(F.avg(x), digits)
+def cents(money: Column) -> Column:
+    """Money as a whole number of cents."""
+    return (money * F.lit(100)).cast("decimal(20,0)")
 
 
-def pct_2dp_of_mean(mean: Column, scale: int = 100) -> Column:
-    """ROUND(mean * scale, 2) taken in decimal from a fixed-digit mean."""
-    d = mean.cast(f"decimal(30,{MEAN_DIGITS})") * F.lit(scale)
-    return F.round(d, 2).cast("double")
+def quotient(num: Column, den: Column) -> Column:
+    """num / den of whole numbers as a decimal with 18 fractional digits; NULL when den is 0."""
+    return F.try_divide(num.cast("decimal(20,0)"), den.cast("decimal(20,0)"))
+
+
+def exact_mean(q: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """AVG of quotients, as a decimal with 18 fractional digits: the sum is exact, so its value does
+    not depend on the order in which partitions are merged. Cast it to DOUBLE once, at the end.
+    ``over`` may put the sum and the count over a window."""
+    return F.try_divide(over(F.sum(q)), over(F.count(q)).cast("decimal(20,0)"))
+
+
+def pct_2dp(mean: Column, scale: int = 100) -> Column:
+    """ROUND(mean * scale, 2) of an exact mean, for a scale of 1 or 100."""
+    digits = {1: 2, 100: 4}[scale]
+    return (F.round(mean, digits) * F.lit(scale)).cast("double")
 
 
 def count_flagged(rows: DataFrame, keys: list[str], entity: str, flags: dict[str, Column],

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tillroll.functions.metrics import (
     CANCELLED,
     MEAN_DIGITS,
-    MONEY_MEAN_DIGITS,
     StatusPolicy,
+    cents,
     count_flagged,
+    exact_mean,
     join_groups,
+    quotient,
     safe_divide,
     status_in_policy,
 )
@@ -60,10 +62,12 @@ def category_segments(m: Model) -> DataFrame:
     """Premium when AOV >= the mean category AOV, volume when orders >= mean orders."""
     f4 = final_category_performance(m)
     everything = Window.partitionBy()
-    f4 = (f4.withColumn("mean_aov", F.round(F.avg("AOV").over(everything), MONEY_MEAN_DIGITS))
-            .withColumn("mean_orders", F.avg("total_orders").over(everything)))
-    premium = F.col("AOV") >= F.col("mean_aov")
-    volume = F.col("total_orders") >= F.col("mean_orders")
+    aov = quotient(cents(F.col("total_revenue")), F.col("total_orders") * 100)
+    f4 = (f4.withColumn("_aov", aov).withColumn("mean_aov", exact_mean(F.col("_aov"), lambda c: c.over(everything)))
+            .withColumn("all_orders", F.sum("total_orders").over(everything))
+            .withColumn("categories", F.count("total_orders").over(everything)))
+    premium = F.col("_aov") >= F.col("mean_aov")
+    volume = F.col("total_orders") * F.col("categories") >= F.col("all_orders")
     return f4.select(
         "product_category", "AOV", "total_orders",
         F.coalesce(premium, F.lit(False)).alias("is_premium"),

@@ -17,8 +17,9 @@ from tillroll.functions.metrics import (
     CANCELLED,
     StatusPolicy,
     count_flagged,
+    exact_mean,
     join_groups,
-    mean_fixed,
+    quotient,
     round_ratio,
     safe_divide,
     standardize_country,
@@ -147,7 +148,8 @@ def country_performance_summary(m: Model) -> DataFrame:
     r = _country_revenue_base(m).select("country", "total_revenue", "purchasing_users")
     f = country_cart_purchase_funnel(m).select("country", "cart_to_purchase_conversion_pct")
     c = country_cancellation_metrics(m).groupBy("country").agg(
-        mean_fixed(F.col("cancellation_rate")).alias("cancellation_rate"))
+        exact_mean(quotient(F.col("cancelled_items"), F.col("total_order_items"))).cast("double").alias(
+            "cancellation_rate"))
     return r.join(f, "country", "left").join(c, "country", "left").select(
         "country", "total_revenue", "purchasing_users", "cart_to_purchase_conversion_pct",
         "cancellation_rate")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import count_flagged
+from tillroll.functions.metrics import attach_total, count_flagged
 from tillroll.operators.geography import country_cancellation_metrics
 from tillroll.plans.model import CART, PRODUCT_VIEW, Model, shared
 
@@ -40,7 +40,8 @@ def dq_null_event_users(m: Model) -> DataFrame:
 
 
 def dq_sessions_users(m: Model) -> DataFrame:
-    """A41."""
-    return m.fact_events_all.agg(
-        F.countDistinct("session_id").alias("sessions"),
-        F.countDistinct("user_id").alias("users"))
+    """A41. Events are reduced to one row per session and one per user, each counted by itself: no
+    event is copied per distinct count."""
+    sessions = count_flagged(m.fact_events_all, [], "session_id", {"sessions": F.lit(True)})
+    users = count_flagged(m.fact_events_all, [], "user_id", {"users": F.lit(True)})
+    return attach_total(sessions, users, "users")

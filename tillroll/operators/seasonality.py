@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import mean_fixed, pct_2dp_of_mean, safe_divide
+from tillroll.functions.metrics import cents, exact_mean, pct_2dp, quotient, safe_divide
 from tillroll.operators.growth import agg_monthly_kpis_enriched, enrich_monthly, monthly_kpis
 from tillroll.plans.model import Model, shared
 
@@ -31,54 +31,61 @@ def _in_years(c: str = "month") -> F.Column:
     return _yr(c).between(*SEASON_YEARS)
 
 
+def _with_mom(f7: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """F7 with its two MoM changes as exact quotients, ``_rev`` and ``_ord``."""
+    order = Window.partitionBy(*keys).orderBy("month")
+    revenue, orders = cents(F.col("total_revenue")), F.col("total_orders")
+    for name, x in (("_rev", revenue), ("_ord", orders)):
+        before = F.lag(x).over(order)
+        f7 = f7.withColumn(name, quotient(x - before, before))
+    return f7
+
+
+def _means(g) -> DataFrame:
+    return g.agg(exact_mean(F.col("_rev")).alias("_r"), exact_mean(F.col("_ord")).alias("_o"))
+
+
 def seasonality_by_month_number(m: Model) -> DataFrame:
     """Mean MoM x 100 (2 dp) by month number."""
-    f7 = agg_monthly_kpis_enriched(m)
-    g = f7.groupBy(_mon().alias("month_number")).agg(
-        mean_fixed(F.col("revenue_mom_pct")).alias("_r"),
-        mean_fixed(F.col("orders_mom_pct")).alias("_o"))
-    return g.select("month_number", pct_2dp_of_mean(F.col("_r")).alias("avg_revenue_mom_pct"),
-                    pct_2dp_of_mean(F.col("_o")).alias("avg_orders_mom_pct")
+    f7 = _with_mom(agg_monthly_kpis_enriched(m))
+    g = _means(f7.groupBy(_mon().alias("month_number")))
+    return g.select("month_number", pct_2dp(F.col("_r")).alias("avg_revenue_mom_pct"),
+                    pct_2dp(F.col("_o")).alias("avg_orders_mom_pct")
                     ).orderBy("month_number")
 
 
 def seasonality_by_year_month(m: Model) -> DataFrame:
     """A56."""
-    f7 = agg_monthly_kpis_enriched(m)
-    g = f7.groupBy(_yr().alias("year"), _mon().alias("month_number")).agg(
-        mean_fixed(F.col("revenue_mom_pct")).alias("_r"),
-        mean_fixed(F.col("orders_mom_pct")).alias("_o"))
-    return g.select("year", "month_number", pct_2dp_of_mean(F.col("_r")).alias("rev_mom"),
-                    pct_2dp_of_mean(F.col("_o")).alias("order_mom")
+    f7 = _with_mom(agg_monthly_kpis_enriched(m))
+    g = _means(f7.groupBy(_yr().alias("year"), _mon().alias("month_number")))
+    return g.select("year", "month_number", pct_2dp(F.col("_r")).alias("rev_mom"),
+                    pct_2dp(F.col("_o")).alias("order_mom")
                     ).orderBy("year", "month_number")
 
 
 def seasonality_by_month_name(m: Model) -> DataFrame:
     """By month label 'Jan'..'Dec', in calendar order (decision D5)."""
-    f7 = agg_monthly_kpis_enriched(m)
+    f7 = _with_mom(agg_monthly_kpis_enriched(m))
     g = f7.groupBy(F.date_format("month", "MMM").alias("month_label")).agg(
-        mean_fixed(F.col("revenue_mom_pct")).alias("_r"),
-        mean_fixed(F.col("orders_mom_pct")).alias("_o"),
+        exact_mean(F.col("_rev")).alias("_r"), exact_mean(F.col("_ord")).alias("_o"),
         F.min(_mon()).alias("_n"))
     return g.orderBy("_n").select(
         F.col("month_label").alias("month"),
-        pct_2dp_of_mean(F.col("_r")).alias("avg_revenue_mom_pct"),
-        pct_2dp_of_mean(F.col("_o")).alias("avg_orders_mom_pct"))
+        pct_2dp(F.col("_r")).alias("avg_revenue_mom_pct"),
+        pct_2dp(F.col("_o")).alias("avg_orders_mom_pct"))
 
 
 def seasonality_2020_2025(m: Model) -> DataFrame:
     """Mean MoM as a fraction (2 dp) by month number over 2020-2025 (decision D5)."""
-    f7 = agg_monthly_kpis_enriched(m).filter(_in_years())
-    g = f7.groupBy(_mon().alias("month")).agg(
-        mean_fixed(F.col("revenue_mom_pct")).alias("_r"),
-        mean_fixed(F.col("orders_mom_pct")).alias("_o"))
-    return g.select("month", pct_2dp_of_mean(F.col("_r"), 1).alias("avg_rev_mom"),
-                    pct_2dp_of_mean(F.col("_o"), 1).alias("avg_orders_mom")).orderBy("month")
+    f7 = _with_mom(agg_monthly_kpis_enriched(m)).filter(_in_years())
+    g = _means(f7.groupBy(_mon().alias("month")))
+    return g.select("month", pct_2dp(F.col("_r"), 1).alias("avg_rev_mom"),
+                    pct_2dp(F.col("_o"), 1).alias("avg_orders_mom")).orderBy("month")
 
 
 def seasonality_sign_counts(m: Model) -> DataFrame:
     """Rises, falls and means of MoM by month number, 2020-2025, both MoM known."""
-    f7 = agg_monthly_kpis_enriched(m).filter(
+    f7 = _with_mom(agg_monthly_kpis_enriched(m)).filter(
         F.col("revenue_mom_pct").isNotNull() & F.col("orders_mom_pct").isNotNull() & _in_years())
     rev, ord_ = F.col("revenue_mom_pct"), F.col("orders_mom_pct")
     one, zero = F.lit(1), F.lit(0)
@@ -86,10 +93,10 @@ def seasonality_sign_counts(m: Model) -> DataFrame:
         F.count(F.lit(1)).alias("year_month_points"),
         F.sum(F.when(rev > 0, one).otherwise(zero)).cast("bigint").alias("rev_pos_count"),
         F.sum(F.when(rev < 0, one).otherwise(zero)).cast("bigint").alias("rev_neg_count"),
-        mean_fixed(rev).alias("avg_rev_mom"),
+        exact_mean(F.col("_rev")).cast("double").alias("avg_rev_mom"),
         F.sum(F.when(ord_ > 0, one).otherwise(zero)).cast("bigint").alias("ord_pos_count"),
         F.sum(F.when(ord_ < 0, one).otherwise(zero)).cast("bigint").alias("ord_neg_count"),
-        mean_fixed(ord_).alias("avg_ord_mom")).orderBy("mon")
+        exact_mean(F.col("_ord")).cast("double").alias("avg_ord_mom")).orderBy("mon")
 
 
 def inspect_year(m: Model, year: int) -> DataFrame:
@@ -125,10 +132,10 @@ def country_month_kpis(m: Model) -> DataFrame:
 def seasonality_by_country(m: Model) -> DataFrame:
     """Mean MoM and points by country and month number for three countries,
     2020-2025, revenue MoM known."""
-    c = country_month_kpis(m).filter(
+    c = _with_mom(country_month_kpis(m), ("country",)).filter(
         F.col("revenue_mom_pct").isNotNull() & _in_years()
         & F.col("country").isin(*SEASON_COUNTRIES))
     return c.groupBy("country", _mon().alias("mon")).agg(
-        mean_fixed(F.col("revenue_mom_pct")).alias("avg_rev_mom"),
-        mean_fixed(F.col("orders_mom_pct")).alias("avg_ord_mom"),
+        exact_mean(F.col("_rev")).cast("double").alias("avg_rev_mom"),
+        exact_mean(F.col("_ord")).cast("double").alias("avg_ord_mom"),
         F.count(F.lit(1)).alias("points")).orderBy("country", "mon")

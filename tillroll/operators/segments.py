@@ -30,6 +30,7 @@ def _events_per_user(events: DataFrame) -> DataFrame:
         F.count_if(F.col("event_type") == PRODUCT_VIEW).alias("n_views"))
 
 
+@shared
 def _items_per_user_category(m: Model) -> DataFrame:
     j = m.fact_order_items.join(m.dim_product, "product_id", "left")
     return j.groupBy("user_id", "product_category").agg(
@@ -105,9 +106,8 @@ def category_conversion_global_unfanned(m: Model) -> DataFrame:
     ev = m.fact_events_v2
     active = ev.select("user_id").distinct()   # hot users collapse before the semi join
     views = ev.agg(F.count_if(F.col("event_type") == PRODUCT_VIEW).alias("product_views"))
-    items = m.fact_order_items.join(active, "user_id", "left_semi").join(
-        m.dim_product, "product_id", "left")
-    g = items.groupBy("product_category").agg(F.count("product_id").alias("purchases"))
+    items = _items_per_user_category(m).join(active, "user_id", "left_semi")
+    g = items.groupBy("product_category").agg(F.sum("n_products").alias("purchases"))
     j = attach_total(g, views, "product_views")
     return j.select("product_category", "product_views", "purchases",
                     safe_divide(F.col("purchases"), F.col("product_views")).alias(

@@ -88,6 +88,7 @@ SHARED_ORDER = [
     "country_cart_purchase_funnel",   # A12 -> A21, D6
     "_country_revenue_base",          # A15 -> A16, A17, A21, D6
     "country_performance_summary",    # A21 -> A46, A48
+    "_items_per_user_category",       # per user and category -> A4, A19, D9
     "country_segment_metrics",        # A4 -> A5, A20
     "country_month_kpis",             # D4 -> A62
     "_user_revenue",                  # per user of fact_orders -> A49-A52
