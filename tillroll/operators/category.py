@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.joins import spread_left_join
 from tillroll.functions.metrics import (
     CANCELLED,
     MEAN_DIGITS,
@@ -29,7 +30,8 @@ def category_base(m: Model) -> DataFrame:
     any of these sums or distinct counts, so it is not repeated (a test pins the equality).
     """
     valid = status_in_policy(F.col("status"), StatusPolicy.VALID)
-    items = m.fact_order_items_all.join(m.dim_product, "product_id", "left")
+    items = spread_left_join(m.fact_order_items_all, m.dim_product.select("product_id", "product_category"), "product_id",
+                             m.hot_keys("product_id"), ["order_id", "user_id", "order_date", "revenue"])
     by = ["product_category"]
     orders = count_flagged(items, by, "order_id", {
         "total_orders": F.lit(True), "cancelled_orders": F.col("status") == CANCELLED}, {

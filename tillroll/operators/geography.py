@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.countries import COUNTRY_MAP_GERMANY_ONLY, COUNTRY_MAP_SPAIN_GERMANY
+from tillroll.functions.joins import spread_left_join
 from tillroll.functions.metrics import (
     CANCELLED,
     StatusPolicy,
@@ -184,7 +185,8 @@ def _country_kpis(base: DataFrame, key: str, user_filtered_revenue: bool) -> Dat
 def agg_country_kpis(m: Model) -> DataFrame:
     """Raw items LEFT JOIN raw users; Spain and Germany spellings merged."""
     users = m.users.select(F.col("id").alias("user_id"), "country")
-    base = m.order_items.join(users, "user_id", "left").select(
+    base = spread_left_join(m.order_items, users, "user_id", m.hot_keys("user_id"),
+                            ["order_id", "product_id", "created_at", "sale_price"]).select(
         standardize_country(F.col("country"), COUNTRY_MAP_SPAIN_GERMANY).alias("country"),
         "order_id", "user_id", "sale_price", "status")
     return _country_kpis(base, "country", user_filtered_revenue=False)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.joins import spread_left_join
 from tillroll.functions.metrics import (
     CANCELLED,
     COMPLETE,
@@ -156,8 +157,8 @@ def brand_performance_summary(m: Model) -> DataFrame:
 def aggregate_category_kpis(m: Model) -> DataFrame:
     """As A37 by raw product category (NULL for unknown products); the revenue per
     user numerator drops items without a user."""
-    base = m.order_items.join(_raw_products(m).select("product_id", "category"),
-                              "product_id", "left")
+    base = spread_left_join(m.order_items, _raw_products(m).select("product_id", "category"), "product_id",
+                            m.hot_keys("product_id"), ["order_id", "user_id", "created_at", "sale_price"])
     return _country_kpis(base, "category", user_filtered_revenue=True)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.joins import spread_left_join
 from tillroll.functions.metrics import cents, exact_mean, pct_2dp, quotient, safe_divide
 from tillroll.operators.growth import agg_monthly_kpis_enriched, enrich_monthly, monthly_kpis
 from tillroll.plans.model import Model, shared
@@ -125,7 +126,8 @@ def mom_recompute_check(m: Model) -> DataFrame:
 def country_month_kpis(m: Model) -> DataFrame:
     """F6/F7 columns by (country, month); country from dim_user (NULL for items of an
     unknown user); MoM against the previous month of the same country."""
-    items = m.items_with_month().join(m.dim_user.select("user_id", "country"), "user_id", "left")
+    items = spread_left_join(m.items_with_month(), m.dim_user.select("user_id", "country"), "user_id",
+                             m.hot_keys("user_id"), ["order_id", "product_id", "order_date", "revenue"])
     return enrich_monthly(monthly_kpis(items, ["country"]), ["country"])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.countries import COUNTRY_MAP_DIM_USER
+from tillroll.functions.joins import find_hot_keys
 from tillroll.functions.metrics import (
     StatusPolicy,
     age_group,
@@ -174,6 +175,11 @@ class Model:
             "created_at", F.to_date("created_at").alias("event_date")))
 
     # helpers -----------------------------------------------------------------------
+    def hot_keys(self, key: str) -> dict:
+        """The users or products that hold a large share of the order items, with their share
+        (``functions.joins``); counted once per model."""
+        return self._get(f"hot:{key}", lambda: find_hot_keys(self.order_items.select(key), key))
+
     def items_with_month(self, df: DataFrame | None = None) -> DataFrame:
         """F1 (or a filtered copy) with its calendar month."""
         df = self.fact_order_items_all if df is None else df
