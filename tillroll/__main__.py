@@ -1,7 +1,7 @@
 """Command line: ``python -m tillroll`` (or ``spark-submit -m``-style launchers).
 
     refresh  --canonical PATH | --testdata DIR   --out ROOT [--keys k1,k2] [--policy valid]
-             [--database analytics]
+             [--database analytics] [--workers 8] [--quarantine ROOT [--max-rejected 0.01]]
              materialise the layer and the shared tables, then write every result table
              (or the listed ones) to ROOT/<key> - the full dashboard rebuild.
     show     KEY (--canonical PATH | --testdata DIR) [-n 20]
@@ -21,6 +21,12 @@ def _model(spark, args):
     from tillroll.plans.model import Model
     from tillroll.sources import load_canonical, load_testdata
     policy = StatusPolicy(args.policy)
+    if args.canonical and getattr(args, "quarantine", None):
+        from tillroll.sources.quarantine import split_canonical
+        split = split_canonical(spark, args.canonical, args.quarantine, args.max_rejected)
+        for name, (rows, rejected) in split.counts.items():
+            print(f"{name}: {rejected} of {rows} rows rejected")
+        return Model(split.sources, status_policy=policy)
     if args.canonical:
         return Model(load_canonical(spark, args.canonical), status_policy=policy)
     return Model(load_testdata(spark, args.testdata), status_policy=policy)
@@ -42,6 +48,9 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--out", required=True, help="output root (shared storage)")
             p.add_argument("--keys", help="comma-separated keys (default: all)")
             p.add_argument("--database", help="also register each table as <database>.<key>")
+            p.add_argument("--quarantine", help="folder for rows with bad values (with --canonical); "
+                           "without it one such value fails the job")
+            p.add_argument("--max-rejected", type=float, default=0.01, help="largest share of a table's rows")
             p.add_argument("--workers", type=int, default=8, help="tables written at a time")
         else:
             p.add_argument("key")

@@ -61,23 +61,30 @@ class Sources:
     events: DataFrame
 
 
-def _lossless(name: str, given: T.DataType, wanted: T.DataType) -> Column:
-    """``name`` as the declared type; a value that the cast would change fails the job.
+def cast_and_check(name: str, given: T.DataType, wanted: T.DataType) -> tuple[Column, Column | None]:
+    """``name`` in the declared type, and whether its value stays the same (None: always).
 
     An instant (a timestamp with a zone) becomes the UTC wall clock whatever the session's zone.
     Columns that have the declared type already stay plain, so filters on them reach the scan."""
     col = F.col(name)
     if given == wanted:
-        return col
+        return col, None
     if isinstance(given, T.TimestampType) and isinstance(wanted, T.TimestampNTZType):
         seconds = (F.unix_micros(col).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
         zero = F.lit(0)
-        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds), None
     cast = col.try_cast(wanted)
-    same = cast.try_cast(given).eqNullSafe(col)
+    return cast, cast.try_cast(given).eqNullSafe(col)
+
+
+def _lossless(name: str, given: T.DataType, wanted: T.DataType) -> Column:
+    """``name`` as the declared type; a value that the cast would change fails the job."""
+    cast, same = cast_and_check(name, given, wanted)
+    if same is None:
+        return cast
     return F.when(same, cast).otherwise(F.raise_error(F.concat(
         F.lit(f"{name}: a value changes when read as {wanted.simpleString()}: "),
-        F.coalesce(col.cast("string"), F.lit("null")))))
+        F.coalesce(F.col(name).cast("string"), F.lit("null")))))
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
