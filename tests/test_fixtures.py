@@ -166,3 +166,15 @@ def test_sign_counts(model):
     # November 2021 is flat: counted as a point, neither rise nor fall
     nov = a59[11]
     assert nov["year_month_points"] - nov["rev_pos_count"] - nov["rev_neg_count"] == 1
+
+
+def test_results_come_in_the_order_of_their_statements(spark):
+    """Those that the operators themselves leave unsorted."""
+    from tillroll.registry import MAINTAINED, ORDER
+    model = Model(fx.spark_sources(spark))
+    for key, columns in ORDER.items():
+        if key in MAINTAINED:
+            continue
+        rows = [tuple(r) for r in run_query(key, model).select(*[c.removesuffix(" DESC") for c in columns]).collect()]
+        known = [r for r in rows if None not in r]
+        assert known == sorted(known, reverse=columns[0].endswith(" DESC")) and len(rows) > 0, key

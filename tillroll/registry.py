@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import present
 from tillroll.operators import (
@@ -136,6 +137,20 @@ QUERIES: dict[str, Callable[[Model], DataFrame]] = {
 MAINTAINED = ("agg_monthly_kpis_maintained", "monthly_reports_maintained", "distinct_by_period")
 
 
+#: ORDER BY of statements whose operators leave it out, because other tables read them.
+ORDER: dict[str, tuple[str, ...]] = {
+    "agg_funnel_metrics": ("month",), "agg_daily_funnel": ("event_date",), "agg_monthly_funnel": ("month",),
+    "agg_monthly_kpis": ("month",), "agg_monthly_kpis_enriched": ("month",),
+    "agg_yearly_kpis": ("year",), "agg_yearly_kpis_enriched": ("year",),
+    "country_cart_purchase_funnel": ("cart_to_purchase_conversion",),
+    "agg_country_kpis": ("total_revenue DESC",), "aggregate_category_kpis": ("total_revenue DESC",),
+    "agg_monthly_kpis_maintained": ("month",), "monthly_reports_maintained": ("month",),
+    "distinct_by_period": ("grain", "period"),
+}
+
+
 def run_query(key: str, model: Model) -> DataFrame:
-    """The result table ``key`` over ``model``, in output form."""
-    return present(QUERIES[key](model))
+    """The result table ``key`` over ``model``, in output form and in the statement's order."""
+    out = present(QUERIES[key](model))
+    return out.orderBy(*[F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC") else F.expr(c)
+                         for c in ORDER[key]]) if key in ORDER else out
