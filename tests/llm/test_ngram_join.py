@@ -74,3 +74,42 @@ def test_keep_one_decides_by_row(spark):
     kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(4)).collect()
     assert sorted([(r["doc_id"], r["text"]) for r in kept], key=str) == sorted(
         [(1, one), (2, other), (None, third), (2, None), (3, ""), (3, "")], key=str)
+
+
+def test_a_large_group_just_below_the_threshold_gives_few_rows(spark):
+    """Sets that share their rarest shingles and miss the threshold by one: no link, and the tasks that
+    compare all of them hand on no pairs; with a second half that links, they hand on a tree."""
+    import numpy as np
+
+    base = np.arange(1, 76, dtype=np.uint64)
+    n = 1500
+    below = [np.concatenate([base[:60], np.arange(1000 + 100 * i, 1000 + 100 * i + 20, dtype=np.uint64)]) for i in range(n)]
+    classes = np.arange(n, dtype=np.int64) + 1
+    for sets, links in ((below, 0), ([base if i % 2 else np.sort(np.append(base, np.uint64(10**6 + i))) for i in range(n)], n - 1)):
+        settler = ngram_join.Settler.__new__(ngram_join.Settler)
+        settler.ids, settler.part, settler.groups = classes, np.arange(n), ngram_join.Groups(n)
+        settler.links, settler.get = [], sets.__getitem__
+        settler.long(np.arange(n))
+        assert len(settler.links) == links
+        settler.short([np.arange(16), np.arange(8, 20)])
+        assert len(settler.links) == links
+
+
+def test_long_lists_equal_brute_force(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    rng = random.Random(12)
+    for _ in range(20):
+        sets = []
+        for _ in range(12):
+            words = rng.sample(range(400), rng.randrange(4, 50))
+            for _ in range(rng.randrange(1, 6)):
+                sets.append(np.array(sorted({w if rng.random() > 0.08 else rng.randrange(400, 900) for w in words}), np.uint64))
+        n = len(sets)
+        settler = ngram_join.Settler.__new__(ngram_join.Settler)
+        settler.ids, settler.part, settler.groups = np.arange(n), np.arange(n), ngram_join.Groups(n)
+        settler.links, settler.get = [], sets.__getitem__
+        settler.long(np.arange(n))
+        want = brute.components(range(n), [(a, b) for a in range(n) for b in range(a) if ngram_join.linked(sets[a], sets[b])])
+        assert brute.components(range(n), settler.links) == want and len(settler.links) == n - len(set(want.values()))

@@ -12,8 +12,9 @@ least. The order puts shingles that many sets have last, so lists stay short.
 
 Lists are not turned into all their pairs. Each member is first paired with the list's least
 one. Pairs are verified on the whole sets. Where all of a group's pairs hold, it is connected
-and done. Only groups with a pair that failed are listed again, and there the pairs between
-different components are verified. Sets that are equal are one class throughout.
+and done. Only groups with a pair that failed are listed again, and there the task that holds a
+list compares its classes of different components, long lists as rows of bits; it hands on
+only links that join components. Sets that are equal are one class throughout.
 """
 
 from __future__ import annotations
@@ -41,8 +42,11 @@ NUM, DEN = 3, 4
 COMMON = 16
 #: Light sets have at most so many shingles.
 MOST_LIGHT = 64
-#: Rounds of pairs with one class per list before what differs is compared in full.
-ROUNDS = 2
+#: Lists of up to so many classes give their pairs, each of which a task compares once; longer ones are
+#: compared in blocks of so many shingles.
+SHORT, BLOCK = 16, 200_000
+#: Entries (key, class) of a shard of lists.
+ENTRIES = 400_000
 #: Shingles (and classes) that a task holds before it hands on what it has.
 HELD = 1_500_000
 _ROWS = "kind int, a long, b long, c long"
@@ -212,83 +216,151 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield found
 
 
-def _cross(parts: tuple[str, int], seed: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed whole lists by shard -> pairs (a > b) whose components differ and whose sizes allow
-    a link: of each list's class that a hash with ``seed`` puts first with the others, or all."""
+class Groups:
+    """Components that a task knows to be linked."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        top = x
+        while self.up[top] != top:
+            top = self.up[top]
+        while self.up[x] != top:
+            self.up[x], x = top, self.up[x]
+        return top
+
+    def roots(self, parts: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.find, parts.tolist()), np.int64, len(parts))
+
+
+def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set, with a bit for every shingle that two of the sets have; what is in one
+    only is in no intersection."""
+    keys, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = count[at] > 1
+    bit, owner = number[at[shared]], owner[shared]
+    out = np.zeros((len(sets), max(1, -(-int((count > 1).sum()) // 64))), np.uint64)
+    np.bitwise_or.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+class Settler:
+    """Finds the links between components among the classes of one shard's lists, by exact
+    comparison. It hands on only links that join two components, so at most one less than there are."""
+
+    def __init__(self, ids: np.ndarray, parts: np.ndarray, sets: tuple[str, int]) -> None:
+        self.ids, self.part = ids, np.unique(parts, return_inverse=True)[1]
+        self.groups = Groups(int(self.part.max()) + 1)
+        self.links: list[tuple[int, int]] = []
+        self.get = set_reader(sets, ids)
+
+    def join(self, a: int, b: int) -> int:
+        x, y = self.groups.find(self.part[a]), self.groups.find(self.part[b])
+        self.groups.up[y] = x
+        self.links.append((a, b))
+        return x
+
+    def short(self, lists: list[np.ndarray]) -> None:
+        """Lists of few classes: their pairs, each one once."""
+        pairs = []
+        for n in {len(x) for x in lists}:
+            own = np.stack([x for x in lists if len(x) == n])
+            i, j = np.triu_indices(n, 1)
+            pairs.append(np.stack([own[:, i].ravel(), own[:, j].ravel()], 1))
+        if not pairs:
+            return
+        both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        for a, b in both[self.part[both[:, 0]] != self.part[both[:, 1]]].tolist():
+            if self.groups.find(self.part[a]) != self.groups.find(self.part[b]) and linked(self.get(a), self.get(b)):
+                self.join(a, b)
+
+    def long(self, members: np.ndarray) -> None:
+        """A list of many classes: blocks by size against each other, as rows of bits."""
+        sets = {m: self.get(m) for m in members.tolist()}
+        order = sorted(sets, key=lambda m: len(sets[m]))
+        blocks, held = [[]], 0
+        for m in order:
+            if held and held + len(sets[m]) > BLOCK:
+                blocks.append([])
+                held = 0
+            blocks[-1].append(m)
+            held += len(sets[m])
+        for i, one in enumerate(blocks):
+            for other in blocks[i:]:
+                if len(sets[one[-1]]) * DEN < len(sets[other[0]]) * NUM:
+                    break
+                self.blocks(one, [] if other is one else other, sets)
+
+    def blocks(self, one: list[int], other: list[int], sets: dict[int, np.ndarray]) -> None:
+        both = [*one, *other]
+        root = self.groups.roots(self.part[both])
+        if (root == root[0]).all():
+            return
+        bits, n = bit_rows([sets[m] for m in both]), np.array([len(sets[m]) for m in both])
+        for i in range(len(one)):
+            j = np.arange(i + 1, len(one)) if not other else np.arange(len(one), len(both))
+            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * DEN >= np.maximum(n[j], n[i]) * NUM)]
+            if not len(j):
+                continue
+            common = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+            for k in j[common * DEN >= NUM * (n[i] + n[j] - common)]:
+                if root[k] != root[i]:
+                    old = root[[i, k]]
+                    root[np.isin(root, old)] = self.join(both[i], both[k])
+
+
+def _settle(parts: tuple[str, int], sets: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed whole lists by shard -> links (a > b) that join components."""
     for _, rows in arrays.by_shard(batches):
         found = _lists(rows)
         rows.clear()
         if not found:
             continue
         start, classes = found
-        part, n = (arrays.lookup(*parts, classes.view(np.uint64), name, np.int64, 0) for name in ("component", "n"))
+        part = arrays.lookup(*parts, classes.view(np.uint64), "component", np.int64, 0)
         run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(classes))))
-        differ = np.logical_or.reduceat(part != part[start][run], start)
-        keep = differ[run]  # most lists lie in one component
-        run, classes, part, n = run[keep], classes[keep], part[keep], n[keep]
+        keep = np.logical_or.reduceat(part != part[start][run], start)[run]  # most lists lie in one component
+        run, classes, part = run[keep], classes[keep], part[keep]
         if not len(run):
             continue
-        if seed is not None:
-            order = np.lexsort((mix(classes.view(np.uint64) ^ np.uint64(seed + 1)), run))
-            run, classes, part, n = run[order], classes[order], part[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            first = np.repeat(first, np.diff(np.append(first, len(run))))
-            fits = _fits(part, part[first], n, n[first])
-            if fits.any():
-                yield _distinct([(classes[fits], classes[first[fits]])])
-            continue
-        held, size = [], 0
+        ids, first, at = np.unique(classes, return_index=True, return_inverse=True)
+        settler = Settler(ids, part[first], sets)
+        fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1])])  # several tasks may list a class
+        run, at = run[fresh], at[fresh]
         edges = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
-        for s, e in zip(edges[:-1], edges[1:]):
-            for i in range(s, e - 1):
-                fits = np.flatnonzero(_fits(part[i + 1:e], part[i], n[i + 1:e], n[i]))
-                if len(fits):
-                    held.append((np.full(len(fits), classes[i]), classes[i + 1 + fits]))
-                    size += len(fits)
-            if size > HELD:
-                yield _distinct(held)
-                held, size = [], 0
-        if held:
-            yield _distinct(held)
-
-
-def _fits(part, other_part, n, other_n) -> np.ndarray:
-    """Components differ and sizes allow a link."""
-    return (part != other_part) & (np.minimum(n, other_n) * DEN >= np.maximum(n, other_n) * NUM)
+        lists = {x.tobytes(): x for x in (at[s:e] for s, e in zip(edges[:-1], edges[1:]))}.values()
+        settler.short([x for x in lists if 1 < len(x) <= SHORT])
+        for members in sorted([x for x in lists if len(x) > SHORT], key=len, reverse=True):
+            settler.long(members)
+        if settler.links:
+            a, b = ids[np.array(settler.links).T]
+            yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def connect(relisted: DataFrame, shards: int, placed: DataFrame, found: DataFrame, verify: Callable,
-            keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def connect(relisted: DataFrame, shards: int, placed: DataFrame, found: DataFrame, sets: tuple[str, int]) -> DataFrame:
     """(id, component) after all pairs between components of the listed classes are settled.
 
-    ``relisted`` has whole packed lists, ``placed`` their classes (class, component, n), ``found``
-    the components so far. Large groups whose members mostly link would give all their pairs, so
-    some rounds pair each list's class that a hash puts first with those of other components, and
-    components are joined by what holds. What then still differs is compared in full."""
+    ``relisted`` has whole packed lists, ``placed`` their classes (class, component), ``found`` the
+    components so far, ``sets`` the store of the classes' sets. Every pair of a list whose components
+    differ is compared in the task that holds the list, unless links found before join them;
+    only links that join components leave it."""
     spark = relisted.sparkSession
-    relisted, rounds = stored(relisted, "lists", blocks=True), [*range(ROUNDS), None]
-    while rounds:
-        seed = rounds.pop(0)
-        parts = (scratch(spark, "list-parts"), arrays.shards_for(placed.count()))
-        arrays.store_sorted(placed.select(F.col("class").alias("key"), "component", "n"), *parts,
-                            {"component": np.int64, "n": np.int64})
-        spread = relisted.repartition(shards, "shard").sortWithinPartitions("shard")
-        pairs = keep(spread.mapInPandas(partial(_cross, parts, seed), "a long, b long").distinct())
-        checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "list-checked")
-        links = checked.where("ok").select("a", "b")
-        if links.isEmpty():
-            rounds = [None] if seed is not None else []
-            continue
-        joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)
-        found = stored(components(joined), "list-components")
-        placed = stored(placed.select("class", "n").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn(
-            "component", F.coalesce("component", "class")), "list-placed")
-    return found
+    parts = (scratch(spark, "list-parts"), arrays.shards_for(placed.count()))
+    arrays.store_sorted(placed.select(F.col("class").alias("key"), "component"), *parts, {"component": np.int64})
+    spread = relisted.repartitionById(shards, "shard").sortWithinPartitions("shard")
+    links = stored(spread.mapInPandas(partial(_settle, parts, sets), "a long, b long"), "list-links")
+    if links.isEmpty():
+        return found
+    joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return stored(components(joined), "list-components")
 
 
 def pairs_of(listed: DataFrame, shards: int) -> DataFrame:
     """Distinct pairs (a > b) from packed lists: each class with its list's least one."""
-    spread = listed.repartition(shards, "shard").sortWithinPartitions("shard")
+    spread = listed.repartitionById(shards, "shard").sortWithinPartitions("shard")
     return spread.mapInPandas(_runs, "a long, b long").distinct()
 
 
@@ -327,24 +399,26 @@ def linked(one: np.ndarray, other: np.ndarray) -> bool:
     return both * DEN >= NUM * (len(one) + len(other) - both)
 
 
-def _verify(sets: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def set_reader(sets: tuple[str, int], classes: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Gives the set of the i-th of ``classes``, from the store."""
     folder, shards = sets
+    found, shard, place = arrays.find(folder, shards, classes.view(np.uint64))
+    if not found.all():
+        raise ValueError("a candidate's set is missing")
 
-    def load(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, shard, place = arrays.find(folder, shards, classes.view(np.uint64))
-        if not found.all():
-            raise ValueError("a candidate's set is missing")
-        return shard, place
+    def get(i: int) -> np.ndarray:
+        own, at = int(shard[i]), int(place[i])
+        end = arrays.mapped(folder, "end", own, np.int64)
+        return np.asarray(arrays.mapped(folder, "data", own, np.uint64))[end[at - 1] if at else 0:end[at]]
 
-    def get(shard: int, place: int) -> np.ndarray:
-        end = arrays.mapped(folder, "end", shard, np.int64)
-        data = arrays.mapped(folder, "data", shard, np.uint64)
-        return data[end[place - 1] if place else 0:end[place]]
+    return get
 
+
+def _verify(sets: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        (sa, pa), (sb, pb) = load(batch["a"].to_numpy()), load(batch["b"].to_numpy())
+        one, other = (set_reader(sets, batch[c].to_numpy()) for c in "ab")
         out = batch.copy()
-        out["ok"] = [linked(get(*x), get(*y)) for x, y in zip(zip(sa, pa), zip(sb, pb))]
+        out["ok"] = [linked(one(i), other(i)) for i in range(len(batch))]
         yield out
 
 
@@ -397,7 +471,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     totals = described.agg(F.sum(F.when(F.col("kind") == 1, F.col("b"))), F.sum(F.when(F.col("kind") == 0, F.col("b")))).first()
     light = cost_boundary({r["n"]: r["count"] for r in few}, (totals[0] or 0) / max(totals[1] or 1, 1))
 
-    shards = arrays.shards_for((totals[1] or 0) // 3)  # a prefix is a quarter of a set and a little more
+    shards = arrays.shards_for((totals[1] or 0) // 3, ENTRIES)  # a prefix is a quarter of a set and a little more
     listed = texts.mapInPandas(partial(_list, common, light, None, shards), arrays.LISTED)
     pairs = stored(pairs_of(listed, shards), "join-pairs")
     members = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class"), "join-members")
@@ -410,7 +484,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     top = F.shiftrightunsigned("class", 32)
     emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary").withColumn(
         "shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32))
-    emitted.repartition(sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
+    emitted.repartitionById(sets[1], F.col("shard").cast("int")).mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
 
     verify = partial(_verify, sets)
     checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "join-checked")
@@ -426,7 +500,7 @@ def _joined(docs: DataFrame) -> DataFrame:
         only = (scratch(spark, "join-open-store"), arrays.shards_for(n_open))
         arrays.store_sorted(again.select(F.col("class").alias("key")), *only)
         relisted = texts.mapInPandas(partial(_list, common, light, only, shards), arrays.LISTED)
-        found = connect(relisted, shards, again.select("class", "component", "n"), found, verify)
+        found = connect(relisted, shards, again.select("class", "component"), found, sets)
     return _answer(rows, classes, found)
 
 

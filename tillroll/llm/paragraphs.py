@@ -428,7 +428,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
             only = (scratch(spark, "para-open-store"), arrays.shards_for(n_open))
             arrays.store_sorted(again.select(F.col("class").alias("key")), *only)
             relisted = texts.mapInPandas(partial(_list, bands, rows, only, shards), arrays.LISTED)
-            found = connect(relisted, shards, again.withColumn("n", F.lit(1).cast("long")), found, verify)
+            found = connect(relisted, shards, again, found, sets)
     if found is None:
         marked = spans.where("least != greatest").select(
             F.col("class").alias("key"), F.col("class").alias("component"), F.col("least").alias("keeper"))
