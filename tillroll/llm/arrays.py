@@ -12,13 +12,29 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, a job's shuffle files go when the job is done, not when the driver collects garbage:
+    for jobs whose result is stored. Only plans made here are concerned."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def _filesystem(folder: str):
     from pyarrow import fs
 
@@ -107,7 +123,8 @@ def store_sorted(df: DataFrame, folder: str, shards: int, values: dict[str, type
     # the shard as shard_of() has it: unsigned top 32 bits times shards, top again
     top = F.shiftrightunsigned("key", 32)
     placed = df.withColumn("shard", F.shiftrightunsigned(top * F.lit(shards).cast("long"), 32))
-    done = placed.repartition(shards, "shard").mapInPandas(put, "shard int, rows long").collect()
+    with tidy(df.sparkSession):
+        done = placed.repartition(shards, "shard").mapInPandas(put, "shard int, rows long").collect()
     counts = {r["shard"]: r["rows"] for r in done}
     return [counts.get(s, 0) for s in range(shards)]
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.arrays import write_file
+from tillroll.llm.arrays import tidy, write_file
 
 #: A word, for Java's and RE2's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,10 +71,12 @@ BLOCKS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.m
 
 def stored(df: DataFrame, what: str, blocks: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: work is done once, a
-    lost executor costs no recomputation, and later plans start from files."""
+    lost executor costs no recomputation, and later plans start from files. What was shuffled
+    for it goes at once."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.options(**BLOCKS if blocks else {}).parquet(path)
+    with tidy(spark):
+        df.write.options(**BLOCKS if blocks else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

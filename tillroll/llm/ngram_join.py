@@ -484,7 +484,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     top = F.shiftrightunsigned("class", 32)
     emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary").withColumn(
         "shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32))
-    emitted.repartitionById(sets[1], F.col("shard").cast("int")).mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
+    with arrays.tidy(spark):
+        emitted.repartitionById(sets[1], F.col("shard").cast("int")).mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
 
     verify = partial(_verify, sets)
     checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "join-checked")
