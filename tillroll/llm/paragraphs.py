@@ -86,12 +86,13 @@ class Units(NamedTuple):
     start: np.ndarray  # first word
     size: np.ndarray  # words
     digest: np.ndarray
+    salt: np.ndarray  # 0 of a paragraph; of a span its first words, which neighbouring spans don't share
     shingles: np.ndarray
     edges: np.ndarray
 
     def only(self, keep: np.ndarray) -> Units:
         count = np.diff(self.edges)
-        return Units(*(x[keep] for x in self[:4]), self.shingles[np.repeat(keep, count)],
+        return Units(*(x[keep] for x in self[:5]), self.shingles[np.repeat(keep, count)],
                      np.concatenate([[0], np.cumsum(count[keep])]))
 
 
@@ -103,13 +104,15 @@ def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]
         of = np.concatenate([[0], np.cumsum([len(text) for text in split])])
         bounds = lines[of]
         runs, at = shingle_hashes(words, bounds, WIDTH)
-        rows, found = [], []
+        rows, found, salts = [], [], []
         for i in range(len(held)):
             n = bounds[i + 1] - bounds[i]
             if n >= LEAST_WORDS:
                 own = anchors(words[bounds[i]:bounds[i + 1]])
                 start, end = paragraphs(lines[of[i]:of[i + 1] + 1] - bounds[i])
-                found.append(np.unique(np.concatenate([own << 32 | np.minimum(SPAN, n - own), start << 32 | end - start])))
+                whole = start << 32 | end - start
+                found.append(np.unique(np.concatenate([own << 32 | np.minimum(SPAN, n - own), whole])))
+                salts.append(np.where(np.isin(found[-1], whole), np.uint64(0), runs[at[i] + (found[-1] >> 32)] | np.uint64(1)))
                 rows.append(np.full(len(found[-1]), i))
         if rows:
             row, unit = np.concatenate(rows), np.concatenate(found)
@@ -119,15 +122,16 @@ def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]
             place = np.arange(edges[-1]) - np.repeat(edges[:-1], count)
             shingles = runs[np.repeat(at[row] + start, count) + place]
             digest = mix(np.add.reduceat(mix(shingles ^ mix(place.astype(np.uint64))), edges[:-1]) + count.astype(np.uint64))
-            yield (Units(first + row, start, size, digest.view(np.int64), shingles, edges),
+            yield (Units(first + row, start, size, digest.view(np.int64), np.concatenate(salts), shingles, edges),
                    {first + i: runs[at[i]:at[i + 1]] for i in np.unique(row).tolist()})
 
 
-def band_keys(shingles: np.ndarray, edges: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(units, bands)."""
+def band_keys(shingles: np.ndarray, edges: np.ndarray, salt: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(units, bands). Spans meet only where they start alike: an edit in the words by which they
+    are found gives other spans anyway, and neighbours that overlap are no candidates."""
     out = []
     for b in range(bands):
-        key = np.full(len(edges) - 1, b, np.uint64)
+        key = combine(np.full(len(edges) - 1, b, np.uint64), salt)
         for r in range(rows):
             seed = mix(np.array([b * rows + r + 1], np.uint64))
             key = combine(key, np.minimum.reduceat(mix(shingles ^ seed), edges[:-1]))
@@ -139,17 +143,18 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
           batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Band keys of the spans of a task, of all or of those in the store ``only``. Without it also
     kind 2: each span with its least and greatest document."""
-    keys, spans, docs = [], [], []
+    keys, spans, docs, salts = [], [], [], []
     size = 0
 
     def listed() -> Iterator[pd.DataFrame]:
         if not spans:
             return
-        span, key, doc = np.concatenate(spans), np.concatenate(keys), np.concatenate(docs)
-        for x in (spans, keys, docs):
+        span, key, doc, salt = (np.concatenate(x) for x in (spans, keys, docs, salts))
+        for x in (spans, keys, docs, salts):
             x.clear()
+        plain = np.lexsort((salt, span.view(np.uint64)))  # a span that is a paragraph elsewhere is listed as one
         order = np.lexsort((doc, span.view(np.uint64)))
-        span, key, doc = span[order], key[order], doc[order]
+        key, span, doc = key[plain], span[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
         last = np.append(first[1:], len(span)) - 1
         if not only:
@@ -168,7 +173,8 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
             if only:
                 units = units.only(arrays.find(*only, units.digest.view(np.uint64))[0])
             if len(units.row):
-                keys.append(band_keys(units.shingles, units.edges, bands, rows))
+                keys.append(band_keys(units.shingles, units.edges, units.salt, bands, rows))
+                salts.append(units.salt)
                 spans.append(units.digest)
                 docs.append(ids[units.row])
                 size += keys[-1].size
@@ -401,7 +407,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = arrays.shards_for(size // 70 * bands)
     listed = texts.mapInPandas(partial(_list, bands, rows, None, shards), arrays.LISTED)
-    settled = stored(listed.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
+    settled = stored(listed.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInPandas(
         _settle, "kind int, a long, b long, c long"), "para-lists")
     spans = settled.where("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("least"), F.col("c").alias("greatest"))
     pairs = stored(settled.where("kind = 0").select("a", "b").distinct(), "para-pairs")
@@ -413,8 +419,9 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
         sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 100_000))
         emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary")
-        emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32)).repartition(
-            sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
+        with arrays.tidy(spark):
+            emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32).cast("int")).repartitionById(
+                sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
         verify = partial(_verify, sets)
         checked = stored(pairs.repartition("a", "b").mapInPandas(verify, "a long, b long, ok boolean"), "para-checked")
         found = stored(components(checked.where("ok").select("a", "b")), "para-components")
@@ -445,8 +452,9 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     arrays.store_sorted(marked, *store, {"component": np.int64, "keeper": np.int64})
     near = (scratch(spark, "para-near"), arrays.shards_for(size // 6))  # a shingle a word, of all documents at most
     emitted = texts.mapInPandas(partial(_emit_near, store), "class long, shingles binary")
-    emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(near[1]).cast("long"), 32)).repartition(
-        near[1], "shard").mapInPandas(partial(_store_near, near[0]), "rows long").agg(F.sum("rows")).first()
+    with arrays.tidy(spark):
+        emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(near[1]).cast("long"), 32).cast("int")).repartitionById(
+            near[1], "shard").mapInPandas(partial(_store_near, near[0]), "rows long").agg(F.sum("rows")).first()
     schema = ("kind int, row long, start int, end int, n_words int, n_spans int, component_id long, keeper long, "
               "kept boolean, key long, last long")
     removed = stored(texts.mapInPandas(partial(_remove, store, near), schema), "para-removed")
