@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 
 from tillroll.llm import mixing
 from tillroll.llm.queries import OP10_SQL
@@ -53,7 +54,19 @@ def test_rows_are_emitted_as_planned(spark, edge, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_plan(empty).count() == 0
 
 
-def test_taken_is_near_the_target(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_taken_is_near_the_target(spark, sf):
+    """Within 2 % for every source."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = mixing.mix_plan(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
-    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.2 * r["max(target)"] for r in rows)
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.02 * r["max(target)"] for r in rows)
+
+
+def test_every_document_has_the_same_chance(spark):
+    """Over all seeds a document gets its further copy as often as the fraction says."""
+    from pyspark.sql import functions as F
+    docs = spark.range(200).selectExpr("id as doc_id").withColumn("fraction", F.lit(0.3125))
+    part, early = mixing._place(F.col("doc_id"), F.col("fraction"), "x")
+    every = docs.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mixing.SEEDS - 1).cast("long"))))
+    n = every.where(mixing._covered(part, early, F.col("start"), F.col("fraction"))).groupBy("doc_id").count().collect()
+    assert len(n) == 200 and {r["count"] for r in n} == {80}  # 256 * 0.3125

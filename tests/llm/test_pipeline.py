@@ -52,4 +52,4 @@ def test_registered(spark):
     import __spark_entry__ as entry
     found = entry.queries()
     assert "pipeline" in found and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in found}
-    assert {k for k in entry.oracle_sql() if k.startswith("op")} == {"op7_url_filters", "op10_mixing"}
+    assert {k for k in entry.oracle_sql() if k.startswith("op")} == {"op2_near_embeddings", "op7_url_filters", "op9_ngram_join", "op10_mixing", "op12_lexical_search"}

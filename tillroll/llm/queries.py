@@ -129,14 +129,75 @@ WITH sized AS (
     OR NOT EXISTS (SELECT 1 FROM level) THEN (2 * s)::DOUBLE
     ELSE ((SELECT num FROM level) * w)::DOUBLE / (SELECT den FROM level)::DOUBLE END AS target
   FROM sources
-), drawn AS (
-  SELECT doc_id, size, s AS source_size, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+), rated AS (
+  SELECT source, s, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate FROM targets
+), placed AS (
+  -- 256 times a point on the circle, and 256 times the arc's length
+  SELECT doc_id, size, rated.source, s, target, rate, (rate - floor(rate)) * 256 AS arc,
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * 256 AS spot
+  FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
+), tried AS (
+  SELECT source, start, sum(size * (floor(rate)::BIGINT + CASE
+      WHEN (floor(spot)::BIGINT - start + 256) % 256 < floor(arc) THEN 1
+      WHEN (floor(spot)::BIGINT - start + 256) % 256 = floor(arc) AND spot - floor(spot) < arc - floor(arc) THEN 1 ELSE 0 END)) AS words,
+    any_value(target) AS goal
+  FROM placed, range(256) AS seeds(start) GROUP BY source, start
+), seed AS (
+  SELECT source, start FROM tried
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words::DOUBLE - goal), start) = 1
 )
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM drawn
+SELECT doc_id, size, s AS source_size, target,
+  (size * (floor(rate)::BIGINT + CASE
+    WHEN (floor(spot)::BIGINT - start + 256) % 256 < floor(arc) THEN 1
+    WHEN (floor(spot)::BIGINT - start + 256) % 256 = floor(arc) AND spot - floor(spot) < arc - floor(arc) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed JOIN seed ON placed.source IS NOT DISTINCT FROM seed.source
+"""
+
+OP2_SQL = """
+WITH RECURSIVE vector AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vector a JOIN vector b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) >= 0.9 * sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM reach r JOIN link l ON l.a = r.b OR l.b = r.b
+), part AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id OR b = vec_id)::BIGINT AS n_links, component_id,
+  vec_id = component_id AS kept
+FROM embeddings JOIN part USING (vec_id)
+"""
+
+OP9_SQL = """
+WITH RECURSIVE cut AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM cut
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), overlap AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM overlap JOIN sized x ON a = x.doc_id JOIN sized y ON b = y.doc_id
+  WHERE 100 * n_shared >= 75 * (x.n + y.n - n_shared)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM reach r JOIN link l ON l.a = r.b OR l.b = r.b
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id
+FROM documents d LEFT JOIN sized USING (doc_id)
 """
 
 OP12_SQL = f"""
@@ -173,4 +234,5 @@ WITH cut AS (
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= {BEST}
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_embeddings": OP2_SQL, "op7_url_filters": OP7_SQL, "op9_ngram_join": OP9_SQL,
+                              "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL}
