@@ -31,7 +31,7 @@ from tillroll.llm.common import stored
 POSTINGS, WORDS = 1_000_000, 200_000
 #: Items of a block, which the driver hands to all tasks; items that a task searches for at a
 #: time; ranges halved per item and round.
-ITEMS, TOGETHER, WIDTH = 4096, 64, 64
+ITEMS, TOGETHER, WIDTH = 4096, 32, 128
 
 _TERM = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()  # lowers A-Z only
 _POP = np.array([bin(b).count("1") for b in range(16)], np.int8)
@@ -213,7 +213,7 @@ class Shard:
         same, terms = pd.factorize(np.concatenate(self.terms))
         code = same[code]
         count = np.bincount(code)
-        order = np.lexsort((terms, -count))
+        order = np.argsort(-count, kind="stable")
         row = np.empty(len(terms), np.int64)
         row[order] = np.arange(len(terms))
         by_id = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] if self.ids[i] is not None else 0))
