@@ -63,3 +63,14 @@ def test_kept_is_bounded():
 
 def test_empty_table(empty):
     assert bpe.encode(empty, tokenizer_path()).count() == 0
+
+
+def test_a_worker_drops_what_other_operators_kept():
+    from tillroll.llm import arrays
+    arrays.work_for("bpe")
+    bpe.encoder(tokenizer_path()).word(b"kept")
+    arrays.work_for("bpe")
+    assert bpe._ENCODERS
+    arrays.work_for("ngram_join")
+    assert not bpe._ENCODERS and not arrays._OPEN
+    arrays.work_for("")

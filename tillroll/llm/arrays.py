@@ -8,6 +8,7 @@ whose name it removes at once.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -79,6 +80,19 @@ def read(folder: str, name: str, shard: int, dtype) -> np.ndarray:
 
 
 _OPEN: dict[tuple, np.ndarray] = {}
+#: What operators keep in a worker from task to task, by operator, and the one that works now.
+KEPT: dict[str, dict] = {"arrays": _OPEN}
+_NOW: list[str] = [""]
+
+
+def work_for(operator: str) -> None:
+    """Told by a task's function first: what other operators kept in this worker goes."""
+    if _NOW[0] != operator:
+        for name, held in KEPT.items():
+            if name != operator:
+                held.clear()
+        gc.collect()
+        _NOW[0] = operator
 
 
 def mapped(folder: str, name: str, shard: int, dtype) -> np.ndarray:

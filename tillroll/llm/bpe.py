@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tillroll.llm.arrays import KEPT, work_for
+
 #: Bytes of the rolling window; a cut at one position of this many; bytes of a chunk at most.
 WINDOW, MEAN, MOST = 8, 256, 4096
 #: Chunks, words and parts of words kept per worker (two generations of half of it each).
@@ -172,6 +174,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT["bpe"] = _ENCODERS
 
 
 def encoder(path: str) -> Encoder:
@@ -182,6 +185,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode(path: str, digests: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    work_for("bpe")
     e = encoder(path)
     for batch in batches:
         for at in range(0, len(batch), 1000):  # bounds what is built before it goes to Spark

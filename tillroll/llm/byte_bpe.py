@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tillroll.llm.arrays import KEPT, work_for
+
 #: Pieces that are encoded together; cells of one matrix; pieces beyond this many bytes are rows
 #: of their own, for which a round takes every merge that must come next.
 PIECES, CELLS, LONG = 400_000, 1 << 20, 1024
@@ -243,6 +245,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+KEPT["byte_bpe"] = _ENCODERS
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -252,6 +255,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def _encode(path: str, pattern: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    work_for("byte_bpe")
     e = encoder(path, pattern)
     for batch in batches:
         texts, n = batch.column("text").to_pylist(), np.zeros(len(batch), np.int64)

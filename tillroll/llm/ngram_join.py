@@ -48,7 +48,7 @@ SHORT, BLOCK = 16, 200_000
 #: Entries (key, class) of a shard of lists.
 ENTRIES = 400_000
 #: Shingles (and classes) that a task holds before it hands on what it has.
-HELD = 1_500_000
+HELD = 1_000_000
 _ROWS = "kind int, a long, b long, c long"
 _LIGHT = np.uint64(0x51ED270B7F3A9C15)
 
@@ -78,6 +78,7 @@ def _columns(kind: int, *columns) -> pd.DataFrame:
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Kind 0: (row id, n, class) of each document; kind 1: (shingle, sets of this task that
     have it), from 2 on."""
+    arrays.work_for("ngram_join")
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -146,6 +147,7 @@ def hand_on(keys: np.ndarray, classes: np.ndarray, shards: int, whole: bool) ->
 def _list(common: tuple[str, int], light: int, only: tuple[str, int] | None, shards: int,
           batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Signatures of the sets of a task, of all or of those in the store ``only``."""
+    arrays.work_for("ngram_join")
     seen: set[int] = set()
     keys: list[np.ndarray] = []
     own: list[np.ndarray] = []
@@ -366,6 +368,7 @@ def pairs_of(listed: DataFrame, shards: int) -> DataFrame:
 
 def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(class, set) of wanted classes, from the row that stands for the class."""
+    arrays.work_for("ngram_join")
     for batch in batches:
         rows = batch["row"].to_numpy()
         for at, sets in _sets(batch):

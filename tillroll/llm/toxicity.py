@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrays import work_for
 from tillroll.llm.common import map_batches, remainder, stored
 
 #: Labelled rows of each class the lexicon is fitted on at most, taken by hash of the id.
@@ -54,6 +55,7 @@ def _keys(words: set[str]) -> set[str]:
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents of each class that have each key, summed over some hundred documents at a time."""
+    work_for("toxicity")
     for batch in batches:
         for at in range(0, len(batch), COUNTED):
             part = batch.iloc[at:at + COUNTED]
@@ -231,6 +233,7 @@ def detect(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_
 
 
 def _clean(model: Fitted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    work_for("toxicity")
     for batch in batches:
         rows = _scan(model.odds, pd.DataFrame({"doc_id": 0, "text": batch.column("text").to_pylist()}))
         scores = [model.score_of(n, [p["score"] for p in found]) for n, found in zip(rows["n_tokens"], rows["passages"])]
