@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm.arrays import tidy, write_file
+from tillroll.session import scratch_root
 
 #: A word, for Java's and RE2's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,12 +50,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset, one of our own (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tillroll-llm-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and tasks run in the
+    driver's process (tests), an error elsewhere."""
+    return (spark.conf.get("spark.checkpoint.dir", "") or scratch_root(spark)).rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
