@@ -35,17 +35,21 @@ _BITS = T.StructType([T.StructField("measure", T.StringType()), T.StructField("d
 
 
 def _flagged(rows: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
-    """(measure, day, kind, key) of a key per day, from one row per (day, key): a hot key collapses
-    in the partial aggregate, and no row is copied per measure before that."""
+    """(measures, day, kind, key): one row per (day, key) with the measures it counts in. A hot key collapses
+    in the partial aggregate, and no row is copied per measure."""
     one = rows.filter(F.col(key).isNotNull()).groupBy("day", key).agg(
         *[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
     held = F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in flags]), lambda x: x.isNotNull())
     kind = MEASURES[next(iter(flags))]
-    return one.select(F.explode(held).alias("measure"), "day", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
+    return one.select(held.alias("measures"), "day", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
 
 
 def activity(items: DataFrame, events: DataFrame) -> DataFrame:
     """Which keys each measure has on each day (NULL: rows without a time)."""
+    return _active(items, events).select(F.explode("measures").alias("measure"), "day", "kind", "key")
+
+
+def _active(items: DataFrame, events: DataFrame) -> DataFrame:
     status = F.col("status")
     valid, kept = status_in_policy(status, StatusPolicy.VALID), status_in_policy(status, StatusPolicy.NOT_CANCELLED)
     sold = items.select("order_id", "user_id", "status", F.to_date("created_at").alias("day"))
@@ -61,7 +65,7 @@ def activity(items: DataFrame, events: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.filter(F.size("measures") > 0)
 
 
 class DistinctState:
@@ -90,14 +94,13 @@ class DistinctState:
             return False
         part = uuid.uuid4().hex
         own = f"{self.path}/work/{part}"
-        activity(items, events).write.parquet(f"{own}/activity")
+        _active(items, events).write.parquet(f"{own}/activity")
         rows = self.spark.read.parquet(f"{own}/activity")
         after = self._number(rows, entry, part, own)
         ids = self._read(entry | {"parts": [*entry["parts"], part]}, "ids", _IDS).select("kind", "key", "number")
-        bits = rows.join(ids, ["kind", "key"]).groupBy(
-            "measure", "day", F.bitmap_bucket_number("number").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-        bits.hint("rebalance", "measure", "day").sortWithinPartitions("measure", "day", "bucket").write.option(
+        numbers = rows.join(ids, ["kind", "key"]).select(
+            F.explode("measures").alias("measure"), "day", "number", F.bitmap_bucket_number("number").alias("bucket"))
+        self._bits(numbers).hint("rebalance", "measure", "day").sortWithinPartitions("measure", "day", "bucket").write.option(
             "compression", "zstd").parquet(f"{self.path}/bits/batch={part}")
         parts = [*entry["parts"], part]
         self.log.commit({"parts": parts, "applied": [*entry["applied"], batch], "next": after,
@@ -108,6 +111,13 @@ class DistinctState:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return True
 
+    @staticmethod
+    def _bits(numbers: DataFrame) -> DataFrame:
+        """A row of bits per (measure, day, bucket). Numbers are dealt before their bits are set: a group has 32,768
+        at most, while every task that saw one of them would send a whole row of bits."""
+        by = ["measure", "day", "bucket"]
+        return numbers.repartition(*by).groupBy(*by).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
     def _number(self, rows: DataFrame, entry: dict, part: str, own: str) -> dict[str, int]:
         """Numbers the keys that have none yet, from the next free number of their kind on. Returns
         the next free numbers. Each task numbers its own sorted range of keys; what is shared is
