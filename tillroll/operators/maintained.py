@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +29,32 @@ def _new_folder(m: Model, what: str) -> str:
     return f"{scratch_root(m.order_items.sparkSession)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _written_once(m: Model, *columns: str) -> Iterator[DataFrame]:
+    """These columns of the order items, written to a folder of their own while a state is built: a history reads them
+    many times, and each time would join and shuffle them again."""
+    items, folder = m.order_items.select(*columns), _new_folder(m, "items")
+    spark = items.sparkSession
+    items.write.parquet(folder)
+    try:
+        yield spark.read.schema(items.schema).parquet(folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def replayed_months(m: Model, path: str) -> MonthlyState:
     """The monthly state after a history of three batches. First some orders are still Processing,
     some have not arrived and some are booked twice; then the first get their status; then the second
     arrive and the double bookings go."""
-    items = m.order_items
     kind = F.pmod(F.xxhash64("order_id"), F.lit(7))
     open_, late, twice = kind == 0, kind == 1, kind == 2
-    begun = items.filter(open_).withColumn("status", F.lit(PROCESSING))
-    state = MonthlyState(items.sparkSession, path, span="year")
-    state.build(items.filter(~open_ & ~late).unionByName(items.filter(twice)).unionByName(begun), "opening")
-    state.apply(changes(begun, items.filter(open_)), "status changes")
-    state.apply(signed(items.filter(late), 1).unionByName(signed(items.filter(twice), -1)), "late and double bookings")
+    with _written_once(m, "order_id", "user_id", "product_id", "status", "created_at", "sale_price") as items:
+        begun = items.filter(open_).withColumn("status", F.lit(PROCESSING))
+        state = MonthlyState(items.sparkSession, path, span="year")
+        state.build(items.filter(~open_ & ~late).unionByName(items.filter(twice)).unionByName(begun), "opening")
+        state.apply(changes(begun, items.filter(open_)), "status changes")
+        state.apply(signed(items.filter(late), 1).unionByName(signed(items.filter(twice), -1)), "late and double bookings")
     return state
 
 
@@ -63,8 +79,9 @@ def replayed_days(m: Model, path: str) -> DistinctState:
     """The distinct state after two appends: everything before a day, then the rest."""
     state = DistinctState(m.order_items.sparkSession, path)
     first = F.coalesce(F.col("created_at") < F.lit(FIRST_DAYS_END).cast("timestamp_ntz"), F.lit(False))
-    state.append(m.order_items.filter(first), m.events.filter(first), "first days")
-    state.append(m.order_items.filter(~first), m.events.filter(~first), "later days")
+    with _written_once(m, "order_id", "user_id", "status", "created_at") as items:
+        state.append(items.filter(first), m.events.filter(first), "first days")
+        state.append(items.filter(~first), m.events.filter(~first), "later days")
     return state
 
 
