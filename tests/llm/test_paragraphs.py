@@ -1,7 +1,14 @@
+import cProfile
+import pstats
 import random
+import re
+
+import numpy as np
+import pandas as pd
 
 from tests.llm import brute
 from tillroll.llm import paragraphs
+from tillroll.llm.hashing import word_places
 
 
 def _words(rng, n):
@@ -115,3 +122,46 @@ def test_links_beside_a_list_s_least_unit_are_not_lost(spark, monkeypatch):
     got = _covered(paragraphs.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect(), texts)
     for d in texts:
         assert set().union(*got.get((d, d < 6), [])) == set(range(100))
+
+
+def _odd_texts(rng, n):
+    parts = ["a ", "b ", "\n", "cc ", "\n\n", "\t", "\u00e9x ", "\u6f22 "]
+    return [None, "", " ", "\n \n", "a b c d", "a b c d e", *(
+        "".join(rng.choice([*parts, f"{rng.random()} "]) for _ in range(rng.randrange(300))) for _ in range(n))]
+
+
+def test_units_are_cut_and_hashed_a_block_at_a_time():
+    """Reading a text took about 150 calls of its own, in each of five or six readings."""
+    texts = _odd_texts(random.Random(11), 1000)
+    profile = cProfile.Profile()
+    together = profile.runcall(lambda: list(paragraphs._units(pd.DataFrame({"text": texts}))))
+    assert pstats.Stats(profile).total_calls < 30 * len(texts)
+    alone = [(i, u, s) for i, t in enumerate(texts) for u, s in paragraphs._units(pd.DataFrame({"text": [t]}))]
+    for name in ("start", "size", "digest", "salt"):
+        assert np.array_equal(np.concatenate([getattr(u, name) for u, _ in together]),
+                              np.concatenate([getattr(u, name) for _, u, _ in alone]))
+    shingles = {r: x for _, held in together for r, x in held.items()}
+    assert shingles.keys() == {i for i, *_ in alone}
+    assert all(np.array_equal(shingles[i], s[0]) for i, _, s in alone)
+
+
+def test_spans_start_at_the_leftmost_least_of_each_window():
+    rng = np.random.default_rng(12)
+    sizes = [0, 4, 5, 19, 20, 29, 30, 31, 200, 0, 47]
+    words = rng.integers(0, 6, sum(sizes)).astype(np.uint64)  # few, so that trigrams come again
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    want = []
+    for i, n in enumerate(sizes):
+        own = words[bounds[i]:bounds[i + 1]]
+        tri = paragraphs.combine(paragraphs.combine(own[:-2], own[1:-1]), own[2:]) if n >= 3 else []
+        at = {s + int(np.argmin(tri[s:s + paragraphs.GAP])) for s in range(max(0, len(tri) - paragraphs.GAP) + 1)} if n >= paragraphs.SPAN else set()
+        at = {a for a in at if a <= n - paragraphs.SPAN}
+        want += [(i, a) for a in sorted(at) or [0] * (n >= paragraphs.LEAST_WORDS)]
+    text, start = paragraphs.anchors(words, bounds)
+    assert list(zip(text.tolist(), start.tolist())) == want
+
+
+def test_word_places_are_code_points():
+    for text in filter(None, _odd_texts(random.Random(13), 50)):
+        start, end = word_places(text)
+        assert list(zip(start.tolist(), end.tolist())) == [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]

@@ -80,6 +80,14 @@ def word_hashes(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, texts)
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(where the words of ``text`` start, where they end) in code points."""
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    edge = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points in the first bytes
+    return before[edge[::2]], before[edge[1::2]]
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all runs of ``width`` words within a text, where each text's runs start).
     Run i of a text starts at its word i."""

@@ -13,7 +13,6 @@ keeper's text, so a passage is one row from its first common word to its last.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import arrays
 from tillroll.llm.common import scratch, stored
 from tillroll.llm.components import components
-from tillroll.llm.hashing import blocks, combine, mix, shingle_hashes, word_hashes
+from tillroll.llm.hashing import blocks, combine, mix, shingle_hashes, word_hashes, word_places
 from tillroll.llm.ngram_join import _store_sets, _verify, connect, hand_on, list_pairs
 
 WIDTH, SPAN, GAP = 5, 20, 28
@@ -37,7 +36,6 @@ REACH = SPAN + GAP + 1
 THRESHOLD, RECALL = 0.75, 0.95
 #: Band keys that a task holds before it hands on what it has.
 HELD = 1_500_000
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, unrelated: float = 0.05,
@@ -51,49 +49,71 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, unrelated:
     raise ValueError("no banding reaches this recall")
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Where the spans of a text of hashed words start."""
-    n = len(words)
-    if n < SPAN:
-        return np.zeros(1 if n >= LEAST_WORDS else 0, np.int64)
+def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word in it) of the spans of texts of hashed words, in order, ``bounds`` being
+    where the texts' words start, and the end."""
+    n = np.diff(bounds)
+    short = np.flatnonzero((n >= LEAST_WORDS) & (n < SPAN))
+    long = np.flatnonzero(n >= SPAN)
+    if not len(long):
+        return short, np.zeros(len(short), np.int64)
     tri = combine(combine(words[:-2], words[1:-1]), words[2:])
-    if len(tri) < GAP:
-        at = np.array([tri.argmin()])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(tri, GAP)
-        at = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-    at = at[at <= n - SPAN]
-    return at if len(at) else np.zeros(1, np.int64)
-
-
-def paragraphs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, end) of the lines and of the blocks of lines of a text, given where its lines'
-    words start and the last one's end. A text without inner blank lines has no blocks."""
+    # a window's width of greatest values behind each text keeps its windows apart from the next one's
+    count = n[long] - 2
+    base = np.concatenate([[0], np.cumsum(count + GAP - 1)])
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    least = np.full(base[-1], ~np.uint64(0))
+    least[np.repeat(base[:-1], count) + within] = tri[np.repeat(bounds[long], count) + within]
+    place, width = np.arange(len(least)), 1
+    while width < GAP:  # the leftmost least of two overlapping windows
+        step = min(width, GAP - width)
+        place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        width += step
+    windows = np.maximum(count - GAP, 0) + 1
+    text = np.repeat(np.arange(len(long)), windows)
+    place = place[base[text] + np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)]
+    fresh = np.concatenate([[True], place[1:] != place[:-1]])
+    text, place = text[fresh], place[fresh]
+    start = place - base[text]
+    fits = start <= n[long][text] - SPAN
+    text, start = long[text[fits]], start[fits]
+    bare = np.concatenate([short, np.setdiff1d(long, text)])
+    text, start = np.concatenate([text, bare]), np.concatenate([start, np.zeros(len(bare), np.int64)])
+    order = np.argsort(text, kind="stable")
+    return text[order], start[order]
+
+
+def paragraphs(edges: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of the lines and of the blocks of lines of texts, given where the words of their
+    lines start and the last one's end, and each line's text. A text without inner blank lines has no blocks."""
     start, end = edges[:-1], edges[1:]
     used = start < end
-    block, start, end = np.cumsum(~used)[used], start[used], end[used]
-    first = np.flatnonzero(np.diff(block, prepend=-1))
-    if len(first) > 1:
+    block, of, start, end = np.cumsum(~used)[used], of[used], start[used], end[used]
+    if len(start):
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (of[1:] != of[:-1])]))
         last = np.append(first[1:], len(start)) - 1
-        start, end = np.concatenate([start, start[first]]), np.concatenate([end, end[last]])
+        several = np.bincount(of[first])[of[first]] > 1
+        start, end = np.concatenate([start, start[first[several]]]), np.concatenate([end, end[last[several]]])
     long = end - start >= LEAST_WORDS
     return start[long], end[long]
 
 
 class Units(NamedTuple):
-    """What a block's texts are compared by. ``edges``: where each unit's shingles start, and the end."""
+    """What a block's texts are compared by; a unit's shingles are ``size - WIDTH + 1`` of ``runs`` from ``at`` on."""
     row: np.ndarray  # of the batch
     start: np.ndarray  # first word
     size: np.ndarray  # words
     digest: np.ndarray
     salt: np.ndarray  # 0 of a paragraph; of a span its first words, which neighbouring spans don't share
-    shingles: np.ndarray
-    edges: np.ndarray
+    at: np.ndarray
+    runs: np.ndarray  # of all texts of the block
 
     def only(self, keep: np.ndarray) -> Units:
-        count = np.diff(self.edges)
-        return Units(*(x[keep] for x in self[:5]), self.shingles[np.repeat(keep, count)],
-                     np.concatenate([[0], np.cumsum(count[keep])]))
+        return Units(*(x[keep] for x in self[:6]), self.runs)
+
+    def shingles(self, i: int) -> np.ndarray:
+        return self.runs[self.at[i]:self.at[i] + self.size[i] - WIDTH + 1]
 
 
 def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]:
@@ -101,40 +121,41 @@ def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]
     for first, held in blocks(batch["text"]):
         split = [text.split(b"\n") for text in held]
         words, lines = word_hashes([line for text in split for line in text])
-        of = np.concatenate([[0], np.cumsum([len(text) for text in split])])
-        bounds = lines[of]
+        of = np.fromiter(map(len, split), np.int64, len(split))
+        bounds = lines[np.concatenate([[0], np.cumsum(of)])]
         runs, at = shingle_hashes(words, bounds, WIDTH)
-        rows, found, salts = [], [], []
-        for i in range(len(held)):
-            n = bounds[i + 1] - bounds[i]
-            if n >= LEAST_WORDS:
-                own = anchors(words[bounds[i]:bounds[i + 1]])
-                start, end = paragraphs(lines[of[i]:of[i + 1] + 1] - bounds[i])
-                whole = start << 32 | end - start
-                found.append(np.unique(np.concatenate([own << 32 | np.minimum(SPAN, n - own), whole])))
-                salts.append(np.where(np.isin(found[-1], whole), np.uint64(0), runs[at[i] + (found[-1] >> 32)] | np.uint64(1)))
-                rows.append(np.full(len(found[-1]), i))
-        if rows:
-            row, unit = np.concatenate(rows), np.concatenate(found)
+        text, own = anchors(words, bounds)
+        if len(text):
+            spans = bounds[text] + own << 32 | np.minimum(SPAN, bounds[text + 1] - bounds[text] - own)
+            start, end = paragraphs(lines, np.repeat(np.arange(len(held)), of))
+            whole = start << 32 | end - start
+            unit = np.unique(np.concatenate([spans, whole]))
             start, size = unit >> 32, unit & 0xFFFFFFFF
+            row = np.searchsorted(bounds, start, "right") - 1
+            start -= bounds[row]
+            begin = at[row] + start
             count = size - WIDTH + 1
             edges = np.concatenate([[0], np.cumsum(count)])
             place = np.arange(edges[-1]) - np.repeat(edges[:-1], count)
-            shingles = runs[np.repeat(at[row] + start, count) + place]
-            digest = mix(np.add.reduceat(mix(shingles ^ mix(place.astype(np.uint64))), edges[:-1]) + count.astype(np.uint64))
-            yield (Units(first + row, start, size, digest.view(np.int64), np.concatenate(salts), shingles, edges),
+            shingles = runs[np.repeat(begin, count) + place]
+            salt = np.where(np.isin(unit, whole), np.uint64(0), runs[begin] | np.uint64(1))
+            places = mix(np.arange(count.max(), dtype=np.uint64))
+            digest = mix(np.add.reduceat(mix(shingles ^ places[place]), edges[:-1]) + count.astype(np.uint64))
+            yield (Units(first + row, start, size, digest.view(np.int64), salt, begin, runs),
                    {first + i: runs[at[i]:at[i + 1]] for i in np.unique(row).tolist()})
 
 
-def band_keys(shingles: np.ndarray, edges: np.ndarray, salt: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_keys(units: Units, bands: int, rows: int) -> np.ndarray:
     """(units, bands). Spans meet only where they start alike: an edit in the words by which they
     are found gives other spans anyway, and neighbours that overlap are no candidates."""
+    between = np.stack([units.at, units.at + units.size - WIDTH + 1], axis=1).ravel()
+    runs = np.append(units.runs, np.uint64(0))  # a unit may end with the last run
     out = []
     for b in range(bands):
-        key = combine(np.full(len(edges) - 1, b, np.uint64), salt)
+        key = combine(np.full(len(units.at), b, np.uint64), units.salt)
         for r in range(rows):
             seed = mix(np.array([b * rows + r + 1], np.uint64))
-            key = combine(key, np.minimum.reduceat(mix(shingles ^ seed), edges[:-1]))
+            key = combine(key, np.minimum.reduceat(mix(runs ^ seed), between)[::2])
         out.append(key)
     return np.stack(out, axis=1).view(np.int64)
 
@@ -173,7 +194,7 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
             if only:
                 units = units.only(arrays.find(*only, units.digest.view(np.uint64))[0])
             if len(units.row):
-                keys.append(band_keys(units.shingles, units.edges, units.salt, bands, rows))
+                keys.append(band_keys(units, bands, rows))
                 salts.append(units.salt)
                 spans.append(units.digest)
                 docs.append(ids[units.row])
@@ -213,7 +234,7 @@ def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iter
     for batch in batches:
         ids = batch["row"].to_numpy()
         for units, _ in _units(batch):
-            digest, edges = units.digest, units.edges
+            digest = units.digest
             have = arrays.find(*wanted, digest.view(np.uint64))[0]
             have[have] = arrays.lookup(*wanted, digest[have].view(np.uint64), "row", np.int64, 0) == ids[units.row[have]]
             take = []
@@ -225,20 +246,29 @@ def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iter
                 seen.clear()
             if take:
                 yield pd.DataFrame({"class": digest[take], "shingles": [
-                    np.unique(units.shingles[edges[i]:edges[i + 1]]).tobytes() for i in take]})
+                    np.unique(units.shingles(i)).tobytes() for i in take]})
 
 
-def _marked(marked: tuple[str, int], batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, dict[int, list]]]:
-    """(row of the batch, its shingles, by keeper (first word, end, component) of its repeated units)."""
+def _marked(marked: tuple[str, int], batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, dict[int, np.ndarray]]]:
+    """(row of the batch, its shingles, by keeper the first words, ends and components of its repeated
+    units, in order of the first words)."""
     for units, shingles in _units(batch):
-        units = units.only(arrays.find(*marked, units.digest.view(np.uint64))[0])
-        known = units.digest.view(np.uint64)
-        part, keeper = (arrays.lookup(*marked, known, name, np.int64, 0) for name in ("component", "keeper"))
-        found: dict[int, dict[int, list]] = {}
-        for r, s, n, c, k in zip(*(x.tolist() for x in (units.row, units.start, units.size, part, keeper))):
-            found.setdefault(r, {}).setdefault(k, []).append((s, s + n, c))
-        for r, by_keeper in found.items():
-            yield r, shingles[r], by_keeper
+        found, shard, place = arrays.find(*marked, units.digest.view(np.uint64))
+        units = units.only(found)
+        if not len(units.row):
+            continue
+        part, keeper = (arrays.values(*marked, name, np.int64, shard[found], place[found]) for name in ("component", "keeper"))
+        order = np.lexsort((keeper, units.row))  # stable
+        row, keeper = units.row[order], keeper[order]
+        about = np.stack([units.start, units.start + units.size, part])[:, order]
+        edges = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keeper[1:] != keeper[:-1])])).tolist()
+        now, by_keeper = row[0], {}
+        for a, b in zip(edges, [*edges[1:], len(row)]):
+            if row[a] != now:
+                yield int(now), shingles[now], by_keeper
+                now, by_keeper = row[a], {}
+            by_keeper[int(keeper[a])] = about[:, a:b]
+        yield int(now), shingles[now], by_keeper
 
 
 def doc_key(ids: np.ndarray) -> np.ndarray:
@@ -251,10 +281,8 @@ def _emit_near(marked: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iter
     for batch in batches:
         ids, keys, sets = batch["row"].to_numpy(), [], []
         for r, shingles, by_keeper in _marked(marked, batch):
-            near = np.zeros(len(shingles), bool)
-            for s, e, _ in by_keeper.get(int(ids[r]), []):
-                near[max(0, s - REACH):e + REACH] = True
-            if near.any():
+            if (units := by_keeper.get(int(ids[r]))) is not None:
+                near = _covered(len(shingles), np.maximum(units[0] - REACH, 0), np.minimum(units[1] + REACH, len(shingles)))
                 keys.append(ids[r])
                 sets.append(np.unique(shingles[near]).tobytes())
         if keys:
@@ -277,13 +305,17 @@ def _store_near(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
         yield pd.DataFrame({"rows": [len(own)]})
 
 
-def _near(store: tuple[str, int], keeper: int) -> np.ndarray:
-    found, shard, place = arrays.find(*store, doc_key(np.array([keeper])))
-    if not found[0]:
-        return np.empty(0, np.uint64)
-    end = arrays.mapped(store[0], "end", int(shard[0]), np.int64)
-    data = arrays.mapped(store[0], "data", int(shard[0]), np.uint64)
-    return data[end[place[0] - 1] if place[0] else 0:end[place[0]]]
+def _near(store: tuple[str, int], keepers: set[int]) -> dict[int, tuple[np.uint64, np.ndarray]]:
+    """Each keeper's key and shingles; none of one that the store lacks."""
+    ids = np.fromiter(keepers, np.int64, len(keepers))
+    keys, out = doc_key(ids), {}
+    for k, key, found, shard, at in zip(ids.tolist(), keys, *(x.tolist() for x in arrays.find(*store, keys))):
+        own = np.empty(0, np.uint64)
+        if found:
+            end = arrays.mapped(store[0], "end", shard, np.int64)
+            own = np.asarray(arrays.mapped(store[0], "data", shard, np.uint64))[end[at - 1] if at else 0:end[at]]
+        out[k] = key, own
+    return out
 
 
 def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,21 +324,18 @@ def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _extend(words: int, first: np.ndarray, end: np.ndarray, units: list) -> list[tuple[int, int, int, int]]:
-    """(first word, end, component, units) of what the common runs of words from ``first`` to
-    ``end`` and the units cover together, where a unit is in it."""
-    change = np.zeros(words + 1, np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, end, -1)
-    covered = np.cumsum(change[:-1]) > 0
-    for s, e, _ in units:
-        covered[s:e] = True
-    starts, ends = _runs_of(covered)
-    out: dict[int, list[int]] = {}
-    for s, _, c in units:
-        own = out.setdefault(int(np.searchsorted(starts, s, "right")) - 1, [c, 0])
-        own[0], own[1] = min(own[0], c), own[1] + 1
-    return [(int(starts[i]), int(ends[i]), c, n) for i, (c, n) in out.items()]
+def _covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in an interval."""
+    return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:-1] > 0
+
+
+def _extend(words: int, first: np.ndarray, end: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """First words, ends, components and numbers of units of what the common runs of words from ``first``
+    to ``end`` and the units cover together, where a unit is in it."""
+    starts, ends = _runs_of(_covered(words, np.concatenate([first, units[0]]), np.concatenate([end, units[1]])))
+    at = np.searchsorted(starts, units[0], "right") - 1
+    fresh = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return np.stack([starts[at[fresh]], ends[at[fresh]], np.minimum.reduceat(units[2], fresh), np.diff(np.append(fresh, len(at)))])
 
 
 _FOUND = ["kind", "row", "start", "end", "n_words", "n_spans", "component_id", "keeper", "kept", "key", "last"]
@@ -314,8 +343,7 @@ _FOUND = ["kind", "row", "start", "end", "n_words", "n_spans", "component_id", "
 
 def _passages(row: int, text: str, found: list[tuple], kept: bool) -> list[tuple]:
     """Of (first word, end, component, units, keeper) those that overlap or meet as one."""
-    data = text.encode("utf-8")
-    at = [m.span() for m in _WORD.finditer(data)]
+    starts, ends = word_places(text)
     merged: list[list[int]] = []
     for s, e, c, n, k in sorted(found):
         if merged and s <= merged[-1][1]:
@@ -323,12 +351,7 @@ def _passages(row: int, text: str, found: list[tuple], kept: bool) -> list[tuple
             last[1], last[2], last[3] = max(e, last[1]), min(c, last[2]), last[3] + n
         else:
             merged.append([s, e, c, n, k])
-    out = []
-    for s, e, c, n, k in merged:
-        a = len(data[:at[s][0]].decode("utf-8"))
-        b = a + len(data[at[s][0]:at[e - 1][1]].decode("utf-8"))
-        out.append((0, row, a, b, e - s, n, c, k, kept, 0, 0))
-    return out
+    return [(0, row, int(starts[s]), int(ends[e - 1]), e - s, n, c, k, kept, 0, 0) for s, e, c, n, k in merged]
 
 
 def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,22 +361,21 @@ def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd
     for batch in batches:
         ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
         shared: dict[int, tuple[int, int]] = {}
-        for r, shingles, by_keeper in _marked(marked, batch):
+        rows = [(r, shingles, {k: units for k, units in by_keeper.items() if k != ids[r]})
+                for r, shingles, by_keeper in _marked(marked, batch)]
+        keepers = _near(near, {k for _, _, by_keeper in rows for k in by_keeper})
+        for r, shingles, by_keeper in rows:
             found = []
             for k, units in by_keeper.items():
-                if k == ids[r]:
-                    continue
-                own = _near(near, k)
+                key, own = keepers[k]
                 place = np.searchsorted(own, shingles)
                 first, end = _runs_of(own[np.minimum(place, len(own) - 1)] == shingles if len(own) else np.zeros(len(shingles), bool))
                 extended = _extend(len(shingles) + WIDTH - 1, first, end + WIDTH - 1, units)
-                found += [(*x, k) for x in extended]
-                starts = np.sort([x[0] for x in extended])
-                ends = np.sort([x[1] for x in extended])
-                inside = np.searchsorted(starts, first, "right") - 1
-                take = (inside >= 0) & (first < ends[inside])
+                found += [(*x, k) for x in extended.T.tolist()]
+                inside = np.searchsorted(extended[0], first, "right") - 1
+                take = (inside >= 0) & (first < extended[1][inside])
                 first, end = first[take], end[take]
-                keys = combine(np.full(len(first), doc_key(np.array([k]))[0]), shingles[first]).view(np.int64)
+                keys = combine(np.full(len(first), key), shingles[first]).view(np.int64)
                 for key, n, last in zip(keys.tolist(), (end - first).tolist(), shingles[end - 1].view(np.int64).tolist()):
                     shared[key] = max(shared.get(key, (0, 0)), (n, last))
             if found:
@@ -368,14 +390,17 @@ def _keep(marked: tuple[str, int], shared: tuple[str, int], batches: Iterator[pd
     for batch in batches:
         ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
         for r, shingles, by_keeper in _marked(marked, batch):
-            if units := by_keeper.get(int(ids[r])):
+            if (units := by_keeper.get(int(ids[r]))) is not None:
                 keys = combine(np.full(len(shingles), doc_key(ids[r:r + 1])[0]), shingles)
-                n = arrays.lookup(*shared, keys, "n", np.int64, 0)
-                last = arrays.lookup(*shared, keys, "last", np.int64, 0)
-                first = np.flatnonzero((n > 0) & (np.arange(len(n)) + n <= len(n)))
-                first = first[shingles.view(np.int64)[first + n[first] - 1] == last[first]]
-                found = _extend(len(shingles) + WIDTH - 1, first, first + n[first] + WIDTH - 1, units)
-                out += _passages(ids[r], texts[r], [(*x, ids[r]) for x in found], True)
+                first, shard, place = arrays.find(*shared, keys)
+                first = np.flatnonzero(first)
+                n, last = (arrays.values(*shared, name, np.int64, shard[first], place[first]) for name in ("n", "last"))
+                fits = first + n <= len(shingles)
+                first, n, last = first[fits], n[fits], last[fits]
+                same = shingles.view(np.int64)[first + n - 1] == last
+                first, n = first[same], n[same]
+                found = _extend(len(shingles) + WIDTH - 1, first, first + n + WIDTH - 1, units)
+                out += _passages(ids[r], texts[r], [(*x, ids[r]) for x in found.T.tolist()], True)
         if out:
             yield pd.DataFrame(out, columns=_FOUND)
 
