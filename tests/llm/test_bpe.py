@@ -1,4 +1,8 @@
+import cProfile
+import gc
 import hashlib
+import pstats
+import random
 
 import pytest
 
@@ -74,3 +78,36 @@ def test_a_worker_drops_what_other_operators_kept():
     arrays.work_for("ngram_join")
     assert not bpe._ENCODERS and not arrays._OPEN
     arrays.work_for("")
+
+
+def test_new_words_cost_few_calls(library):
+    """Every new word went through five regular expressions and rules for any script, every token through lists."""
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("abcdefghijklmnop") for _ in range(9)) + rng.choice(["", "", "."]) for _ in range(4000)})
+    one, profile = bpe.Encoder(tokenizer_path()), cProfile.Profile()
+    got = profile.runcall(one.texts, [" ".join(words), None])
+    calls = pstats.Stats(profile).stats
+    assert not any("is_normalized" in name for _, _, name in calls)
+    assert sum(n for n, *_ in calls.values()) < 30 * len(words)
+    want = library.encode(" ".join(words), add_special_tokens=False)
+    assert got == [(len(want.ids), " ".join(map(str, want.ids)), " ".join(want.tokens)), (0, "", "")]
+    assert gc.isenabled()
+
+
+def test_words_of_ascii_and_others_equal_the_library(library):
+    rng = random.Random(6)
+    letters = [*"aZ's09-.<|>", "'ll", "'S", "\x1c", "\x00", "\x7f", "\u00e9", "\u00df", "\u0130", "e\u0301", "\u6f22"]
+    one = bpe.Encoder(tokenizer_path())
+    for text in ["".join(rng.choice([*letters, " "]) for _ in range(rng.randrange(40))) for _ in range(3000)]:
+        want = library.encode(text, add_special_tokens=False)
+        assert one.text(text) == (len(want.ids), " ".join(map(str, want.ids)), " ".join(want.tokens)), repr(text)
+
+
+def test_cuts_are_where_the_rolling_hash_says():
+    data = random.Random(7).randbytes(20_000).replace(b"\x80", b" ")
+    ends, mean = [], 16
+    for e in range(8, len(data)):
+        h = sum(int(bpe.gear()[data[e - 1 - k]]) << k for k in range(8)) & 0xFFFFFFFF
+        if (h >> 8) % mean == 0 and data[e] & 0xC0 != 0x80:
+            ends.append(e)
+    assert bpe.cuts(data, mean=mean) == [*ends, len(data)]

@@ -10,10 +10,11 @@ of its ends are at white space (or an end of the text), where it agrees with the
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -30,6 +31,9 @@ CHUNKS, WORDS, PARTS = 15_000, 250_000, 150_000
 # Words of these characters only are split as the tokenizer's rules say; others go to it whole.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+")
+# The same for ASCII, whose printable characters are their own byte letters.
+_PLAIN_ASCII = re.compile(rb"[\x21-\x7e]+")
+_SPLIT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,18 +73,19 @@ _GEAR = gear()
 
 def cuts(data: bytes, window: int = WINDOW, mean: int = MEAN, most: int = MOST) -> list[int]:
     """Ends of the chunks of a text. A cut comes after a byte at which the hash of the last
-    ``window`` bytes is 0 modulo ``mean`` (a power of two) and the next byte starts a
+    ``window`` bytes is 0 modulo ``mean`` (powers of two, both) and the next byte starts a
     character; runs without one are cut every ``most`` bytes or up to 3 later."""
     n = len(data)
     if n <= window:
         return [n] if n else []
     b = np.frombuffer(data, np.uint8)
-    g = _GEAR[b]
-    h = np.zeros(n - window + 1, np.uint32)
-    for k in range(window):  # the byte k before the last one is shifted by k
-        h += g[window - 1 - k:n - k] << np.uint32(k)
+    h = _GEAR[b]
+    done = 1
+    while done < window:  # the byte k before the last one is shifted by k: twice as many bytes a round
+        h = h[done:] + (h[:-done] << np.uint32(done))
+        done *= 2
     # the top bits depend on all bytes of the window
-    at = np.flatnonzero((h >> np.uint32(32 - 24)) % np.uint32(mean) == 0) + window
+    at = np.flatnonzero(((h >> np.uint32(32 - 24)) & np.uint32(mean - 1)) == 0) + window
     at = at[at < n]
     ends = at[(b[at] & 0xC0) != 0x80].tolist()
     out, last = [], 0
@@ -96,6 +101,16 @@ def cuts(data: bytes, window: int = WINDOW, mean: int = MEAN, most: int = MOST)
     return out
 
 
+def joined(pieces: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    """Pieces with tokens as one."""
+    if len(pieces) == 1:
+        return pieces[0]
+    if not pieces:
+        return 0, "", ""
+    n, ids, tokens = zip(*pieces)
+    return sum(n), " ".join(ids), " ".join(tokens)
+
+
 class Encoder:
     """Encodes and decodes whole texts. ``pieces`` are (number of ids, ids as text, tokens as
     text), ids and tokens joined by one space: the tokenizer has no decoder, so decoding joins
@@ -109,13 +124,20 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        # a piece for each id: many others share its texts
+        self.known = {i: (1, str(i), token) for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.words, self.chunks, self.parts = Kept(WORDS), Kept(CHUNKS), Kept(PARTS)
 
-    def _part(self, part: str) -> list[tuple[int, str]]:
+    def _part(self, part: str | bytes) -> tuple[int, str, str]:
         found = self.parts.get(part)
         if found is None:
-            mapped = part.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = [(t.id, t.value) for t in self.model.tokenize(mapped)]
+            tokens = self.model.tokenize(part.decode("ascii") if isinstance(part, bytes)
+                                         else part.encode("utf-8").decode("latin-1").translate(self.letters))
+            if len(tokens) == 1:
+                found = self.known[tokens[0].id]
+            else:
+                known = self.known
+                found = joined([known[t.id] for t in tokens])
             self.parts.put(part, found)
         return found
 
@@ -123,13 +145,17 @@ class Encoder:
         """A stretch without white space."""
         found = self.words.get(data)
         if found is None:
-            text = data.decode("utf-8")
-            if _PLAIN.fullmatch(text) and "<|" not in text and unicodedata.is_normalized("NFC", text):
-                tokens = [t for part in _SPLIT.findall(text.lower()) for t in self._part(part)]
+            if data.isalpha():  # of ASCII letters only
+                found = self._part(data.lower())
+            elif _PLAIN_ASCII.fullmatch(data) and b"<|" not in data:
+                found = joined([self._part(part) for part in _SPLIT_ASCII.findall(data.lower())])
             else:
-                e = self.tokenizer.encode(text, add_special_tokens=False)
-                tokens = list(zip(e.ids, e.tokens))
-            found = len(tokens), " ".join([str(i) for i, _ in tokens]), " ".join([t for _, t in tokens])
+                text = data.decode("utf-8")
+                if _PLAIN.fullmatch(text) and "<|" not in text and unicodedata.is_normalized("NFC", text):
+                    found = joined([self._part(part) for part in _SPLIT.findall(text.lower())])
+                else:
+                    e = self.tokenizer.encode(text, add_special_tokens=False)
+                    found = len(e.ids), " ".join([str(i) for i in e.ids]), " ".join(e.tokens)
             if len(data) <= 64:
                 self.words.put(data, found)
         return found
@@ -146,8 +172,7 @@ class Encoder:
             tail = b"" if not words or data[-1:].isspace() else words[-1]
             inner = words[bool(head):len(words) - bool(tail)]
             known = self.words.young.get
-            done = [p for w in inner if (p := known(w) or self.word(w))[0]]
-            found = head, (sum([p[0] for p in done]), " ".join([p[1] for p in done]), " ".join([p[2] for p in done])), tail
+            found = head, joined([p for w in inner if (p := known(w) or self.word(w))[0]]), tail
             self.chunks.put(data, found)
         return found
 
@@ -169,8 +194,17 @@ class Encoder:
             start = end
         if around:
             pieces.append(self.word(b"".join(around)))
-        pieces = [p for p in pieces if p[0]]
-        return sum([p[0] for p in pieces]), " ".join([p[1] for p in pieces]), " ".join([p[2] for p in pieces])
+        return joined([p for p in pieces if p[0]])
+
+    def texts(self, texts: Iterable[str | None]) -> list[tuple[int, str, str]]:
+        """All of them. What is kept holds no cycles, so the collector would only walk through it in vain."""
+        before = gc.isenabled()
+        gc.disable()
+        try:
+            return [self.text(x) for x in texts]
+        finally:
+            if before:
+                gc.enable()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -190,7 +224,7 @@ def _encode(path: str, digests: bool, batches: Iterator[pd.DataFrame]) -> Iterat
     for batch in batches:
         for at in range(0, len(batch), 1000):  # bounds what is built before it goes to Spark
             part = batch.iloc[at:at + 1000]
-            done = [e.text(x) for x in part["text"]]
+            done = e.texts(part["text"])
             out = {"doc_id": part["doc_id"].to_numpy(), "n_tokens": [d[0] for d in done]}
             if digests:
                 for name, i in (("ids_sha256", 1), ("decoded_sha256", 2)):
