@@ -83,9 +83,12 @@ def word_hashes(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(where the words of ``text`` start, where they end) in code points."""
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
-    edge = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
-    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points in the first bytes
-    return before[edge[::2]], before[edge[1::2]]
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    if len(data) != len(text):
+        edge = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[edge]  # code points in the first bytes
+    return edge[::2], edge[1::2]
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -320,7 +320,9 @@ def _near(store: tuple[str, int], keepers: set[int]) -> dict[int, tuple[np.uint6
 
 def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, end) of the runs of true."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    held = np.zeros(len(mask) + 2, bool)
+    held[1:-1] = mask
+    edge = np.flatnonzero(held[1:] != held[:-1])
     return edge[::2], edge[1::2]
 
 
@@ -360,7 +362,7 @@ def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd
     one, the last one."""
     for batch in batches:
         ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
-        shared: dict[int, tuple[int, int]] = {}
+        shared: list[np.ndarray] = []
         rows = [(r, shingles, {k: units for k, units in by_keeper.items() if k != ids[r]})
                 for r, shingles, by_keeper in _marked(marked, batch)]
         keepers = _near(near, {k for _, _, by_keeper in rows for k in by_keeper})
@@ -375,12 +377,16 @@ def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd
                 inside = np.searchsorted(extended[0], first, "right") - 1
                 take = (inside >= 0) & (first < extended[1][inside])
                 first, end = first[take], end[take]
-                keys = combine(np.full(len(first), key), shingles[first]).view(np.int64)
-                for key, n, last in zip(keys.tolist(), (end - first).tolist(), shingles[end - 1].view(np.int64).tolist()):
-                    shared[key] = max(shared.get(key, (0, 0)), (n, last))
+                shared.append(np.stack([np.full(len(first), key), shingles[first], (end - first).astype(np.uint64), shingles[end - 1]]))
             if found:
                 out += _passages(ids[r], texts[r], found, False)
-        out += [(1, 0, 0, 0, n, 0, 0, 0, False, key, last) for key, (n, last) in shared.items()]
+        if shared:
+            key, start, n, last = np.concatenate(shared, axis=1)
+            key, n, last = combine(key, start).view(np.int64), n.view(np.int64), last.view(np.int64)
+            order = np.lexsort((last, n, key))
+            most = order[np.append(key[order[1:]] != key[order[:-1]], True)[:len(order)]]  # the longest of a key, then the greatest last
+            out += [(1, 0, 0, 0, n, 0, 0, 0, False, key, last) for key, n, last in zip(
+                key[most].tolist(), n[most].tolist(), last[most].tolist())]
         if out:
             yield pd.DataFrame(out, columns=_FOUND)
 
