@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 
 from tests.llm import brute
-from tillroll.llm import paragraphs
+from tillroll.llm import arrays, paragraphs
 from tillroll.llm.hashing import word_places
 
 
@@ -165,3 +165,46 @@ def test_word_places_are_code_points():
     for text in filter(None, _odd_texts(random.Random(13), 50)):
         start, end = word_places(text)
         assert list(zip(start.tolist(), end.tolist())) == [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+
+
+def _store(folder, keys, **values):
+    order = np.argsort(keys)
+    arrays.write(str(folder), "key", 0, keys[order])
+    for name, held in values.items():
+        arrays.write(str(folder), name, 0, held[order])
+    return str(folder), 1
+
+
+def test_documents_that_keep_nothing_are_not_cut_again(tmp_path, monkeypatch):
+    """All texts were cut into units in each of five or six readings; three of these are about few documents."""
+    rng = random.Random(14)
+    passage = _words(rng, 60)
+    texts = [" ".join([*_words(rng, 50), *(passage if d in (3, 7) else []), *_words(rng, 50)]) for d in range(20)]
+    units = [u for u, _ in paragraphs._units(pd.DataFrame({"text": texts}))]
+    digest, row = (np.concatenate([getattr(u, name) for u in units]) for name in ("digest", "row"))
+    common, where = np.unique(digest[row == 3][np.isin(digest[row == 3], digest[row == 7])]), np.int64(3)
+    assert len(common)
+    keeper = np.full(len(common), where)
+    marked = _store(tmp_path / "marked", common.view(np.uint64), row=keeper, keeper=keeper, component=common)
+    docs = _store(tmp_path / "docs", paragraphs.doc_key(np.array([3])))
+    cut, whole = [], paragraphs._units
+    monkeypatch.setattr(paragraphs, "_units", lambda batch: cut.extend(batch["text"]) or whole(batch))
+    batch = pd.DataFrame({"row": np.arange(20), "text": texts})
+    sets = pd.concat(paragraphs._emit_sets(marked, docs, iter([batch])))
+    assert set(sets["class"]) == set(common.tolist())
+    near = pd.concat(paragraphs._emit_near(marked, docs, iter([batch])))
+    assert near["class"].tolist() == paragraphs.doc_key(np.array([3])).view(np.int64).tolist()
+    shared = _store(tmp_path / "shared", np.empty(0, np.uint64), n=np.empty(0, np.int64), last=np.empty(0, np.int64))
+    kept = pd.concat(paragraphs._keep(marked, docs, shared, iter([batch])))
+    assert set(kept["row"]) == {3} and kept["kept"].all()
+    assert cut == [texts[3]] * 3
+
+
+def test_digests_are_of_shingles_at_their_places():
+    rng = np.random.default_rng(15)
+    runs = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    count = np.array([1, 16, 16, 15, 17, 300, 16, 40])
+    begin = np.array([299, 284, 0, 5, 5, 0, 100, 260])
+    want = [paragraphs.mix(np.array([paragraphs.mix(runs[b:b + n] ^ paragraphs.mix(np.arange(n, dtype=np.uint64))).sum() + np.uint64(n)]))[0]
+            for b, n in zip(begin, count)]
+    assert paragraphs._digests(runs, begin, count).tolist() == want

@@ -10,8 +10,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Bytes of text hashed at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+#: Bytes of text hashed at once, so few that the arrays of a block stay in a core's cache; a longer
+#: text is a block of its own.
+BLOCK = 1 << 17
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEP = b"\n"
@@ -19,9 +20,12 @@ _SEP = b"\n"
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finisher of SplitMix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -31,11 +35,13 @@ def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 _BYTES[65:91] = _BYTES[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def _is_space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | (data - np.uint8(9) < 5)  # bytes below 9 wrap around
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n; kept while blocks stay small."""
     if len(_POWERS["up"]) < n:
@@ -66,14 +72,15 @@ def blocks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 def word_hashes(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, where each text's words start; one more for the end)."""
     data = np.frombuffer(_SEP.join(held) + _SEP, np.uint8)
-    space = _SPACE[data]
-    before = np.concatenate([[True], space[:-1]])
-    start = np.flatnonzero(before & ~space)
-    end = np.flatnonzero(space & ~before)
-    if space[0]:
-        end = end[end > 0]
+    space = np.ones(len(data) + 1, bool)
+    space[1:] = _is_space(data)
+    edge = np.flatnonzero(space[1:] != space[:-1])  # the last byte is a space
+    start, end = edge[::2], edge[1::2]
     up, down = _powers(len(data))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[:len(data)])])
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.take(_BYTES, data, out=run[1:], mode="clip")
+    run[1:] *= up[:len(data)]
+    np.cumsum(run, out=run)
     hashes = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
     sizes = np.fromiter(map(len, held), np.int64, len(held)) + 1
     texts = np.concatenate([[0], np.cumsum(sizes)])
@@ -84,7 +91,7 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(where the words of ``text`` start, where they end) in code points."""
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = _is_space(data)
     edge = np.flatnonzero(space[1:] != space[:-1])
     if len(data) != len(text):
         edge = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[edge]  # code points in the first bytes

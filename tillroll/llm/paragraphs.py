@@ -49,6 +49,21 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, unrelated:
     raise ValueError("no banding reaches this recall")
 
 
+def _least(values: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Where the leftmost least values are of the windows of ``GAP`` among ``count`` values from each of ``at`` on."""
+    if not len(at):
+        return np.empty(0, np.int64)
+    place, width = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
+    while width < GAP:  # the leftmost least of two overlapping windows
+        step = min(width, GAP - width)
+        place = np.where(values[step:] < values[:-step], place[step:], place[:-step])
+        values = np.minimum(values[step:], values[:-step])
+        width += step
+    windows = count - GAP + 1
+    place = place[np.repeat(at - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())]
+    return place[np.concatenate([[True], place[1:] != place[:-1]])].astype(np.int64)
+
+
 def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, first word in it) of the spans of texts of hashed words, in order, ``bounds`` being
     where the texts' words start, and the end."""
@@ -58,26 +73,19 @@ def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(long):
         return short, np.zeros(len(short), np.int64)
     tri = combine(combine(words[:-2], words[1:-1]), words[2:])
-    # a window's width of greatest values behind each text keeps its windows apart from the next one's
-    count = n[long] - 2
-    base = np.concatenate([[0], np.cumsum(count + GAP - 1)])
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    least = np.full(base[-1], ~np.uint64(0))
-    least[np.repeat(base[:-1], count) + within] = tri[np.repeat(bounds[long], count) + within]
-    place, width = np.arange(len(least)), 1
-    while width < GAP:  # the leftmost least of two overlapping windows
-        step = min(width, GAP - width)
-        place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
-        least = np.minimum(least[step:], least[:-step])
-        width += step
-    windows = np.maximum(count - GAP, 0) + 1
-    text = np.repeat(np.arange(len(long)), windows)
-    place = place[base[text] + np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)]
-    fresh = np.concatenate([[True], place[1:] != place[:-1]])
-    text, place = text[fresh], place[fresh]
-    start = place - base[text]
-    fits = start <= n[long][text] - SPAN
-    text, start = long[text[fits]], start[fits]
+    place = _least(tri, bounds[:-1][n - 2 >= GAP], n[n - 2 >= GAP] - 2)
+    few = (n >= SPAN) & (n - 2 < GAP)  # words of one narrower window
+    if few.any():
+        at, count = bounds[:-1][few], n[few] - 2
+        edges = np.cumsum(count) - count
+        within = np.repeat(at - edges, count) + np.arange(count.sum())
+        least = np.minimum.reduceat(tri[within], edges)
+        hit = np.flatnonzero(tri[within] == np.repeat(least, count))
+        place = np.sort(np.concatenate([place, within[hit[np.searchsorted(hit, edges)]]]))
+    text = np.searchsorted(bounds, place, "right") - 1
+    start = place - bounds[text]
+    fits = start <= n[text] - SPAN
+    text, start = text[fits], start[fits]
     bare = np.concatenate([short, np.setdiff1d(long, text)])
     text, start = np.concatenate([text, bare]), np.concatenate([start, np.zeros(len(bare), np.int64)])
     order = np.argsort(text, kind="stable")
@@ -116,6 +124,22 @@ class Units(NamedTuple):
         return self.runs[self.at[i]:self.at[i] + self.size[i] - WIDTH + 1]
 
 
+def _digests(runs: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of units of ``count`` shingles of ``runs`` from ``begin`` on, by shingles and places."""
+    places, out = mix(np.arange(count.max(), dtype=np.uint64)), np.empty(len(begin), np.uint64)
+    width = SPAN - WIDTH + 1
+    full = count == width  # most are whole spans: a row each
+    if full.any():
+        rows = np.lib.stride_tricks.sliding_window_view(runs, width)[begin[full]]
+        out[full] = mix(rows ^ places[:width]).sum(axis=1)
+    if not full.all():
+        begin, n = begin[~full], count[~full]
+        edges = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(edges, n)
+        out[~full] = np.add.reduceat(mix(runs[np.repeat(begin, n) + place] ^ places[place]), edges)
+    return mix(out + count.astype(np.uint64))
+
+
 def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]:
     """The spans and paragraphs of a block, equal ones once, and the shingles of each row that has any, in order."""
     for first, held in blocks(batch["text"]):
@@ -135,13 +159,8 @@ def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]
             start -= bounds[row]
             begin = at[row] + start
             count = size - WIDTH + 1
-            edges = np.concatenate([[0], np.cumsum(count)])
-            place = np.arange(edges[-1]) - np.repeat(edges[:-1], count)
-            shingles = runs[np.repeat(begin, count) + place]
             salt = np.where(np.isin(unit, whole), np.uint64(0), runs[begin] | np.uint64(1))
-            places = mix(np.arange(count.max(), dtype=np.uint64))
-            digest = mix(np.add.reduceat(mix(shingles ^ places[place]), edges[:-1]) + count.astype(np.uint64))
-            yield (Units(first + row, start, size, digest.view(np.int64), salt, begin, runs),
+            yield (Units(first + row, start, size, _digests(runs, begin, count).view(np.int64), salt, begin, runs),
                    {first + i: runs[at[i]:at[i + 1]] for i in np.unique(row).tolist()})
 
 
@@ -228,10 +247,36 @@ def _rows(kind: int, a, b, c) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.int32(kind), "a": a, "b": b, "c": np.int64(c) if np.isscalar(c) else c})
 
 
-def _emit_sets(wanted: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(class, set) of wanted spans, from the least document that has them."""
-    seen: set[int] = set()
+def doc_key(ids: np.ndarray) -> np.ndarray:
+    """Spread over all shards."""
+    return mix(ids.astype(np.int64).view(np.uint64))
+
+
+def _doc_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        yield pd.DataFrame({"key": doc_key(batch["row"].to_numpy()).view(np.int64)})
+
+
+def _store_docs(rows: DataFrame, what: str) -> tuple[str, int]:
+    """A store of the keys of the documents in ``rows`` (row)."""
+    rows = stored(rows.distinct(), what)
+    store = (scratch(rows.sparkSession, f"{what}-store"), arrays.shards_for(rows.count()))
+    arrays.store_sorted(rows.mapInPandas(_doc_keys, "key long"), *store)
+    return store
+
+
+def _among(docs: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of documents in a store of their keys: others are not cut into units."""
+    for batch in batches:
+        held = arrays.find(*docs, doc_key(batch["row"].to_numpy()))[0]
+        if held.any():
+            yield batch[held]
+
+
+def _emit_sets(wanted: tuple[str, int], docs: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(class, set) of wanted spans, from the least document that has them, which are in ``docs``."""
+    seen: set[int] = set()
+    for batch in _among(docs, batches):
         ids = batch["row"].to_numpy()
         for units, _ in _units(batch):
             digest = units.digest
@@ -271,14 +316,10 @@ def _marked(marked: tuple[str, int], batch: pd.DataFrame) -> Iterator[tuple[int,
         yield int(now), shingles[now], by_keeper
 
 
-def doc_key(ids: np.ndarray) -> np.ndarray:
-    """Spread over all shards."""
-    return mix(ids.astype(np.int64).view(np.uint64))
-
-
-def _emit_near(marked: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(class: the document's key, shingles) of keepers: what lies within ``REACH`` words of what they keep."""
-    for batch in batches:
+def _emit_near(marked: tuple[str, int], docs: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(class: the document's key, shingles) of keepers, which are in ``docs``: what lies within ``REACH`` words of
+    what they keep."""
+    for batch in _among(docs, batches):
         ids, keys, sets = batch["row"].to_numpy(), [], []
         for r, shingles, by_keeper in _marked(marked, batch):
             if (units := by_keeper.get(int(ids[r]))) is not None:
@@ -391,9 +432,10 @@ def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd
             yield pd.DataFrame(out, columns=_FOUND)
 
 
-def _keep(marked: tuple[str, int], shared: tuple[str, int], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passages that a document keeps, as far as any other document shares them."""
-    for batch in batches:
+def _keep(marked: tuple[str, int], docs: tuple[str, int], shared: tuple[str, int],
+          batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages that a document, if in ``docs``, keeps, as far as any other document shares them."""
+    for batch in _among(docs, batches):
         ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
         for r, shingles, by_keeper in _marked(marked, batch):
             if (units := by_keeper.get(int(ids[r]))) is not None:
@@ -426,7 +468,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     Lists of band keys are paired with their least span first; only where such a pair fails are
     they listed again in full, and pairs between components verified. Pairs within one document are
     links as well: a list's least unit may be in the document of another. Texts are read five
-    times, or six; what is shuffled are hashes. A passage in a third of all documents is counted
+    times, or six, in three of these only those of documents that stand for a unit or keep one; what is shuffled are hashes. A passage in a third of all documents is counted
     once per task before it is shuffled."""
     if threshold != THRESHOLD:
         raise ValueError("the exact check is fixed at 3/4")
@@ -449,7 +491,8 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         wanted = (scratch(spark, "para-wanted"), arrays.shards_for(n))
         arrays.store_sorted(members.select(F.col("class").alias("key"), F.col("least").alias("row")), *wanted, {"row": np.int64})
         sets = (scratch(spark, "para-set-store"), arrays.shards_for(n, 100_000))
-        emitted = texts.mapInPandas(partial(_emit_sets, wanted), "class long, shingles binary")
+        holders = _store_docs(members.select(F.col("least").alias("row")), "para-holders")
+        emitted = texts.mapInPandas(partial(_emit_sets, wanted, holders), "class long, shingles binary")
         with arrays.tidy(spark):
             emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(sets[1]).cast("long"), 32).cast("int")).repartitionById(
                 sets[1], "shard").mapInPandas(partial(_store_sets, sets[0]), "rows long").agg(F.sum("rows")).first()
@@ -482,7 +525,8 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     store = (scratch(spark, "para-marked-store"), arrays.shards_for(marked.count()))
     arrays.store_sorted(marked, *store, {"component": np.int64, "keeper": np.int64})
     near = (scratch(spark, "para-near"), arrays.shards_for(size // 6))  # a shingle a word, of all documents at most
-    emitted = texts.mapInPandas(partial(_emit_near, store), "class long, shingles binary")
+    keeping = _store_docs(marked.select(F.col("keeper").alias("row")), "para-keepers")
+    emitted = texts.mapInPandas(partial(_emit_near, store, keeping), "class long, shingles binary")
     with arrays.tidy(spark):
         emitted.withColumn("shard", F.shiftrightunsigned(top * F.lit(near[1]).cast("long"), 32).cast("int")).repartitionById(
             near[1], "shard").mapInPandas(partial(_store_near, near[0]), "rows long").agg(F.sum("rows")).first()
@@ -493,7 +537,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         "key", F.col("most.n_words").cast("long").alias("n"), "most.last"), "para-runs")
     shared = (scratch(spark, "para-shared"), arrays.shards_for(runs.count()))
     arrays.store_sorted(runs, *shared, {"n": np.int64, "last": np.int64})
-    located = removed.where("kind = 0").unionByName(texts.mapInPandas(partial(_keep, store, shared), schema))
+    located = removed.where("kind = 0").unionByName(texts.mapInPandas(partial(_keep, store, keeping, shared), schema))
     return located.drop("kind", "key", "last").withColumn("row", F.when(F.col("row") < last, F.col("row"))).withColumnRenamed("row", "doc_id")
 
 
