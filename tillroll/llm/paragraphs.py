@@ -68,9 +68,8 @@ def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(text, first word in it) of the spans of texts of hashed words, in order, ``bounds`` being
     where the texts' words start, and the end."""
     n = np.diff(bounds)
-    short = np.flatnonzero((n >= LEAST_WORDS) & (n < SPAN))
-    long = np.flatnonzero(n >= SPAN)
-    if not len(long):
+    if not (n >= SPAN).any():
+        short = np.flatnonzero(n >= LEAST_WORDS)
         return short, np.zeros(len(short), np.int64)
     tri = combine(combine(words[:-2], words[1:-1]), words[2:])
     place = _least(tri, bounds[:-1][n - 2 >= GAP], n[n - 2 >= GAP] - 2)
@@ -86,7 +85,9 @@ def anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start = place - bounds[text]
     fits = start <= n[text] - SPAN
     text, start = text[fits], start[fits]
-    bare = np.concatenate([short, np.setdiff1d(long, text)])
+    some = n >= LEAST_WORDS
+    some[text] = False
+    bare = np.flatnonzero(some)
     text, start = np.concatenate([text, bare]), np.concatenate([start, np.zeros(len(bare), np.int64)])
     order = np.argsort(text, kind="stable")
     return text[order], start[order]
@@ -153,15 +154,17 @@ def _units(batch: pd.DataFrame) -> Iterator[tuple[Units, dict[int, np.ndarray]]]
             spans = bounds[text] + own << 32 | np.minimum(SPAN, bounds[text + 1] - bounds[text] - own)
             start, end = paragraphs(lines, np.repeat(np.arange(len(held)), of))
             whole = start << 32 | end - start
-            unit = np.unique(np.concatenate([spans, whole]))
+            unit = np.sort(np.concatenate([spans, whole]), kind="stable")  # both are nearly in order
+            unit = unit[np.concatenate([[True], unit[1:] != unit[:-1]])]
             start, size = unit >> 32, unit & 0xFFFFFFFF
             row = np.searchsorted(bounds, start, "right") - 1
             start -= bounds[row]
             begin = at[row] + start
             count = size - WIDTH + 1
-            salt = np.where(np.isin(unit, whole), np.uint64(0), runs[begin] | np.uint64(1))
+            salt = runs[begin] | np.uint64(1)
+            salt[np.searchsorted(unit, whole)] = 0
             yield (Units(first + row, start, size, _digests(runs, begin, count).view(np.int64), salt, begin, runs),
-                   {first + i: runs[at[i]:at[i + 1]] for i in np.unique(row).tolist()})
+                   {first + i: runs[at[i]:at[i + 1]] for i in row[np.concatenate([[True], row[1:] != row[:-1]])].tolist()})
 
 
 def band_keys(units: Units, bands: int, rows: int) -> np.ndarray:
@@ -192,19 +195,21 @@ def _list(bands: int, rows: int, only: tuple[str, int] | None, shards: int,
         span, key, doc, salt = (np.concatenate(x) for x in (spans, keys, docs, salts))
         for x in (spans, keys, docs, salts):
             x.clear()
-        plain = np.lexsort((salt, span.view(np.uint64)))  # a span that is a paragraph elsewhere is listed as one
-        order = np.lexsort((doc, span.view(np.uint64)))
-        key, span, doc = key[plain], span[order], doc[order]
+        order = np.argsort(span.view(np.uint64))
+        span, doc, salt = span[order], doc[order], salt[order]
         first = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
-        last = np.append(first[1:], len(span)) - 1
+        plain = np.flatnonzero(salt == np.repeat(np.minimum.reduceat(salt, first), np.diff(np.append(first, len(span)))))
+        key = key[order[plain[np.searchsorted(plain, first)]]]  # a span that is a paragraph elsewhere is listed as one
+        span = span[first]
         if not only:
-            shard = arrays.shard_of(span[first].view(np.uint64), shards)
+            least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+            shard = arrays.shard_of(span.view(np.uint64), shards)
             edges = np.searchsorted(shard, np.arange(shards + 1))
             for s in range(shards):
                 own = slice(edges[s], edges[s + 1])
                 if edges[s + 1] > edges[s]:
-                    yield arrays.packed_pairs(2, s, span[first[own]], doc[first[own]], doc[last[own]])
-        cls, key = np.repeat(span[first], key.shape[1]), key[first].ravel().view(np.uint64)
+                    yield arrays.packed_pairs(2, s, span[own], least[own], most[own])
+        cls, key = np.repeat(span, key.shape[1]), key.ravel().view(np.uint64)
         yield from hand_on(key, cls, shards, bool(only))
 
     for batch in batches:
@@ -403,7 +408,7 @@ def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd
     one, the last one."""
     for batch in batches:
         ids, texts, out = batch["row"].to_numpy(), batch["text"].to_numpy(), []
-        shared: list[np.ndarray] = []
+        shared: list[tuple] = []
         rows = [(r, shingles, {k: units for k, units in by_keeper.items() if k != ids[r]})
                 for r, shingles, by_keeper in _marked(marked, batch)]
         keepers = _near(near, {k for _, _, by_keeper in rows for k in by_keeper})
@@ -418,12 +423,12 @@ def _remove(marked: tuple[str, int], near: tuple[str, int], batches: Iterator[pd
                 inside = np.searchsorted(extended[0], first, "right") - 1
                 take = (inside >= 0) & (first < extended[1][inside])
                 first, end = first[take], end[take]
-                shared.append(np.stack([np.full(len(first), key), shingles[first], (end - first).astype(np.uint64), shingles[end - 1]]))
+                shared.append((np.full(len(first), key), shingles[first], end - first, shingles[end - 1]))
             if found:
                 out += _passages(ids[r], texts[r], found, False)
         if shared:
-            key, start, n, last = np.concatenate(shared, axis=1)
-            key, n, last = combine(key, start).view(np.int64), n.view(np.int64), last.view(np.int64)
+            key, start, n, last = map(np.concatenate, zip(*shared))
+            key, last = combine(key, start).view(np.int64), last.view(np.int64)
             order = np.lexsort((last, n, key))
             most = order[np.append(key[order[1:]] != key[order[:-1]], True)[:len(order)]]  # the longest of a key, then the greatest last
             out += [(1, 0, 0, 0, n, 0, 0, 0, False, key, last) for key, n, last in zip(
